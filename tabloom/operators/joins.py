@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -141,7 +141,3 @@ def not_in_history(new: DataFrame, history: DataFrame, keys: Sequence[str]) -> D
 def recent_batches(df: DataFrame, batch_key: str, n: int) -> DataFrame:
     """The n highest distinct batch ids."""
     return df.select(batch_key).distinct().orderBy(F.desc(batch_key)).limit(n)
-
-
-def apply_map(cols: Mapping[str, Column]) -> list[Column]:
-    return [c.alias(n) for n, c in cols.items()]
