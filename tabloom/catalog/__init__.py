@@ -13,7 +13,7 @@ from tabloom.session import Tables
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 MODULES = (
-    "claims", "relational", "joins", "aggregates", "windows", "scalars", "sources",
+    "claims", "relational", "joins", "aggregates", "windows", "scalars", "sources", "eligibility",
 
 
 )

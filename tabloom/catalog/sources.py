@@ -63,14 +63,14 @@ def _header(t):
     return I.header_promote(head.unionByName(body), "line")
 
 
-@query("scan_nested_json", """select o_custkey, cast(count(*) as int) as n_items, cast(max(o_orderkey) as bigint) as last_item
-from orders group by o_custkey""")
+@query("scan_nested_json", """select o_orderkey, cast(1 + o_orderkey % 4 as int) as n_items,
+  (1 + o_orderkey % 4) * o_totalprice as top_amount from orders""")
 def _json(t):
     path = t.scratch("json")
-    items = t.orders.groupBy("o_custkey").agg(F.collect_list(F.struct("o_orderkey", "o_totalprice")).alias("items"))
-    items.write.option("compression", "gzip").json(path)
-    df = I.scan_json(t.spark, path, "o_custkey long, items array<struct<o_orderkey: long, o_totalprice: double>>", False)
-    return df.select("o_custkey", F.size("items").alias("n_items"), F.array_max("items.o_orderkey").alias("last_item"))
+    items = F.expr("transform(sequence(1, 1 + cast(o_orderkey % 4 as int)), i -> struct(i as item, i * o_totalprice as amount))")
+    t.orders.select("o_orderkey", items.alias("items")).write.option("compression", "gzip").json(path)
+    df = I.scan_json(t.spark, path, "o_orderkey long, items array<struct<item: int, amount: double>>", False)
+    return df.select("o_orderkey", F.size("items").alias("n_items"), F.array_max("items.amount").alias("top_amount"))
 
 
 @query("scan_object_store", ORDERS)
@@ -87,7 +87,7 @@ where last_day(o_orderdate) >= date '2000-01-01'""")
 def _dated(t):
     path = t.scratch("dated")
     stamp = F.date_format(F.last_day(F.to_date("o_orderdate")), "yyyyMMdd")
-    t.orders.select("o_orderkey", stamp.alias("stamp")).repartition("stamp").write.partitionBy("stamp").parquet(path)
+    t.orders.select("o_orderkey", stamp.alias("stamp")).hint("rebalance", "stamp").write.partitionBy("stamp").parquet(path)
     files = I.list_dated_files(I.list_files(t.spark, path), r"stamp=(\d{8})/", date(2000, 1, 1))
     return files.select("file_date").distinct()
 

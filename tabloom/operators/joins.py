@@ -71,11 +71,13 @@ def exclude_all(df: DataFrame, other: DataFrame, on: Sequence[str], rules: Seque
 
 def match_any(
     df: DataFrame, id_cols: Sequence[str], code_cols: Sequence[str], dim: DataFrame, code: str,
+    keep_code: bool = False,
 ) -> DataFrame:
     """Match a dimension on any of several code columns: explode, equi-join, distinct."""
     codes = F.explode(F.array_distinct(F.array_compact(F.array(*code_cols))))
     long = df.select(*id_cols, codes.alias(code))
-    return long.join(dim, code).drop(code).distinct()
+    out = long.join(dim, code)
+    return (out if keep_code else out.drop(code)).distinct()
 
 
 def active_on(df: DataFrame, start: str, stop: str, as_of: Column) -> DataFrame:
