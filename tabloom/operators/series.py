@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.operators.ranks import group_transform, lags, rolling_mean
+from tabloom.operators.ranks import lags, rolling_mean
 
 
 def series_features(
@@ -65,17 +65,15 @@ def fit_seasonal_ar(y: np.ndarray, season: int) -> tuple[np.ndarray, float]:
 
 
 def forecast_series(
-    df: DataFrame, keys: Sequence[str], ts: str, y: str, steps: int, season: int = 5, history: int = 2_000
+    df: DataFrame, keys: Sequence[str], ts: str, y: str, steps: int, season: int = 5
 ) -> DataFrame:
     """Forecast the next business days of every series with a 95% interval.
 
-    Daily means come first, so a series handed to Python has one row per day
-    whatever the number of raw rows; ``history`` bounds it to recent days.
+    Daily means come first, so a series handed to Python has one row per
+    business day, however many raw rows its key holds.
     """
     daily = df.groupBy(*keys, F.to_date(ts).alias("day")).agg(F.avg(y).cast("double").alias("y"))
     daily = daily.where(F.weekday("day") < 5)
-    last = daily.groupBy(*keys).agg(F.max("day").alias("__last"))
-    daily = daily.join(last, list(keys)).where(F.col("day") > F.date_sub("__last", history)).drop("__last")
     types = dict(daily.dtypes)
     schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "day date", "forecast double", "low double", "high double"])
 
@@ -96,8 +94,3 @@ def forecast_series(
         return out
 
     return daily.groupBy(*keys).applyInPandas(one, schema)
-
-
-def relative_volatility(df: DataFrame, key: str, col: str) -> DataFrame:
-    """Standard deviation per key repeated on each row."""
-    return group_transform(df, [key], {"volatility": F.stddev_samp(col)})
