@@ -14,7 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 MODULES = (
     "claims", "relational", "joins", "aggregates", "windows", "scalars", "sources", "eligibility",
-    "providers", "geo", "conversion", "activity", "profiling", "modelling", "scoring",
+    "providers", "geo", "conversion", "activity", "profiling", "modelling", "scoring", "texts",
 
 
 )
