@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tabloom.catalog import query
 from tabloom.operators import series as S
+from tabloom.operators.ordered import attach
 from tabloom.plans import jobs as J
 from tabloom.plans import plays as P
 
@@ -173,7 +174,7 @@ select gpu, round(current_price, 6) as current_price, round(predicted_utilizatio
 def _recommend(t):
     priced = daily(t).selectExpr("gpu", "price", "utilization", "price * 1.1D as best_price", "utilization * 0.95D + 0.05D as predicted")
     rec = S.price_recommend(priced, "gpu")
-    out = rec.crossJoin(F.broadcast(S.target_share(rec)))  # one-row side
+    out = attach(rec, S.target_share(rec))
     rounded = ("current_price", "predicted_utilization", "volatility", "revenue_change_pct", "pct_meeting_target")
     return out.select("gpu", "frequency", "meets_target", *[F.round(c, 6).alias(c) for c in rounded])
 

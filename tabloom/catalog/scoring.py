@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tabloom.catalog import query
 from tabloom.operators import evaluate as E
+from tabloom.operators.ordered import attach
 
 SCORED = ["o_orderkey as id", "case when o_orderstatus = 'F' then 1 else 0 end as y", "(o_orderkey * 7919 % 1000) / 1000.0D as score",
           "case when o_orderkey * 7919 % 1000 >= 600 then 1 else 0 end as pred"]
@@ -46,7 +47,7 @@ t as (select *, lag(tpr, 1, 0) over (order by threshold desc) as tpr0, lag(fpr,
 select threshold, round(fpr, 6) as fpr, round(tpr, 6) as tpr, round((select sum((fpr - fpr0) * (tpr + tpr0) / 2) from t), 6) as auc from p""")
 def _roc(t):
     auc = E.roc_auc(scored(t), "y", "score")
-    return rounded(E.roc_points(scored(t), "y", "score").crossJoin(F.broadcast(auc)), "fpr", "tpr", "auc")  # one-row side
+    return rounded(attach(E.roc_points(scored(t), "y", "score"), auc), "fpr", "tpr", "auc")
 
 
 @query("eval_pr_curve", f"""with {SCORED_SQL}, {POINTS},
@@ -54,7 +55,7 @@ t as (select *, lag(tpr, 1, 0) over (order by threshold desc) as r0, lag(precisi
 select threshold, round(tpr, 6) as recall, round(precision, 6) as precision, round((select sum((tpr - r0) * (precision + p0) / 2) from t), 6) as pr_auc from p""")
 def _pr(t):
     auc = E.pr_auc(scored(t), "y", "score")
-    return rounded(E.pr_points(scored(t), "y", "score").crossJoin(F.broadcast(auc)), "recall", "precision", "pr_auc")  # one-row side
+    return rounded(attach(E.pr_points(scored(t), "y", "score"), auc), "recall", "precision", "pr_auc")
 
 
 TS = " union all ".join(f"select {x}::double as t" for x in E.THRESHOLDS)

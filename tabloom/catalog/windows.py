@@ -7,6 +7,7 @@ from tabloom.catalog.relational import SPARSE_SQL, sparse
 from tabloom.operators import aggregates as A
 from tabloom.operators import ranks as K
 from tabloom.operators import relational as R
+from tabloom.operators.ordered import attach
 
 
 @query("win_row_page", """select o_orderkey, o_totalprice from (select *, row_number() over (order by o_totalprice, o_orderkey) as rn
@@ -41,7 +42,7 @@ def _running(t):
 @query("win_total_count", "select o_orderkey, count(*) over () as n_total from orders")
 def _count(t):
     total = t.orders.agg(F.count("*").alias("n_total"))
-    return t.orders.select("o_orderkey").crossJoin(F.broadcast(total))  # one-row side
+    return attach(t.orders.select("o_orderkey"), total)
 
 
 @query("win_claim_level_flag", """select l_orderkey, l_linenumber, l_quantity,

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.operators.ordered import join_back, position, quantiles, running, unpivot_numeric
+from tabloom.operators.ordered import attach, join_back, position, quantiles, running, unpivot_numeric
 
 
 def group_sum(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -121,8 +121,7 @@ def class_balance(df: DataFrame, y: str) -> DataFrame:
 
 def share_of(counts: DataFrame, col: str, name: str) -> DataFrame:
     total = counts.agg(F.sum(col).alias("__total"))
-    out = counts.crossJoin(F.broadcast(total))  # one-row side
-    return out.withColumn(name, F.col(col) / F.col("__total")).drop("__total")
+    return attach(counts, total).withColumn(name, F.col(col) / F.col("__total")).drop("__total")
 
 
 def share(df: DataFrame, key: str, col: str) -> DataFrame:
@@ -189,7 +188,7 @@ def skewed(df: DataFrame, cols: Sequence[str], threshold: float = 1.0) -> DataFr
 def tail_ratio(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     """Share of rows above mean + one standard deviation."""
     stats = df.groupBy(*by).agg((F.avg(col) + F.stddev_samp(col)).alias("cut"))
-    joined = join_back(df, stats, by) if by else df.crossJoin(F.broadcast(stats))  # one-row side
+    joined = join_back(df, stats, by) if by else attach(df, stats)
     above = F.avg((F.col(col) > F.col("cut")).cast("int")).alias("tail_ratio")
     return joined.groupBy(*by).agg(above)
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.operators.ordered import position, running
+from tabloom.operators.ordered import attach, position, running
 from tabloom.operators.profile import histogram
 from tabloom.operators.ranks import tiles
 
@@ -34,7 +34,7 @@ def class_report(scored: DataFrame, y: str, pred: str) -> DataFrame:
     rows = rows.withColumn("f1", _safe(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
     rows = rows.select(F.col("class").cast("string").alias("class"), "precision", "recall", "f1", "support")
     macro = rows.agg(F.lit("macro").alias("class"), *[F.avg(c).alias(c) for c in ("precision", "recall", "f1")], F.sum("support").alias("support"))
-    return rows.unionByName(macro).crossJoin(F.broadcast(total))  # one-row side
+    return attach(rows.unionByName(macro), total)
 
 
 def _cumulative(scored: DataFrame, y: str, score: str) -> DataFrame:
@@ -45,7 +45,7 @@ def _cumulative(scored: DataFrame, y: str, score: str) -> DataFrame:
 
 def _totals(points: DataFrame) -> DataFrame:
     total = points.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return points.crossJoin(F.broadcast(total))  # one-row side
+    return attach(points, total)
 
 
 def roc_points(scored: DataFrame, y: str, score: str) -> DataFrame:
@@ -85,7 +85,7 @@ def threshold_sweep(scored: DataFrame, y: str, score: str, thresholds: Sequence[
     hits = met.groupBy("threshold").agg(F.sum("pos").alias("tp"), F.sum("n").alias("predicted"))
     total = counts.agg(F.sum("pos").alias("P"))
     grid = scored.sparkSession.createDataFrame([(float(x),) for x in thresholds], "threshold double")
-    rows = grid.join(hits, "threshold", "left").na.fill(0).crossJoin(F.broadcast(total))  # one-row side
+    rows = attach(grid.join(hits, "threshold", "left").na.fill(0), total)
     rows = rows.withColumns({"precision": _safe(F.col("tp"), F.col("predicted")), "recall": _safe(F.col("tp"), F.col("P"))})
     f1 = _safe(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
     return rows.select("threshold", "precision", "recall", f1.alias("f1"))
@@ -112,7 +112,7 @@ def decile_table(scored: DataFrame, y: str, score: str, key: str, n: int = 10) -
     rows = tiled.groupBy("decile").agg(F.count(F.lit(1)).alias("size"), F.sum(y).cast("long").alias("converters"))
     cum = running(rows, [], ["decile"], {"cumulative_converters": ("sum", F.col("converters"))})
     total = rows.agg(F.sum("size").alias("__n"), F.sum("converters").alias("__c"))
-    out = cum.crossJoin(F.broadcast(total))  # one-row side
+    out = attach(cum, total)
     rate = F.col("converters") / F.col("size")
     return out.select(
         "decile", "size", "converters", (F.col("size") - F.col("converters")).alias("non_converters"), rate.alias("conversion_rate"),

@@ -178,11 +178,10 @@ def join_back(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "
     return df.join(renamed, cond, how).drop(*[f"__k{i}" for i in range(len(keys))])
 
 
-def with_scalars(df: DataFrame, stats: DataFrame) -> DataFrame:
-    """Attach a one-row aggregate as literals; the row is read on the driver."""
-    row = stats.first()
-    types = dict(stats.dtypes)
-    return df.select("*", *[F.lit(row[c]).cast(types[c]).alias(c) for c in stats.columns])
+def attach(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """Columns of a one-row aggregate on every row, as a scalar subquery."""
+    one = stats.select(F.struct(*stats.columns).alias("s")).scalar()
+    return df.select("*", *[one.getField(c).alias(c) for c in stats.columns])
 
 
 def quantiles(

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tabloom.functions.scalars import log1p_positive, parse_date, width_bin
 from tabloom.operators.aggregates import crosstab, skewed, value_counts
 from tabloom.operators.geo import iqr_bounds
-from tabloom.operators.ordered import join_back, position, running, unpivot_numeric
+from tabloom.operators.ordered import attach, join_back, position, running, unpivot_numeric
 from tabloom.operators.relational import clean_nonfinite, drop_constant, drop_sparse, numeric_columns
 
 
@@ -239,7 +239,7 @@ def density(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
     """Counts on an equal-width grid."""
     rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).na.drop()
     edge = rows.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    rows = rows.crossJoin(F.broadcast(edge))  # one-row side
+    rows = attach(rows, edge)
     return rows.groupBy(
         _bin(F.col("x"), F.col("x0"), F.col("x1"), bins).alias("x_bin"), _bin(F.col("y"), F.col("y0"), F.col("y1"), bins).alias("y_bin")
     ).agg(F.count(F.lit(1)).alias("n"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabloom.operators.ordered import (
-    GROUP_ROWS, join_back, nearby, ntile_column, position, running,
+    GROUP_ROWS, attach, join_back, nearby, ntile_column, position, running,
 )
 
 
@@ -138,5 +138,4 @@ def cumulative_share(df: DataFrame, bucket: str, hits: str) -> DataFrame:
     counts = df.groupBy(bucket).agg(F.sum(hits).alias("hits"))
     cum = running(counts, [], [bucket], {"cumulative_hits": ("sum", F.col("hits"))})
     total = counts.agg(F.sum("hits").alias("__t"))
-    out = cum.crossJoin(F.broadcast(total))  # one-row side
-    return out.withColumn("cumulative_share", F.col("cumulative_hits") / F.col("__t")).drop("__t")
+    return attach(cum, total).withColumn("cumulative_share", F.col("cumulative_hits") / F.col("__t")).drop("__t")
