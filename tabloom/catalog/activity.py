@@ -84,8 +84,8 @@ PLAYS = ["l_orderkey as game_id", "l_linenumber as play_id", "l_partkey as part_
          "l_partkey % 2 = 0 as rush_attempt", "l_partkey % 3 = 0 as dropback", "case when l_partkey % 4 = 0 then 1 end as pass_rusher",
          "case when l_partkey % 5 = 0 then 1 end as caused_pressure", "case when l_suppkey % 2 = 0 then 'Zone' else 'Man' end as coverage",
          "case when l_partkey % 7 = 0 then 1 end as in_motion", "cast(l_suppkey % 25 as int) as play_clock",
-         "case when l_partkey % 6 = 0 then l_discount * 100 end as time_to_pressure", "l_quantity as rushing_yards", "l_tax * 100 as passing_yards",
-         "l_suppkey % 32 as offense", "l_partkey % 32 as defense", "l_quantity / 50 - l_discount as epa"]
+         "case when l_partkey % 6 = 0 then round(l_discount * 100) end as time_to_pressure", "l_quantity as rushing_yards", "round(l_tax * 100) as passing_yards",
+         "l_suppkey % 32 as offense", "l_partkey % 32 as defense", "l_quantity - round(l_discount * 100) as epa"]
 PLAYS_SQL = "plays as (select " + ", ".join(PLAYS).replace("as string)", "as varchar)") + " from lineitem)"
 
 
@@ -103,22 +103,20 @@ def _success(t):
 FEATURES = ["critical_down", "score_differential", "normalized_yardline", "quarter_time_left", "offensive_tendency", "pressure_rate",
             "zone_coverage", "avg_time_to_pressure", "in_motion", "avg_rushing_yards", "avg_passing_yards", "team_avg_epa",
             "defensive_blitz_rate", "red_zone", "goal_to_go", "play_clock_critical"]
-MEANS = ["avg_time_to_pressure", "avg_rushing_yards", "avg_passing_yards", "team_avg_epa", "quarter_time_left"]
-
 
 @query("play_features", f"""with {PLAYS_SQL},
 r as (select *, coalesce(caused_pressure, 0) / (coalesce(pass_rusher, 0) + 1e-5) as pressure_rate from plays)
 select game_id, play_id, part_id, case when down in (3, 4) then 1 else 0 end as critical_down, home_score - visitor_score as score_differential,
   abs(yardline - 50) as normalized_yardline, round((part_id % 15 * 60 + player_id % 60) / 900, 6) as quarter_time_left,
   cast(rush_attempt as int) - cast(dropback as int) as offensive_tendency, round(pressure_rate, 3) as pressure_rate,
-  case when coverage = 'Zone' then 1 else 0 end as zone_coverage, round(avg(time_to_pressure) over (partition by player_id), 6) as avg_time_to_pressure,
-  coalesce(in_motion, 0) as in_motion, round(avg(rushing_yards) over (partition by player_id), 6) as avg_rushing_yards,
-  round(avg(passing_yards) over (partition by player_id), 6) as avg_passing_yards, round(avg(epa) over (partition by offense), 6) as team_avg_epa,
+  case when coverage = 'Zone' then 1 else 0 end as zone_coverage, avg(time_to_pressure) over (partition by player_id) as avg_time_to_pressure,
+  coalesce(in_motion, 0) as in_motion, avg(rushing_yards) over (partition by player_id) as avg_rushing_yards,
+  avg(passing_yards) over (partition by player_id) as avg_passing_yards, avg(epa) over (partition by offense) as team_avg_epa,
   round(avg(pressure_rate) over (partition by defense), 2) as defensive_blitz_rate, case when yardline >= 80 then 1 else 0 end as red_zone,
   case when yards_to_go <= 10 then 1 else 0 end as goal_to_go, case when play_clock <= 5 then 1 else 0 end as play_clock_critical from r""")
 def _features(t):
     out = P.play_features(plays(t))
-    digits = {c: 6 for c in MEANS} | {"pressure_rate": 3, "defensive_blitz_rate": 2}
+    digits = {"quarter_time_left": 6, "pressure_rate": 3, "defensive_blitz_rate": 2}  # the other inputs are whole numbers
     return out.select("game_id", "play_id", "part_id", *[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in FEATURES])
 
 

@@ -186,12 +186,10 @@ SET_OUT = """claim_nr, line_nr, adj_nr, job_id, ship_date, cast(total_charged as
 
 
 def claim_set(t):
-    """Scope read once: collapse, cancel flags and fill all hang off it."""
-    rows = scoped(t)
-    base = C.claims_collapse(rows, KEYS, MEASURES, use_max(), ["file_type", "file_name"])
-    base = C.claims_cancel_flags(base, ["claim_nr", "adj_nr"], TOTALS)
-    filled = C.claims_ffill(rows, KEYS, ORDER, FILL)
-    return C.claims_set(base, filled, KEYS, FILL).select(*SET_COLS)
+    out = C.claims_consolidate(
+        scoped(t), KEYS, ORDER, MEASURES, FILL, use_max(), ["file_type", "file_name"], ["claim_nr", "adj_nr"]
+    )
+    return out.select(*SET_COLS)
 
 
 @query("claims_set", f"with {SET_SQL} select {SET_OUT} from claim_set")

@@ -51,7 +51,8 @@ def _optimize(t):
     return out.withColumns({c: (F.col(c) - n).cast(out.schema[c].dataType) for c, n in shift.items()})
 
 
-@query("clean_table", f"with {SPARSE_SQL} select event_id, coalesce(ln(1 + reading), 0.0) as reading, code from sparse")
+@query("clean_table", f"""with {SPARSE_SQL} select event_id, coalesce(case when (select min(reading) from sparse) > 0 then ln(1 + reading) else reading end, 0.0) as reading,
+  code from sparse""")
 def _clean(t):
     rows = sparse(t).select("event_id", "reading", "rare", "channel", "code")
     out = P.clean_data(rows, 0.4, ["reading"], fill_with=None)

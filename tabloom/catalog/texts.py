@@ -86,15 +86,14 @@ def _best(t):
 @query("text_error_rates", """with b as (select conv_id * 1000 + turn as id, turn, list_filter(string_split_regex(regexp_replace(text, '[^ -~\\n]', '', 'g'), '\\s+'), lambda w: w <> '') as w
   from conversations),
 c as (select id, w, array_to_string(w, ' ') as truth, w[1:greatest(len(w) - turn % 3, 0)] as v from b)
-select id, round(levenshtein(truth, array_to_string(v, ' ')) / nullif(length(truth), 0), 6) as cer, round((len(w) - len(v)) / nullif(len(w), 0), 6) as wer,
-  round(levenshtein(truth, array_to_string(v, ' ')) / nullif(len(w), 0), 6) as char_per_word from c""")
+select id, round(levenshtein(truth, array_to_string(v, ' ')) / nullif(length(truth), 0), 6) as cer, round((len(w) - len(v)) / nullif(len(w), 0), 6) as wer from c""")
 def _errors(t):
     words = X.split_words(F.regexp_replace("text", "[^ -~\n]", ""))
     rows = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "turn", words.alias("w"))
     kept = F.slice("w", F.lit(1), F.greatest(F.size("w") - F.col("turn").cast("int") % 3, F.lit(0)))
     rows = rows.select("id", F.array_join("w", " ").alias("truth"), F.array_join(kept, " ").alias("got"))
     out = X.error_rates(rows, "truth", "got")
-    return out.select("id", *[F.round(c, 6).alias(c) for c in ("cer", "wer", "char_per_word")])
+    return out.select("id", *[F.round(c, 6).alias(c) for c in ("cer", "wer")])
 
 
 @query("udf_rowwise", """select event_id, case when event_type = 'purchase' and value > 50 then 'large' when event_type = 'purchase' then 'small'

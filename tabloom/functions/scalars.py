@@ -161,23 +161,29 @@ def ratio(a: Column, b: Column, eps: float) -> Column:
     return a / (b + F.lit(eps))
 
 
-def _present(cols: Sequence[Column]) -> Column:
-    return F.filter(F.array_compact(F.array(*[c.cast("double") for c in cols])), lambda x: ~F.isnan(x))
+def _values(cols: Sequence[Column]) -> list[Column]:
+    """Doubles with NaN as NULL."""
+    return [F.nanvl(c.cast("double"), F.lit(None).cast("double")) for c in cols]
+
+
+def _sum(cols: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0.0)) for c in cols])
 
 
 def row_mean(cols: Sequence[Column]) -> Column:
     """Mean over the present values of a row; NULL when there are none."""
-    v = _present(cols)
-    total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
-    return F.when(F.size(v) > 0, total / F.nullif(F.size(v), F.lit(0)))
+    v = _values(cols)
+    n = _sum([c.isNotNull().cast("double") for c in v])
+    return _sum(v) / F.nullif(n, F.lit(0.0))
 
 
 def row_std(cols: Sequence[Column]) -> Column:
     """Sample standard deviation over the present values of a row."""
-    v = _present(cols)
+    v = _values(cols)
+    n = _sum([c.isNotNull().cast("double") for c in v])
     mean = row_mean(cols)
-    ss = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-    return F.when(F.size(v) > 1, F.sqrt(ss / F.nullif(F.size(v) - 1, F.lit(0))))
+    ss = _sum([(c - mean) * (c - mean) for c in v])
+    return F.sqrt(ss / F.nullif(F.greatest(n - 1, F.lit(0.0)), F.lit(0.0)))
 
 
 def entropy(cols: Sequence[Column], eps: float = 1e-9, inner: float = 1e-6) -> Column:

@@ -93,4 +93,6 @@ def forecast_series(
             out.insert(i, k, pdf[k].iloc[0])
         return out
 
-    return daily.groupBy(*keys).applyInPandas(one, schema)
+    # An explicit partition count: the fits are heavier than their few bytes suggest.
+    parts = daily.sparkSession.sparkContext.defaultParallelism * 4
+    return daily.repartition(parts, *keys).groupBy(*keys).applyInPandas(one, schema)

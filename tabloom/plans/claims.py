@@ -11,6 +11,7 @@ from tabloom.operators.aggregates import collapse_max, netted_flags, sum_or_max
 from tabloom.operators.joins import anti, keep_group_max, recent_batches, semi
 from tabloom.operators.ordered import join_back, position, running
 from tabloom.operators.relational import any_in, code_between
+from tabloom.session import stable
 
 
 def claims_scope(
@@ -73,6 +74,17 @@ def claims_set(
     return join_back(base, late, keys)
 
 
+def claims_consolidate(
+    scoped: DataFrame, keys: Sequence[str], order: Sequence, measures: Sequence[str], fill_cols: Sequence[str],
+    use_max: Column, by: Sequence[str], cancel_keys: Sequence[str],
+) -> DataFrame:
+    """Collapse, cancel flags and fill off one scoped read, joined to one row per key."""
+    scoped = stable(scoped)  # collapse and fill both read it
+    base = claims_collapse(scoped, keys, measures, use_max, by)
+    base = claims_cancel_flags(base, cancel_keys, [f"total_{m}" for m in measures])
+    return claims_set(base, claims_ffill(scoped, keys, order, fill_cols), keys, fill_cols)
+
+
 def claims_prune(df: DataFrame, key: str, adj: str) -> DataFrame:
     """Drop rows below the key's highest adjustment."""
     return keep_group_max(df, [key], adj)

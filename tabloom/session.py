@@ -35,6 +35,12 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, rows_per_task: int = 10_000) -> DataFrame:
+    """Even out rows before work that is heavy per row, whatever the file splits were."""
+    least = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(least, -(-df.count() // rows_per_task)))
+
+
 class Tables:
     """Attribute access to the parquet tables of one data folder."""
 
