@@ -210,14 +210,30 @@ def regressed(t, kind, **params):
     return scored.select("id", "total", "prediction")
 
 
-@query("reg_linear")
+def two_feature_sql(penalty):
+    """Normal equations of total on (n_orders, urgent); the penalty goes on the diagonal."""
+    return f"""with o as (select o_custkey as id, count(*)::double as n_orders, sum(o_totalprice) / 1e5 as total,
+  count(*) filter (o_orderpriority in ('1-URGENT', '2-HIGH'))::double as urgent from orders group by o_custkey),
+p as (select c_custkey as id, coalesce(n_orders, 0) as a, coalesce(urgent, 0) as b, coalesce(total, 0) as y,
+  cast('0x' || left(md5(c_custkey || '-56'), 8) as bigint) % 10000 < 8000 as train from customer left join o on o.id = c_custkey),
+s as (select avg(a) as ma, avg(b) as mb, avg(y) as my, count(*) * var_pop(a) + {penalty} as aa, count(*) * var_pop(b) + {penalty} as bb,
+  count(*) * covar_pop(a, b) as ab, count(*) * covar_pop(a, y) as ay, count(*) * covar_pop(b, y) as by_ from p where train),
+w as (select *, (bb * ay - ab * by_) / (aa * bb - ab * ab) as wa, (aa * by_ - ab * ay) / (aa * bb - ab * ab) as wb from s)
+select id, round(my + wa * (a - ma) + wb * (b - mb), 4) as prediction from p cross join w where not train"""
+
+
+@query("reg_linear", two_feature_sql("0"))
 def _linear(t):
-    return regressed(t, "linear")
+    train, test = M.split_random(people(t), "id", 0.8)
+    model = M.fit(train, ["n_orders", "urgent"], "total", M.regressor("linear", "total", solver="normal"))
+    return model.transform(test).select("id", F.round("prediction", 4).alias("prediction"))
 
 
-@query("reg_ridge")
+@query("reg_ridge", two_feature_sql("50"))
 def _ridge(t):
-    return regressed(t, "ridge")
+    train, test = M.split_random(people(t), "id", 0.8)
+    model = M.ridge(train, ["n_orders", "urgent"], "total", 50.0)
+    return model.transform(test).select("id", F.round("prediction", 4).alias("prediction"))
 
 
 @query("reg_random_forest")

@@ -186,6 +186,7 @@ def smote(df: DataFrame, cols: Sequence[str], y: str, k: int = 5, seed: int = 56
 
 def chi2_scores(df: DataFrame, cols: Sequence[str], y: str) -> DataFrame:
     """Chi-square of each shifted non-negative feature's class totals against the class shares."""
+    df, y = df.withColumnRenamed(y, "__y"), "__y"
     long = unpivot_numeric(df, [y], cols)
     low = long.groupBy("column").agg(F.min("value").alias("lo"))
     cells = long.groupBy("column", y).agg(F.sum("value").alias("s"), F.count("value").alias("n"))
@@ -202,6 +203,7 @@ def select_chi2(df: DataFrame, cols: Sequence[str], y: str, k: int) -> DataFrame
 
 def mutual_info(df: DataFrame, cols: Sequence[str], y: str, bins: int = 10) -> DataFrame:
     """Mutual information (nats) of each equal-width-binned feature with the label."""
+    df, y = df.withColumnRenamed(y, "__y"), "__y"
     long = unpivot_numeric(df, [y], cols).where("value is not null")
     edge = long.groupBy("column").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     rows = long.join(F.broadcast(edge), "column")  # one row per column
@@ -272,13 +274,22 @@ def regressor(kind: str, y: str, **params):
     common = {"labelCol": y, "featuresCol": "features"}
     made = {
         "linear": lambda: G.LinearRegression(**{**common, **params}),
-        "ridge": lambda: G.LinearRegression(**{**common, "regParam": 1.0, "elasticNetParam": 0.0, **params}),
         "random_forest": lambda: G.RandomForestRegressor(**{**common, "numTrees": 100, "seed": 56, **params}),
         "gbt": lambda: G.GBTRegressor(**{**common, "seed": 56, **params}),
     }
     return made[kind]()
 
 
+def ridge(df: DataFrame, cols: Sequence[str], y: str, alpha: float = 1.0) -> PipelineModel:
+    """Least squares plus alpha times the squared coefficients, as ridge is usually stated.
+
+    Spark divides the loss by 2n and scales the penalty by the label's
+    deviation, so alpha is converted.
+    """
+    row = df.agg(F.stddev_pop(y).alias("s"), F.count(y).alias("n")).first()
+    return fit(df, cols, y, regressor("linear", y, regParam=alpha * row["s"] / row["n"], elasticNetParam=0.0, standardization=False, solver="normal"))
+
+
 def fit(df: DataFrame, cols: Sequence[str], y: str, estimator) -> PipelineModel:
     assembler = VectorAssembler(inputCols=list(cols), outputCol="features")
     return Pipeline(stages=[assembler, estimator]).fit(df.select(*df.columns))

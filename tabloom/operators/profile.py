@@ -102,10 +102,12 @@ def _pair_rows(df: DataFrame, pairs: dict[tuple[str, str], Column]) -> DataFrame
 
 def average_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Replace each column by its average rank, from distinct-value counts."""
+    ranks = {}
     for c in cols:
         counts = value_counts(df.where(F.col(c).isNotNull()).select(c), [c])
         cum = running(counts, [], [c], {"upto": ("sum", F.col("n"))})
-        rank = cum.select(c, (F.col("upto") - (F.col("n") - 1) / 2).alias("__rank"))
+        ranks[c] = cum.select(c, (F.col("upto") - (F.col("n") - 1) / 2).alias("__rank"))
+    for c, rank in ranks.items():
         df = join_back(df, rank, [c]).withColumn(c, F.col("__rank")).drop("__rank")
     return df
 
@@ -186,7 +188,8 @@ def prune_upper(df: DataFrame, pairs: DataFrame, threshold: float = 0.8) -> Data
 
 def corr_target(df: DataFrame, y: str, cols: Sequence[str]) -> DataFrame:
     """Correlation of each column with the label, strongest first."""
-    long = unpivot_numeric(df, [y], cols)
+    df, y = df.withColumnRenamed(y, "__y"), "__y"
+    long = unpivot_numeric(df, [y], [c for c in cols if c != y])
     out = long.groupBy("column").agg(F.corr("value", F.col(y).cast("double")).alias("r"))
     return out.orderBy(F.desc(F.abs("r")), "column")
 
@@ -247,6 +250,7 @@ def density(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
 
 def top_separating(df: DataFrame, y: str, features: Sequence[str], n: int) -> DataFrame:
     """Features by the gap of their class means."""
+    df, y = df.withColumnRenamed(y, "__y"), "__y"
     long = unpivot_numeric(df, [y], features)
     means = long.groupBy("column").agg(
         F.avg(F.when(F.col(y) == 0, F.col("value"))).alias("mean_0"), F.avg(F.when(F.col(y) == 1, F.col("value"))).alias("mean_1"))

@@ -24,6 +24,7 @@ from tabloom.operators.joins import (
 )
 from tabloom.operators.ranks import exists_since, group_transform, head_per_key
 from tabloom.operators.relational import conform, fallback, flag, none_in, union_rows
+from tabloom.session import stable
 
 # Programme, status and reason codes of the enrolment system.
 PROGRAM_WELLNESS = 268300000
@@ -116,7 +117,7 @@ def _in_network() -> Column:
 
 def wellness_flags_v1(universe: DataFrame, org: DataFrame, days: int = 270) -> DataFrame:
     """All rows with their warnings; the in-network lookback is relative to each claim."""
-    rows = exists_since(center_usage(universe, org), ["person_id"], "service_date", _in_network(), days, "__near")
+    rows = exists_since(stable(center_usage(universe, org)), ["person_id"], "service_date", _in_network(), days, "__near")
     rows = flag(rows, "warn_switch", _switch())
     rows = flag(rows, "warn_no_appointment", F.col("service_date").isNull() & F.col("next_appt").isNull())
     rows = flag(rows, "warn_no_usage", F.col("next_appt").isNull() & (F.col("__near") == 0))
@@ -125,7 +126,7 @@ def wellness_flags_v1(universe: DataFrame, org: DataFrame, days: int = 270) -> D
 
 def wellness_flags_v2(universe: DataFrame, org: DataFrame, as_of: Column, days: int = 270) -> DataFrame:
     """Flagged rows only; no usage means no in-network claim at all and none lately."""
-    rows = center_usage(universe, org)
+    rows = stable(center_usage(universe, org))
     rows = group_transform(rows, ["person_id"], {"__ever": F.max(_in_network().cast("int"))})
     rows = flag(rows, "warn_switch", _switch())
     rows = flag(rows, "warn_no_appointment", F.col("service_date").isNull() & F.col("next_appt").isNull())
@@ -150,7 +151,7 @@ def wellness_actions(
         F.when(switch & no_usage, "Switch Five Star").when(no_usage, "No Usage")
         .when(usage, "Usage").when(switch, "Switch Five Star")
     )
-    rows = rows.withColumn("action", action).where("action is not null")
+    rows = stable(rows.withColumn("action", action).where("action is not null"))  # read three times below
     used = rows.where("action = 'Usage'").select("person_id")
     quiet = anti(rows.where("action = 'No Usage'"), used, ["person_id"])
     moved = rows.where("action = 'Switch Five Star'")
@@ -165,7 +166,7 @@ def wellness_episode_rows(
     keys: Sequence[str],
 ) -> tuple[DataFrame, DataFrame]:
     """(rows in the target layout not sent before, rows to add to the history)."""
-    fresh = not_in_history(conform(actions, layout, constants).distinct(), history, keys)
+    fresh = stable(not_in_history(conform(actions, layout, constants).distinct(), history, keys))
     return fresh, conform(fresh, history.schema)
 
 

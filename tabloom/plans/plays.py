@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.scalars import clock_fraction
 from tabloom.operators.aggregates import multi_stats
-from tabloom.operators.ranks import group_transform
+from tabloom.operators.ordered import join_back
 
 
 def play_success(plays: DataFrame) -> DataFrame:
@@ -43,12 +43,16 @@ def play_features(plays: DataFrame) -> DataFrame:
         "play_clock_critical": one(c("play_clock") <= 5),
     })
     out = out.withColumn("pressure_rate", c("caused_pressure") / (c("pass_rusher") + 1e-5))
-    out = group_transform(out, ["player_id"], {
-        "avg_time_to_pressure": F.avg("time_to_pressure"), "avg_rushing_yards": F.avg("rushing_yards"),
-        "avg_passing_yards": F.avg("passing_yards"),
-    })
-    out = group_transform(out, ["offense"], {"team_avg_epa": F.avg("epa")})
-    return group_transform(out, ["defense"], {"defensive_blitz_rate": F.avg("pressure_rate")})
+    # All three statistics come from the same rows, before any of them is joined.
+    means = {
+        "player_id": {"avg_time_to_pressure": "time_to_pressure", "avg_rushing_yards": "rushing_yards", "avg_passing_yards": "passing_yards"},
+        "offense": {"team_avg_epa": "epa"},
+        "defense": {"defensive_blitz_rate": "pressure_rate"},
+    }
+    stats = {k: out.groupBy(k).agg(*[F.avg(src).alias(n) for n, src in m.items()]) for k, m in means.items()}
+    for k, s in stats.items():
+        out = join_back(out, s, [k])
+    return out
 
 
 def tracking_presnap(tracking: DataFrame, plays: DataFrame) -> DataFrame:

@@ -67,6 +67,16 @@ def test_regression_matches_least_squares(cloud):
     assert m.rmse < 1e-6 and m.r2 == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("alpha", [0.0, 1.0, 500.0])
+def test_ridge_matches_the_closed_form(cloud, alpha):
+    df = cloud.withColumn("t", 3 * F.col("a") - 2 * F.col("b") + F.col("y") * 40 + F.col("id") % 7)
+    got = M.ridge(df, ["a", "b"], "t", alpha).stages[-1].coefficients.toArray()
+    pdf = df.toPandas()
+    x = pdf[["a", "b"]] - pdf[["a", "b"]].mean()
+    want = np.linalg.solve(x.T @ x + alpha * np.eye(2), x.T @ (pdf["t"] - pdf["t"].mean()))
+    assert np.allclose(got, want, rtol=1e-6)
+
+
 @pytest.mark.parametrize("kind", ["logistic", "random_forest", "gbt", "naive_bayes", "svm_linear", "decision_tree", "mlp"])
 def test_classifiers_learn_the_rule(cloud, kind):
     extra = {"random_forest": {"numTrees": 10}, "gbt": {"maxIter": 5}}.get(kind, {})
