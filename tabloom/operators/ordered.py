@@ -21,6 +21,13 @@ GROUP_ROWS = 2_000_000
 BLOCK_ROWS = 1_000_000
 
 
+def group_rows(df: DataFrame, limit: int | None) -> int:
+    """Largest group a plain window may hold; ``spark.tabloom.groupRows`` overrides the default."""
+    if limit is not None:
+        return limit
+    return int(df.sparkSession.conf.get("spark.tabloom.groupRows", str(GROUP_ROWS)))
+
+
 def group_bound(df: DataFrame, keys: Sequence[str], buckets: int = 65_536) -> int:
     """Upper bound of the rows in any one key group (hash buckets, so cheap)."""
     if not keys:
@@ -58,7 +65,7 @@ def running(
     order: Sequence,
     aggs: dict[str, tuple[str, Column]],
     exclusive: bool = False,
-    limit: int = GROUP_ROWS,
+    limit: int | None = None,
 ) -> DataFrame:
     """Running sum/max/min/last-non-null per key in a total order.
 
@@ -66,37 +73,37 @@ def running(
     """
     keys, order = list(keys), _as_columns(order)
     end = -1 if exclusive else 0
-    if group_bound(df, keys) <= limit:
+    if group_bound(df, keys) <= group_rows(df, limit):
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
         return df.select("*", *[_LOCAL[k](c).over(w).alias(n) for n, (k, c) in aggs.items()])
 
     ranged = df.select("*", *[c.alias(f"__in_{n}") for n, (_, c) in aggs.items()])
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = ranged.repartitionByRange(parts, *keys, *order)
-    ranged = stable(ranged.withColumn("__pid", F.spark_partition_id()))
+    ranged = stable(ranged.withColumn("__scan_pid", F.spark_partition_id()))
     group = F.struct(*keys) if keys else F.lit(0)
-    base = Window.partitionBy("__pid", *keys).orderBy(*order)
+    base = Window.partitionBy("__scan_pid", *keys).orderBy(*order)
     upto = base.rowsBetween(Window.unboundedPreceding, 0)
     frame = base.rowsBetween(Window.unboundedPreceding, end)
     local = ranged.select(
         "*",
-        group.alias("__key"),
-        F.row_number().over(base).alias("__pos"),
+        group.alias("__scan_key"),
+        F.row_number().over(base).alias("__scan_pos"),
         *[_LOCAL[k](F.col(f"__in_{n}")).over(upto).alias(f"__all_{n}") for n, (k, _) in aggs.items()],
         *[_LOCAL[k](F.col(f"__in_{n}")).over(frame).alias(f"__loc_{n}") for n, (k, _) in aggs.items()],
     )
     # One row per range partition: its first key, its last key and that key's totals.
-    edges = local.groupBy("__pid").agg(
-        F.min("__key").alias("first_key"),
+    edges = local.groupBy("__scan_pid").agg(
+        F.min("__scan_key").alias("first_key"),
         F.max_by(
-            F.struct("__key", *[f"__all_{n}" for n in aggs]), F.struct("__key", "__pos")
+            F.struct("__scan_key", *[f"__all_{n}" for n in aggs]), F.struct("__scan_key", "__scan_pos")
         ).alias("tail"),
     )
     edges = stable(edges.coalesce(1))
-    heads = edges.select(F.col("__pid").alias("q"), F.col("first_key"))
-    tails = edges.select(F.col("__pid").alias("p"), "tail.*")
+    heads = edges.select(F.col("__scan_pid").alias("q"), F.col("first_key"))
+    tails = edges.select(F.col("__scan_pid").alias("p"), "tail.*")
     pairs = heads.join(
-        tails, F.col("first_key").eqNullSafe(F.col("__key")) & (F.col("p") < F.col("q"))
+        tails, F.col("first_key").eqNullSafe(F.col("__scan_key")) & (F.col("p") < F.col("q"))
     )
     merged = []
     for n, (kind, _) in aggs.items():
@@ -110,7 +117,7 @@ def running(
     # carry holds at most one row per range partition
     out = local.join(
         F.broadcast(carry),
-        (F.col("__pid") == F.col("q")) & F.col("__key").eqNullSafe(F.col("first_key")),
+        (F.col("__scan_pid") == F.col("q")) & F.col("__scan_key").eqNullSafe(F.col("first_key")),
         "left",
     )
     return out.select(
@@ -123,7 +130,7 @@ def running(
 
 
 def position(
-    df: DataFrame, keys: Sequence[str], order: Sequence, name: str = "rn", limit: int = GROUP_ROWS
+    df: DataFrame, keys: Sequence[str], order: Sequence, name: str = "rn", limit: int | None = None
 ) -> DataFrame:
     """1-based row number per key in a total order."""
     one = F.lit(1).cast("long")
@@ -136,7 +143,7 @@ def nearby(
     order: Sequence,
     halo: int,
     exprs: Callable[[object], dict[str, Column]],
-    limit: int = GROUP_ROWS,
+    limit: int | None = None,
     block: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Window expressions that look back at most ``halo`` rows (lag, rolling).
@@ -145,7 +152,7 @@ def nearby(
     rows of a block are copied to the next one and dropped afterwards.
     """
     keys, order = list(keys), _as_columns(order)
-    if group_bound(df, keys) <= limit:
+    if group_bound(df, keys) <= group_rows(df, limit):
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.select("*", *[c.alias(n) for n, c in exprs(w).items()])
     block = max(block, halo)
@@ -189,7 +196,7 @@ def quantiles(
     cols: Sequence[str],
     qs: dict[str, float],
     keys: Sequence[str] = (),
-    limit: int = GROUP_ROWS,
+    limit: int | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles: one row per (keys, column).
 

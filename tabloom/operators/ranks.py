@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabloom.operators.ordered import (
-    GROUP_ROWS, attach, join_back, nearby, ntile_column, position, running,
+    attach, join_back, nearby, ntile_column, position, running,
 )
 
 
@@ -101,7 +101,7 @@ def islands(df: DataFrame, col: str) -> DataFrame:
 
 
 def merge_spans(
-    df: DataFrame, keys: Sequence[str], start: str, end: str, limit: int = GROUP_ROWS
+    df: DataFrame, keys: Sequence[str], start: str, end: str, limit: int | None = None
 ) -> DataFrame:
     """Merge overlapping or touching spans per key."""
     spans = df.groupBy(*keys, start).agg(F.max(end).alias(end))
