@@ -158,9 +158,24 @@ def _gbt(t):
     return trained(t, "gbt", maxIter=20)
 
 
-@query("clf_naive_bayes")
+PEOPLE_SQL = """o as (select o_custkey as id, count(*)::double as n_orders, sum(o_totalprice) / 1e5 as total, max(o_totalprice) / 1e5 as largest,
+  count(*) filter (o_orderpriority in ('1-URGENT', '2-HIGH'))::double as urgent from orders group by o_custkey),
+f as (select c_custkey as id, coalesce(n_orders, 0) as n_orders, coalesce(total, 0) as total, coalesce(largest, 0) as largest,
+  coalesce(urgent, 0) as urgent, c_acctbal / 1e3 as c_acctbal from customer left join o on o.id = c_custkey),
+people as (select *, case when urgent / (n_orders + 1) + c_acctbal / 40 + (id * 7919 % 100) / 100.0::double / 5 > 0.65 then 1 else 0 end as y,
+  cast('0x' || left(md5(id || '-56'), 8) as bigint) % 10000 < 8000 as train from f)"""
+BAYES_SQL = f"""with {PEOPLE_SQL},
+e as (select 1e-9 * greatest({', '.join(f'var_pop({c})' for c in COLS)}) as eps from people where train),
+m as (select y, count(*) as n, {', '.join(f'avg({c}) as m_{c}, var_pop({c}) as v_{c}' for c in COLS)} from people where train group by y),
+ll as (select p.id, p.y as actual, m.y, ln(m.n) - 0.5 * ({' + '.join(f'(ln(2 * pi() * (v_{c} + eps)) + pow(p.{c} - m_{c}, 2) / (v_{c} + eps))' for c in COLS)}) as l
+  from people p cross join m cross join e where not p.train),
+pr as (select id, actual, 1 / (1 + exp(max(l) filter (y = 0) - max(l) filter (y = 1))) as score from ll group by id, actual)
+select id, actual as y, round(score, 4) as score from pr"""
+
+
+@query("clf_naive_bayes", BAYES_SQL)
 def _bayes(t):
-    return trained(t, "naive_bayes")
+    return trained(t, "naive_bayes").select("id", "y", F.round("score", 4).alias("score"))
 
 
 @query("clf_svm_linear")
@@ -293,9 +308,22 @@ def _elbow(t):
     return M.kmeans_elbow(rows, "features", 2, 6)
 
 
-@query("price_grid_search")
+PRICE_SQL = f"""with {PEOPLE_SQL},
+r as (select id, least(1.0, 0.4 + c_acctbal / 20 + n_orders / 100)::double as u, largest + 0.5::double as price, n_orders from people),
+s as (select avg(price) as ma, avg(n_orders) as mb, avg(u) as my, var_pop(price) as aa, var_pop(n_orders) as bb, covar_pop(price, n_orders) as ab,
+  covar_pop(price, u) as ay, covar_pop(n_orders, u) as by_ from r),
+w as (select *, (bb * ay - ab * by_) / (aa * bb - ab * ab) as wa, (aa * by_ - ab * ay) / (aa * bb - ab * ab) as wb from s),
+g as (select id, price, price * (0.5::double + i / 29) as p, my + wa * (price * (0.5::double + i / 29) - ma) + wb * (n_orders - mb) as pred,
+  my + wa * (price - ma) + wb * (n_orders - mb) as now from r cross join w cross join (select unnest(range(0, 30)) as i))
+select id, price as current_price, round(coalesce(arg_min(p, pred - 0.6) filter (pred >= 0.6), price) + 1e-7, 5) as best_price,
+  round(coalesce(min(pred) filter (pred >= 0.6), max(now)) + 1e-7, 5) as predicted from g group by id, price"""
+
+
+@query("price_grid_search", PRICE_SQL)
 def _prices(t):
     rows = people(t).selectExpr("id", "least(1.0, 0.4 + c_acctbal / 20 + n_orders / 100) as utilization", "largest + 0.5 as price", "n_orders")
     model = M.fit(rows, ["price", "n_orders"], "utilization", M.regressor("linear", "utilization"))
-    return M.price_grid_search(rows, model, "id", "price", 0.6, 0.5, 30)
+    out = M.price_grid_search(rows, model, "id", "price", 0.6, 0.5, 30)
+    # prices sit on exact halves of the fifth digit; the offset keeps both sides on one side of them
+    return out.withColumns({c: F.round(F.col(c) + 1e-7, 5) for c in ("best_price", "predicted")})
 
