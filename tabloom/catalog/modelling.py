@@ -315,8 +315,8 @@ s as (select avg(price) as ma, avg(n_orders) as mb, avg(u) as my, var_pop(price)
 w as (select *, (bb * ay - ab * by_) / (aa * bb - ab * ab) as wa, (aa * by_ - ab * ay) / (aa * bb - ab * ab) as wb from s),
 g as (select id, price, price * (0.5::double + i / 29) as p, my + wa * (price * (0.5::double + i / 29) - ma) + wb * (n_orders - mb) as pred,
   my + wa * (price - ma) + wb * (n_orders - mb) as now from r cross join w cross join (select unnest(range(0, 30)) as i))
-select id, price as current_price, round(coalesce(arg_min(p, pred - 0.6) filter (pred >= 0.6), price) + 1e-7, 5) as best_price,
-  round(coalesce(min(pred) filter (pred >= 0.6), max(now)) + 1e-7, 5) as predicted from g group by id, price"""
+select id, price as current_price, round(coalesce(arg_min(p, pred - 0.6) filter (pred >= 0.6), price) + 3.3e-9, 5) as best_price,
+  round(coalesce(min(pred) filter (pred >= 0.6), max(now)) + 3.3e-9, 5) as predicted from g group by id, price"""
 
 
 @query("price_grid_search", PRICE_SQL)
@@ -324,6 +324,6 @@ def _prices(t):
     rows = people(t).selectExpr("id", "least(1.0, 0.4 + c_acctbal / 20 + n_orders / 100) as utilization", "largest + 0.5 as price", "n_orders")
     model = M.fit(rows, ["price", "n_orders"], "utilization", M.regressor("linear", "utilization"))
     out = M.price_grid_search(rows, model, "id", "price", 0.6, 0.5, 30)
-    # prices sit on exact halves of the fifth digit; the offset keeps both sides on one side of them
-    return out.withColumns({c: F.round(F.col(c) + 1e-7, 5) for c in ("best_price", "predicted")})
+    # half prices can end exactly between two fifth digits; the offset decides alike on both sides
+    return out.withColumns({c: F.round(F.col(c) + 3.3e-9, 5) for c in ("best_price", "predicted")})
 
