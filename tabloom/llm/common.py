@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,54 +25,47 @@ def documents(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/documents.parquet")
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def text_bytes(name: str = "text", alias: str = "text"):
     """A text column as UTF-8 bytes, null as empty."""
     return F.coalesce(F.col(name), F.lit("")).cast("binary").alias(alias)
 
 
-class Memo(dict):
-    """Dictionary that computes missing values; ``trim`` bounds its size between documents."""
-
-    def __init__(self, compute: Callable, limit: int = 400_000):
-        super().__init__()
-        self.compute = compute
-        self.limit = limit
-
-    def __missing__(self, key):
-        value = self[key] = self.compute(key)
-        return value
+_INNER = re.compile(r" (?=\s|\Z)")
 
-    def trim(self) -> None:
-        if len(self) > self.limit:
-            self.clear()
 
-
-def segments(text: str) -> list[str]:
-    """Cut a text before every single blank that a non-blank character follows.
+def blank_parts(text: str) -> list[str]:
+    """Cut a text at every blank that a non-blank character follows.
 
     Byte-level patterns whose matches hold a blank only in front never match
-    across such a cut, so the pieces can be encoded one by one. A piece keeps
-    its leading blank except the first one.
+    across such a cut, so the parts can be encoded one by one: the first as it
+    is, every other one with the blank in front that was taken away.
     """
     parts = text.split(" ")
+    if _INNER.search(text) is None:
+        return parts
     out = [parts[0]]
     for part in parts[1:]:
         if part and not part[0].isspace():
-            out.append(" " + part)
+            out.append(part)
         else:
             out[-1] += " " + part
     return out
 
 
-def cut_segments(text: str) -> list[str]:
-    """``segments`` with a fast path for texts without runs of white space."""
-    if "  " in text or " \n" in text or " \t" in text or text.endswith(" ") or not text.isascii():
-        return segments(text)
-    parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else segments(text)
-    if any(p[1:2].isspace() for p in parts[1:]):
-        return segments(text)
-    return parts
+def slices(texts: list, most: int) -> Iterator[list]:
+    """Consecutive texts of together about ``most`` bytes."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def ddl(df: DataFrame, columns: list[str], extra: str) -> str:
+    """Schema text of some columns of a frame, followed by further fields."""
+    kinds = df.select(*[F.col(f"`{c}`") for c in columns]).schema
+    return ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kinds], extra])

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import simhash
+from tabloom.llm import bpe, language, rules, simhash
 from tabloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +29,19 @@ def query(key: str, sql: str | None = None):
 def op2(spark: SparkSession, root: str) -> DataFrame:
     found = simhash.groups(documents(spark, root))
     return found.select("doc_id", simhash.hex_print().alias("fingerprint"), "component_id")
+
+
+@query("op9_byte_bpe")
+def op9(spark: SparkSession, root: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode(documents(spark, root).select("doc_id", "text"), path, public_tokenizers.PATTERN, digests=True)
+
+
+@query("op1_language")
+def op1(spark: SparkSession, root: str) -> DataFrame:
+    return language.identify(documents(spark, root))
+
+
+@query("op3_quality_rules")
+def op3(spark: SparkSession, root: str) -> DataFrame:
+    return rules.quality(documents(spark, root))
