@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import bpe, language, rules, simhash
+from tabloom.llm import bpe, fingerprint, language, packing, rules, simhash, token_output
 from tabloom.llm.common import documents
+from tabloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -45,3 +46,21 @@ def op1(spark: SparkSession, root: str) -> DataFrame:
 @query("op3_quality_rules")
 def op3(spark: SparkSession, root: str) -> DataFrame:
     return rules.quality(documents(spark, root))
+
+
+@query("op4_token_output")
+def op4(spark: SparkSession, root: str) -> DataFrame:
+    """Pieces as they stand in the written files: place, length and CRC-32 of the 16-bit ids."""
+    out = scratch_path(spark, "tokens")
+    token_output.write(documents(spark, root), out, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return token_output.pieces(token_output.read(spark, out)).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query("op6_packing")
+def op6(spark: SparkSession, root: str) -> DataFrame:
+    return packing.pack(documents(spark, root), public_tokenizers.path("word_bpe_49k.json"), digests=True)
+
+
+@query("op8_fingerprints")
+def op8(spark: SparkSession, root: str) -> DataFrame:
+    return fingerprint.neighbours(documents(spark, root))
