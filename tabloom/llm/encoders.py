@@ -23,13 +23,25 @@ class PartEncoder:
     """Ids (unsigned 16-bit) of texts; remembers up to ``KNOWN`` parts.
 
     ``library`` encodes a list of strings. ``blank`` says whether parts after
-    the first keep their leading blank.
+    the first keep their leading blank, ``lower`` whether the vocabulary ignores
+    case. A full stop or comma after a letter never shares a token with it, so
+    such a part is put together from the word and the mark.
     """
 
-    def __init__(self, library: Callable[[list[str]], list[list[int]]], blank: bool):
+    def __init__(self, library: Callable[[list[str]], list[list[int]]], blank: bool, lower: bool):
         self.library = library
         self.blank = " " if blank else ""
+        self.lower = lower
         self.known: dict[str, bytes] = {}
+        self.marks = dict(zip((".", ",", ""), self._ids([".", ",", ""])))
+
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        return [np.array(x, np.uint16).tobytes() for x in self.library(parts)]
+
+    def _stem(self, part: str) -> tuple[str, str]:
+        mark = part[-1:] if part[-1:] in (".", ",") and part[-2:-1].isalpha() else ""
+        stem = part[:-1] if mark else part
+        return (stem.lower() if self.lower and stem.isascii() else stem), mark
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > KNOWN:
@@ -40,10 +52,12 @@ class PartEncoder:
             heads.add(parts[0])
             cut.append(parts)
             new.update(set(parts[1:]).difference(known))
-        heads, new = list(heads), list(new)
-        ids = [np.array(x, np.uint16).tobytes() for x in self.library(heads + [self.blank + p for p in new])]
+        stems = {p: self._stem(p) for p in new}
+        heads, words = list(heads), list({stem for stem, _ in stems.values()}.difference(known))
+        ids = self._ids(heads + [self.blank + w for w in words])
         first = dict(zip(heads, ids))
-        known.update(zip(new, ids[len(heads) :]))
+        known.update(zip(words, ids[len(heads) :]))
+        known.update([(p, known[stem] + self.marks[mark]) for p, (stem, mark) in stems.items()])
         return [np.frombuffer(b"".join([first[p[0]], *map(known.__getitem__, p[1:])]), np.uint16) for p in cut]
 
 
@@ -52,13 +66,13 @@ def word_encoder(path: str) -> PartEncoder:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     # One call per part: special strings count as text, no token is added.
-    return PartEncoder(lambda parts: [e.ids for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)], blank=False)
+    return PartEncoder(lambda parts: [e.ids for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)], blank=False, lower=True)
 
 
 def rank_encoder(path: str, pattern: str) -> PartEncoder:
     """A rank file with a pattern whose matches hold a blank only in front."""
     encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
-    return PartEncoder(lambda parts: list(map(encoding.encode_ordinary, parts)), blank=True)
+    return PartEncoder(lambda parts: list(map(encoding.encode_ordinary, parts)), blank=True, lower=False)
 
 
 _MADE: dict[tuple, PartEncoder] = {}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import bpe, fingerprint, language, packing, rules, simhash, token_output
+from tabloom.llm import bpe, fingerprint, language, lines, packing, pii, rules, simhash, token_output
 from tabloom.llm.common import documents
 from tabloom.session import scratch_path
 
@@ -64,3 +64,13 @@ def op6(spark: SparkSession, root: str) -> DataFrame:
 @query("op8_fingerprints")
 def op8(spark: SparkSession, root: str) -> DataFrame:
     return fingerprint.neighbours(documents(spark, root))
+
+
+@query("op7_line_dedup", lines.SQL)
+def op7(spark: SparkSession, root: str) -> DataFrame:
+    return lines.dedup(documents(spark, root)).select("doc_id", "text", "n_lines", "n_removed")
+
+
+@query("op10_pii")
+def op10(spark: SparkSession, root: str) -> DataFrame:
+    return pii.report(documents(spark, root))
