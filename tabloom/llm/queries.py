@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import bpe, fingerprint, language, lines, packing, pii, rules, simhash, token_output
+from tabloom.llm import bpe, fingerprint, language, lines, packing, pii, rules, simhash, token_output, weak
 from tabloom.llm.common import documents
 from tabloom.session import scratch_path
 
@@ -74,3 +74,8 @@ def op7(spark: SparkSession, root: str) -> DataFrame:
 @query("op10_pii")
 def op10(spark: SparkSession, root: str) -> DataFrame:
     return pii.report(documents(spark, root))
+
+
+@query("op5_weak_quality")
+def op5(spark: SparkSession, root: str) -> DataFrame:
+    return weak.classify(documents(spark, root))
