@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import blank_parts, ddl, slices, text_bytes
+from tabloom.llm.common import blank_parts, ddl, slices, text_bytes, values, without
 
 NONE = 1 << 62
 WIDE = 64
@@ -34,22 +34,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-class Bpe:
-    """Encoder and decoder for one rank table and splitting pattern."""
+class Merger:
+    """Merges the bytes of a piece by a table ``left id << 32 | right id`` to joined id.
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks = ranks
-        self.split = regex.compile(pattern).findall
-        self.bytes_of = {i: b for b, i in ranks.items()}
-        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        # Every way to cut a token into two tokens: (left id, right id) -> joined id.
-        found = {}
-        for token, rank in ranks.items():
-            for cut in range(1, len(token)):
-                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
-                if left is not None and right is not None:
-                    found[left << 32 | right] = rank
-        self.pairs = found
+    A smaller joined id is merged earlier. ``last_ids`` are the ids of bytes
+    that end a piece, where they differ from ``byte_ids``.
+    """
+
+    def __init__(self, found: dict[int, int], byte_ids: np.ndarray, last_ids: np.ndarray):
+        self.pairs, self.byte_ids, self.last_ids = found, byte_ids, last_ids
         bits = max(16, (2 * len(found)).bit_length())
         self.shift = np.uint64(64 - bits)
         self.slots = np.full(1 << bits, -1, np.int64)
@@ -81,12 +74,13 @@ class Bpe:
             todo, at = todo[on], (at[on] + 1) & (len(self.slots) - 1)
         return out
 
-    def _merge_rows(self, pieces: list[bytes], size: int) -> list[bytes]:
+    def _merge_rows(self, pieces: list[bytes], size: int, kind: type) -> list[bytes]:
         """Token ids of pieces of at most ``size`` bytes (a power of two), all merged side by side."""
         n = len(pieces)
         raw = np.frombuffer(b"".join(p.ljust(size, b"\0") for p in pieces), np.uint8).reshape(n, size)
         length = np.fromiter(map(len, pieces), np.int64, n)
         ids = self.byte_ids[raw]
+        ids[np.arange(n), length - 1] = self.last_ids[raw[np.arange(n), length - 1]]
         ids[np.arange(size) >= length[:, None]] = -1
         after = np.tile(np.arange(1, size + 1), (n, 1))
         before = np.tile(np.arange(-1, size - 1), (n, 1))
@@ -130,15 +124,15 @@ class Bpe:
             put(rows, left, np.where(rank == NONE, NONE, rank << 32 | left))
             live = live[tree[live, 1] != NONE]
         keep = ids >= 0
-        raw = ids[keep].astype(np.uint32).tobytes()
-        ends = (4 * np.cumsum(keep.sum(1))).tolist()
+        raw = ids[keep].astype(kind).tobytes()
+        ends = (np.dtype(kind).itemsize * np.cumsum(keep.sum(1))).tolist()
         return [raw[lo:hi] for lo, hi in zip([0, *ends], ends)]
 
     def _merge_long(self, piece: bytes) -> list[int]:
         """The same steps for one long piece, on plain lists."""
         n = len(piece)
         size = 1 << (n - 1).bit_length()
-        ids = [int(self.byte_ids[b]) for b in piece]
+        ids = [*map(int, self.byte_ids[list(piece[:-1])]), int(self.last_ids[piece[-1]])]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         pairs = self.pairs
         tree = [NONE] * (2 * size)
@@ -175,28 +169,47 @@ class Bpe:
                 put(before[i], rank(before[i], i))
         return [i for i in ids if i >= 0]
 
-    def merge(self, pieces: list[bytes]) -> list[bytes]:
-        """Token ids of each piece (a match of the pattern) as unsigned 32-bit numbers.
-
-        A piece that is a token itself stays whole.
-        """
+    def merge(self, pieces: list[bytes], kind: type = np.uint32) -> list[bytes]:
+        """Token ids of each piece (not empty), as the bytes of numbers of ``kind``."""
         out: list = [None] * len(pieces)
         sized: dict[int, list[int]] = {}
         for at, piece in enumerate(pieces):
-            whole = self.ranks.get(piece)
-            if whole is not None:
-                out[at] = whole.to_bytes(4, "little")
-            elif len(piece) > WIDE:
-                out[at] = np.array(self._merge_long(piece), np.uint32).tobytes()
+            if len(piece) > WIDE:
+                out[at] = np.array(self._merge_long(piece), kind).tobytes()
             else:
                 sized.setdefault(max(2, 1 << (len(piece) - 1).bit_length()), []).append(at)
         for size, places in sized.items():
             for lo in range(0, len(places), ROWS):
                 some = places[lo : lo + ROWS]
-                for at, ids in zip(some, self._merge_rows([pieces[i] for i in some], size)):
+                for at, ids in zip(some, self._merge_rows([pieces[i] for i in some], size, kind)):
                     out[at] = ids
         return out
 
+
+class Bpe(Merger):
+    """Encoder and decoder for one rank table and splitting pattern."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.ranks = ranks
+        self.split = regex.compile(pattern).findall
+        self.bytes_of = {i: b for b, i in ranks.items()}
+        byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        # Every way to cut a token into two tokens.
+        found = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    found[left << 32 | right] = rank
+        super().__init__(found, byte_ids, byte_ids)
+
+    def merge(self, pieces: list[bytes], kind: type = np.uint32) -> list[bytes]:
+        """Token ids of each match of the pattern; a match that is a token itself stays whole."""
+        whole = [self.ranks.get(p) for p in pieces]
+        rest = iter(super().merge([p for p, w in zip(pieces, whole) if w is None], kind))
+        width = np.dtype(kind).itemsize
+        return [next(rest) if w is None else w.to_bytes(width, "little") for w in whole]
+
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -251,6 +264,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", digests
     their place. A null text counts as empty and has no id. Each match of the
     pattern is encoded by itself; the decoded bytes come from the ids alone.
     """
+    docs = without(docs, ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"))
     rest = [c for c in docs.columns if c != text]
     slim = docs.select(*[F.col(f"`{c}`") for c in rest], text_bytes(text, "__text"))
     extra = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary"
@@ -259,7 +273,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", digests
         enc = encoder(path, pattern)
         for b in batches:
             made: list[tuple] = []
-            for part in slices(b.column(b.num_columns - 1).to_pylist(), 8 << 20):
+            for part in slices(values(b.column(b.num_columns - 1)), 8 << 20):
                 for ids in enc.encode([t.decode() for t in part]):
                     numbers = ids.tolist()
                     back = enc.bpe.decode(numbers)

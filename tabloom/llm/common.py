@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,7 +52,18 @@ def blank_parts(text: str) -> list[str]:
     return out
 
 
-def slices(texts: list, most: int) -> Iterator[list]:
+def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """The frame without columns whose names an operator's own results take."""
+    taken = {n.lower() for n in names}
+    return df.drop(*[c for c in df.columns if c.lower() in taken])
+
+
+def values(column) -> Iterator:
+    """Values of an Arrow column one by one, so a batch of long texts is not held twice."""
+    return (v.as_py() for v in column)
+
+
+def slices(texts: Iterable, most: int) -> Iterator[list]:
     """Consecutive texts of together about ``most`` bytes."""
     part, size = [], 0
     for t in texts:

@@ -7,72 +7,115 @@ because most parts of a corpus occur again and again.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import numpy as np
 import tiktoken
 from tokenizers import Tokenizer
 
-from tabloom.llm.bpe import read_ranks
+from tabloom.llm.bpe import Merger, read_ranks
 from tabloom.llm.common import blank_parts
 
-KNOWN = 700_000
+KNOWN = 500_000
+_MARKS = {".", ","}
 
 
 class PartEncoder:
-    """Ids (unsigned 16-bit) of texts; remembers up to ``KNOWN`` parts.
+    """Ids (unsigned 16-bit) of texts; remembers up to ``KNOWN`` parts, those of late use.
 
-    ``library`` encodes a list of strings. ``blank`` says whether parts after
-    the first keep their leading blank, ``lower`` whether the vocabulary ignores
-    case. A full stop or comma after a letter never shares a token with it, so
-    such a part is put together from the word and the mark.
+    ``encode_parts`` gives the ids of strings as bytes. ``blank`` says whether
+    parts after the first keep their leading blank.
     """
 
-    def __init__(self, library: Callable[[list[str]], list[list[int]]], blank: bool, lower: bool):
-        self.library = library
+    def __init__(self, encode_parts: Callable[[list[str]], list[bytes]], blank: bool):
+        self.encode_parts = encode_parts
         self.blank = " " if blank else ""
-        self.lower = lower
         self.known: dict[str, bytes] = {}
-        self.marks = dict(zip((".", ",", ""), self._ids([".", ",", ""])))
-
-    def _ids(self, parts: list[str]) -> list[bytes]:
-        return [np.array(x, np.uint16).tobytes() for x in self.library(parts)]
-
-    def _stem(self, part: str) -> tuple[str, str]:
-        mark = part[-1:] if part[-1:] in (".", ",") and part[-2:-1].isalpha() else ""
-        stem = part[:-1] if mark else part
-        return (stem.lower() if self.lower and stem.isascii() else stem), mark
+        self.before: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > KNOWN:
-            self.known.clear()
-        known, cut, new, heads = self.known, [], set(), set()
+        if len(self.known) > KNOWN // 2:
+            self.before, self.known = self.known, {}
+        known, found, new, heads = self.known, [], set(), set()
         for text in texts:
             parts = blank_parts(text)
             heads.add(parts[0])
-            cut.append(parts)
-            new.update(set(parts[1:]).difference(known))
-        stems = {p: self._stem(p) for p in new}
-        heads, words = list(heads), list({stem for stem, _ in stems.values()}.difference(known))
-        ids = self._ids(heads + [self.blank + w for w in words])
-        first = dict(zip(heads, ids))
-        known.update(zip(words, ids[len(heads) :]))
-        known.update([(p, known[stem] + self.marks[mark]) for p, (stem, mark) in stems.items()])
-        return [np.frombuffer(b"".join([first[p[0]], *map(known.__getitem__, p[1:])]), np.uint16) for p in cut]
+            ids = list(map(known.get, parts))
+            ids[0] = b""  # the first part has no blank in front, so it is looked up apart
+            if None in ids:
+                gaps = [(at, parts[at]) for at, got in enumerate(ids) if got is None]
+                new.update([part for _, part in gaps])
+            else:
+                gaps = []
+            found.append((parts[0], ids, gaps))
+        known.update([(p, self.before[p]) for p in new if p in self.before])
+        heads, new = list(heads), list(new.difference(known))
+        made = self.encode_parts(heads + [self.blank + p for p in new])
+        first = dict(zip(heads, made))
+        known.update(zip(new, made[len(heads) :]))
+        out = []
+        for head, ids, gaps in found:
+            ids[0] = first[head]
+            for at, part in gaps:
+                ids[at] = known[part]
+            out.append(np.frombuffer(b"".join(ids), np.uint16))
+        return out
+
+
+def _word(part: str) -> tuple[str, str] | None:
+    """A part as lower-cased word and mark, if it is one word of composed Latin letters; else None."""
+    mark = part[-1:]
+    if mark in _MARKS:
+        part = part[:-1]
+    else:
+        mark = ""
+    word = part.lower()
+    return (word, mark) if word.isalpha() and (part.isascii() or max(part) < "\u0250") else None
 
 
 def word_encoder(path: str) -> PartEncoder:
-    """A tokenizer file whose pattern drops white space: no token holds any."""
+    """A tokenizer file that drops white space, lowers case and marks the ends of words.
+
+    Words of Latin letters, with a full stop or comma or without, are merged in
+    batches by the file's merges; all else goes through the library.
+    """
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    # One call per part: special strings count as text, no token is added.
-    return PartEncoder(lambda parts: [e.ids for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)], blank=False, lower=True)
+    with open(path) as lines:
+        model = json.load(lines)["model"]
+    vocabulary, end = model["vocab"], model["end_of_word_suffix"]
+    # How byte-level files write bytes: printable ones as themselves, the others from U+0100 on.
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letter = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+    pairs = {}
+    for merge in model["merges"]:
+        left, right = merge if isinstance(merge, list) else merge.split(" ")
+        pairs[vocabulary[left] << 32 | vocabulary[right]] = vocabulary[left + right]
+    order = list(pairs.values())
+    if order != sorted(order):
+        raise ValueError("ids must follow the order of the merges")
+    merger = Merger(pairs, np.array([vocabulary[letter[b]] for b in range(256)]), np.array([vocabulary[letter[b] + end] for b in range(256)]))
+
+    def library(parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint16).tobytes() for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    marks = dict(zip((".", ",", ""), library([".", ",", ""])))
+
+    def encode_parts(parts: list[str]) -> list[bytes]:
+        plain = list(map(_word, parts))
+        words = list({p[0] for p in plain if p})
+        merged = dict(zip(words, merger.merge([w.encode() for w in words], np.uint16)))
+        others = iter(library([p for p, ok in zip(parts, plain) if not ok]))
+        return [merged[p[0]] + marks[p[1]] if p else next(others) for p in plain]
+
+    return PartEncoder(encode_parts, blank=False)
 
 
 def rank_encoder(path: str, pattern: str) -> PartEncoder:
     """A rank file with a pattern whose matches hold a blank only in front."""
     encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
-    return PartEncoder(lambda parts: list(map(encoding.encode_ordinary, parts)), blank=True, lower=False)
+    return PartEncoder(lambda parts: [np.array(encoding.encode_ordinary(p), np.uint16).tobytes() for p in parts], blank=True)
 
 
 _MADE: dict[tuple, PartEncoder] = {}
