@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import ddl, text_bytes
+from tabloom.llm.common import ddl, text_bytes, without
 
 
 @dataclass(frozen=True)
@@ -103,6 +103,7 @@ def containment(a: dict[int, int], b: dict[int, int]) -> float:
 
 def fingerprints(docs: DataFrame, text: str = "text", c: Chunking = Chunking()) -> DataFrame:
     """All columns but the text, with ``fingerprint``. A null text counts as empty and has the empty one."""
+    docs = without(docs, ("fingerprint",))
     rest = [x for x in docs.columns if x != text]
     slim = docs.select(*[F.col(f"`{x}`") for x in rest], text_bytes(text, "__text"))
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import ddl, staged, text_bytes
+from tabloom.llm.common import ddl, staged, text_bytes, without
 
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
@@ -182,6 +182,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Null texts and texts without a letter are ``und`` with score 0. Equal
     scores go to the language with more labelled documents, then by name.
     """
+    docs = without(docs, ("lang_pred", "score"))
     rest = [c for c in docs.columns if c != text]
     slim = docs.select(*[F.col(f"`{c}`") for c in rest], text_bytes(text, "__text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)

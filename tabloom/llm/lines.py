@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import staged
+from tabloom.llm.common import staged, without
 
 # A line counts if it has three words or more.
 THREE_WORDS = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]"
@@ -57,6 +57,7 @@ def dedup(docs: DataFrame, site: str = "source", s: Settings = Settings()) -> Da
     text); rows with the same id and text are treated alike. A null text stays
     null with no line; an emptied text is empty. Other columns stay as they are.
     """
+    docs = without(docs, ("n_lines", "n_removed"))
     lines = staged(occurrences(docs, site), "lines")
     known = boilerplate(lines, s)
     # Distinct first: repeated rows give the same places.

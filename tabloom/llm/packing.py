@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import slices, text_bytes
+from tabloom.llm.common import slices, text_bytes, values
 from tabloom.llm.encoders import encoder, word_encoder
 
 END = 1
@@ -228,7 +228,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
 
         for b in batches:
             docs_of = iter(b.column(0).to_pylist())
-            for part in slices(b.column(1).to_pylist(), 8 << 20):
+            for part in slices(values(b.column(1)), 8 << 20):
                 for ids in encode([t.decode("utf-8", "surrogatepass") for t in part]):
                     made.extend(shown(*x) for x in packer.add(next(docs_of), np.append(ids, np.uint16(s.end))))
                 if len(made) >= 10_000:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import ddl, staged, text_bytes
+from tabloom.llm.common import ddl, staged, text_bytes, values, without
 
 SYMBOLS = b"#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "blank", "mark", "symbol", "other")
@@ -114,7 +114,7 @@ def divergence(p: np.ndarray, q: np.ndarray) -> float:
 
 def _corpus_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) to (lang, kind, key, n): words, character classes, documents; summed over a partition."""
-    most = 300_000
+    most = 150_000
 
     def out(found: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -123,7 +123,7 @@ def _corpus_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     held: dict[str, Counter] = {}
     for b in batches:
-        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        for lang, text in zip(b.column(0).to_pylist(), values(b.column(1))):
             held.setdefault(lang, Counter()).update(text.lower().split())
         if sum(map(len, held.values())) > most:
             yield out(Counter({(lang, 0, w): n for lang, words in held.items() for w, n in words.items()}))
@@ -135,7 +135,7 @@ def _corpus_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, np.ndarray] = {}
     for b in batches:
-        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        for lang, text in zip(b.column(0).to_pylist(), values(b.column(1))):
             counts, _ = char_classes(text.decode("utf-8", "surrogatepass"))
             held[lang] = held.get(lang, 0) + np.append(counts, 1)
     rows = [(lang, i, int(n)) for lang, counts in held.items() for i, n in enumerate(counts)]
@@ -188,10 +188,11 @@ def judge(docs: DataFrame, refs: dict, s: Settings = Settings(), text: str = "te
     A null text has no word and fails. A language that is null or has no
     reference is compared with every reference, and the nearest one counts.
     """
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"]
+    docs = without(docs, names)
     rest = [c for c in docs.columns if c != text]
     slim = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(lang).alias("__lang"), text_bytes(text, "__text"))
     shared = docs.sparkSession.sparkContext.broadcast(refs)
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"]
     kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
 
     def one(lang: str | None, text: bytes) -> tuple:

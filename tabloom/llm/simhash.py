@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import staged, text_bytes
+from tabloom.llm.common import staged, text_bytes, without
 from tabloom.llm.components import components
 
 BUDGET = 3
@@ -54,6 +54,7 @@ def simhash(text: bytes, width: int = 3) -> int:
 
 def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
     """All columns but the text, plus ``simhash`` (long). A null text counts as empty."""
+    df = without(df, ("simhash",))
     rest = [c for c in df.columns if c != text]
     slim = df.select(*[F.col(f"`{c}`") for c in rest], text_bytes(text, "__text"))
     schema = df.select(*[F.col(f"`{c}`") for c in rest], F.lit(0).cast("long").alias("simhash")).schema
@@ -213,6 +214,19 @@ def near_links(prints: DataFrame, cap: int = CAP) -> DataFrame:
     return sorted_rows.mapInArrow(_link_nodes, "u long, v long")
 
 
+def _labelled(docs: DataFrame, id_col: str, text: str, cap: int) -> tuple[DataFrame, DataFrame]:
+    """Prints (id, text_hash, simhash), and per simhash its component, the component's smallest id and its opening document."""
+    named = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    prints = staged(fingerprints(named), "simhash")
+    opener = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")
+    nodes = prints.groupBy("simhash").agg(F.min(opener).alias("first"))
+    label = components(near_links(nodes, cap))
+    nodes = nodes.join(label, nodes.simhash == label.node, "left").select("simhash", "first", F.coalesce("component", "simhash").alias("c"))
+    nodes = staged(nodes, "nodes")
+    roots = nodes.groupBy("c").agg(F.min("first").alias("opener"))
+    return prints, nodes.join(roots, "c").select("simhash", "opener")
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", cap: int = CAP) -> DataFrame:
     """One row per document: its id, ``simhash`` (long) and ``component_id``.
 
@@ -221,26 +235,25 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", cap: int
     fingerprint zero and link like any other; repeated rows stay; an id of null
     never becomes a component id, and a component of null ids only has null.
     """
-    prints = staged(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))), "simhash")
-    nodes = prints.groupBy("simhash").agg(F.min("id").alias("first"))
-    label = components(near_links(nodes, cap))
-    nodes = nodes.join(label, nodes.simhash == label.node, "left").select("simhash", "first", F.coalesce("component", "simhash").alias("c"))
-    nodes = staged(nodes, "nodes")
-    roots = nodes.groupBy("c").agg(F.min("first").alias("component_id"))
-    nodes = nodes.join(roots, "c").select("simhash", "component_id")
-    return prints.join(nodes, "simhash").select(F.col("id").alias(id_col), "simhash", "component_id")
+    prints, nodes = _labelled(docs, id_col, text, cap)
+    return prints.join(nodes, "simhash").select(F.col("id").alias(id_col), "simhash", F.col("opener.id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (with doc_id and text) that open their near-duplicate group.
+def keep_one(docs: DataFrame, cap: int = CAP) -> DataFrame:
+    """The row of ``docs`` (with doc_id and text) that opens each near-duplicate group, all columns.
 
-    Of each component the document with the smallest id stays; several rows
-    with that id count as copies, of which the first by all columns stays.
+    That is the row with the smallest id (null after all), then text hash; of
+    rows that repeat its id and text any one stays.
     """
-    found = groups(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    prints, nodes = _labelled(docs, "doc_id", "text", cap)
+    openers = nodes.select("opener").distinct()
+    rows = prints.groupBy("id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    same = F.col("id").eqNullSafe(F.col("opener.id")) & (F.col("text_hash") == F.col("opener.text_hash"))
+    chosen = staged(rows.join(openers, same, "left_semi").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), "n"), "openers")
+    here = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    single = docs.join(chosen.where("n = 1"), here, "left_semi")
+    repeated = docs.join(chosen.where("n > 1"), here, "left_semi").withColumn("__hash", F.xxhash64("text"))
+    return single.unionByName(repeated.dropDuplicates(["doc_id", "__hash"]).drop("__hash"))
 
 
 def hex_print(column: str = "simhash"):

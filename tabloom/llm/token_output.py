@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import slices, text_bytes
+from tabloom.llm.common import slices, text_bytes, values
 from tabloom.llm.encoders import encoder, rank_encoder
 
 
@@ -154,7 +154,7 @@ def write(docs: DataFrame, out: str, path: str, pattern: str, id_col: str = "doc
 
         for b in batches:
             ids_of = iter(b.column(0).to_pylist())
-            for part in slices(b.column(1).to_pylist(), 8 << 20):
+            for part in slices(values(b.column(1)), 8 << 20):
                 for ids in encode([t.decode("utf-8", "surrogatepass") for t in part]):
                     block.add(next(ids_of), np.append(ids, np.uint16(s.end)))
                     if block.tokens >= s.block_tokens:
