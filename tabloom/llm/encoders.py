@@ -34,6 +34,9 @@ class PartEncoder:
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.known, self.before = {}, {}
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > KNOWN // 2:
             self.before, self.known = self.known, {}

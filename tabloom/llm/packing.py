@@ -35,6 +35,7 @@ class Settings:
     depth: int = 3
     block_tokens: int = 8_000_000
     end: int = END
+    remember: bool = True  # keep encoded parts from task to task; else a worker gives its memory back
 
 
 @cache
@@ -213,7 +214,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
     kinds = [id_type, *[pa.int64()] * 5, last[2]]
 
     def shown(p: Piece, sequence: int, offset: int) -> tuple:
-        ids = zlib.crc32(p.ids.astype("<u4").tobytes()) if digests else p.ids.tolist()
+        ids = zlib.crc32(p.ids.astype("<u4").tobytes()) if digests else p.ids
         return p.doc, p.start, len(p.ids), p.tokens, sequence, offset, ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,19 +223,27 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
         made: list[tuple] = []
 
         def batch() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)], names=names)
+            cols = [pa.array([m[i] for m in made], k) for i, k in enumerate(kinds[:-1])]
+            last = [m[-1] for m in made]
+            if digests:
+                cols.append(pa.array(last, pa.int64()))
+            else:
+                ends = np.cumsum([0, *map(len, last)], dtype=np.int32)
+                cols.append(pa.ListArray.from_arrays(ends, np.concatenate(last).astype(np.int32)))
             made.clear()
-            return out
+            return pa.RecordBatch.from_arrays(cols, names=names)
 
         for b in batches:
             docs_of = iter(b.column(0).to_pylist())
             for part in slices(values(b.column(1)), 8 << 20):
                 for ids in encode([t.decode("utf-8", "surrogatepass") for t in part]):
                     made.extend(shown(*x) for x in packer.add(next(docs_of), np.append(ids, np.uint16(s.end))))
-                if len(made) >= 10_000:
+                if len(made) >= 2_000:
                     yield batch()
         made.extend(shown(*x) for x in packer.finish())
         if made:
             yield batch()
+        if not s.remember:
+            encoder(word_encoder, path).forget()
 
     return slim.mapInArrow(run, schema)

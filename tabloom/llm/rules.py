@@ -113,23 +113,22 @@ def divergence(p: np.ndarray, q: np.ndarray) -> float:
 
 
 def _corpus_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) to (lang, kind, key, n): words, character classes, documents; summed over a partition."""
+    """(lang, text) to (lang, key, n), summed over as many documents as fit in a small dictionary."""
     most = 150_000
 
-    def out(found: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int32()),
-             pa.array([k[2] for k in found], pa.binary()), pa.array(list(found.values()), pa.int64())], names=["lang", "kind", "key", "n"])
+    def out(lang: str, words: Counter) -> pa.RecordBatch:
+        n = len(words)
+        return pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(words.keys(), pa.binary()), pa.array(words.values(), pa.int64())],
+                                          names=["lang", "key", "n"])
 
     held: dict[str, Counter] = {}
     for b in batches:
-        for lang, text in zip(b.column(0).to_pylist(), values(b.column(1))):
+        for at, (lang, text) in enumerate(zip(b.column(0).to_pylist(), values(b.column(1)))):
             held.setdefault(lang, Counter()).update(text.lower().split())
-        if sum(map(len, held.values())) > most:
-            yield out(Counter({(lang, 0, w): n for lang, words in held.items() for w, n in words.items()}))
-            held = {}
-    if held:
-        yield out(Counter({(lang, 0, w): n for lang, words in held.items() for w, n in words.items()}))
+            if at % 256 == 0 and sum(map(len, held.values())) > most:
+                yield from (out(lang, words) for lang, words in held.items())
+                held = {}
+    yield from (out(lang, words) for lang, words in held.items())
 
 
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +154,7 @@ def references(docs: DataFrame, s: Settings = Settings()) -> dict[str, tuple[np.
     classes = staged(classes, "classes")
     total = classes.agg(F.sum(n_docs)).first()[0] or 0
     per = classes.where(F.col(n_docs) >= total * s.language_share).collect()
-    words = use.mapInArrow(_corpus_counts, "lang string, kind int, key binary, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    words = use.mapInArrow(_corpus_counts, "lang string, key binary, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     words = staged(words, "words")
     sums = words.groupBy("lang").agg(F.sum("n").alias("total"))
     common = words.join(sums, "lang").where(F.col("n") >= F.col("total") * s.word_share).collect()
