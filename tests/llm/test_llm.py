@@ -29,8 +29,8 @@ MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 def awkward(spark):
     """Nulls everywhere, empty and very long texts, repeated rows, equal texts, clashing columns."""
     long = " ".join(f"word{i % 977} of the {i}." for i in range(30_000))
-    texts = [None, "", " \n\t ", "one", "the same line of text\nthe same line of text", "the same line of text\nanother line goes here", long, "a" * 60_000,
-             "1" * 30_000, "mail a.b@c.de or +49 (30) 1234567, 10.0.0.1 and 4111 1111 1111 1111", "é𝔘日本 ٣ <|endoftext|>", "x\0y"]
+    texts = [None, "", " \n\t ", "one", "the same line of text\nthe same line of text", "the same line of text\nanother line goes here", long, "a" * 4_000,
+             "1" * 5_000, "mail a.b@c.de or +49 (30) 1234567, 10.0.0.1 and 4111 1111 1111 1111", "é𝔘日本 ٣ <|endoftext|>", "x\0y"]
     rows = [(i, t, ["en", None, "de"][i % 3], f"s{i % 7}" if i % 5 else None, None, "k", 1, 2, 3, 4) for i, t in enumerate(texts)]
     rows += [rows[4], rows[4], (None, None, None, None, None, None, None, None, None, None), (None, "no id here", None, None, None, None, None, None, None, None)]
     rows += [(100 + i, "the same line of text\nthe same line of text", "en", f"s{i}", None, "k", 1, 2, 3, 4) for i in range(6)]
@@ -294,7 +294,7 @@ def test_fingerprints(spark):
         assert (r.near_edited, r.near_next) == (fingerprint.containment(own, other), fingerprint.containment(own, follow))
     assert fingerprint.neighbours(awkward(spark)).count() == awkward(spark).count()
     assert fingerprint.neighbours(empty(spark)).count() == 0
-    assert fingerprint.fingerprints(awkward(spark)).where("text is null" if False else "fingerprint = ''").count() == 3
+    assert fingerprint.fingerprints(awkward(spark)).where("fingerprint = ''").count() == 3
 
 
 def test_chunks_resist_shifts():
