@@ -100,10 +100,11 @@ def second_highest(df: DataFrame, col: str) -> DataFrame:
 
 
 def max_pair_product(df: DataFrame, col: str) -> DataFrame:
-    """Largest product of two rows: the two highest or the two lowest."""
+    """Largest product of two rows: the two highest or the two lowest; null below two rows."""
     v = df.select(F.col(col).cast("double").alias("v")).where("v is not null")
-    hi = v.orderBy(F.desc("v")).limit(2).agg(F.product("v").alias("p"))
-    lo = v.orderBy("v").limit(2).agg(F.product("v").alias("p"))
+    product = F.when(F.count("v") == 2, F.product("v")).alias("p")
+    hi = v.orderBy(F.desc("v")).limit(2).agg(product)
+    lo = v.orderBy("v").limit(2).agg(product)
     return hi.unionByName(lo).agg(F.max("p").alias("max_product"))
 
 
