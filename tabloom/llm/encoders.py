@@ -22,7 +22,7 @@ _MARKS = {".", ","}
 
 
 class PartEncoder:
-    """Ids (unsigned 16-bit) of texts; remembers up to ``KNOWN`` parts, those of late use.
+    """Ids (unsigned 16-bit) of texts; remembers about ``most`` parts, those of late use.
 
     ``encode_parts`` gives the ids of strings as bytes. ``blank`` says whether
     parts after the first keep their leading blank.
@@ -31,6 +31,7 @@ class PartEncoder:
     def __init__(self, encode_parts: Callable[[list[str]], list[bytes]], blank: bool):
         self.encode_parts = encode_parts
         self.blank = " " if blank else ""
+        self.most = KNOWN
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
@@ -38,7 +39,7 @@ class PartEncoder:
         self.known, self.before = {}, {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > KNOWN // 2:
+        if len(self.known) > self.most // 2:
             self.before, self.known = self.known, {}
         known, found, new, heads = self.known, [], set(), set()
         for text in texts:

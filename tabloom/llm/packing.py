@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import slices, text_bytes, values
-from tabloom.llm.encoders import encoder, word_encoder
+from tabloom.llm.encoders import KNOWN, encoder, word_encoder
 
 END = 1
 
@@ -35,6 +35,8 @@ class Settings:
     depth: int = 3
     block_tokens: int = 8_000_000
     end: int = END
+    known: int = KNOWN  # encoded parts a worker remembers
+    slice_bytes: int = 8 << 20  # text encoded at a time
     remember: bool = True  # keep encoded parts from task to task; else a worker gives its memory back
 
 
@@ -218,7 +220,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
         return p.doc, p.start, len(p.ids), p.tokens, sequence, offset, ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(word_encoder, path).encode
+        words = encoder(word_encoder, path)
+        words.most = s.known
         packer = Packer(s, TaskContext.get().partitionId() << 32)
         made: list[tuple] = []
 
@@ -235,8 +238,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
 
         for b in batches:
             docs_of = iter(b.column(0).to_pylist())
-            for part in slices(values(b.column(1)), 8 << 20):
-                for ids in encode([t.decode("utf-8", "surrogatepass") for t in part]):
+            for part in slices(values(b.column(1)), s.slice_bytes):
+                for ids in words.encode([t.decode("utf-8", "surrogatepass") for t in part]):
                     made.extend(shown(*x) for x in packer.add(next(docs_of), np.append(ids, np.uint16(s.end))))
                 if len(made) >= 2_000:
                     yield batch()
@@ -244,6 +247,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
         if made:
             yield batch()
         if not s.remember:
-            encoder(word_encoder, path).forget()
+            words.forget()
+            pa.default_memory_pool().release_unused()
 
     return slim.mapInArrow(run, schema)
