@@ -24,7 +24,7 @@ from tabloom.llm.common import blank_parts, ddl, slices, text_bytes, values, wit
 
 NONE = 1 << 62
 WIDE = 64
-ROWS = 20_000
+ROWS = 4_000
 KNOWN = 700_000
 
 
