@@ -8,10 +8,10 @@ from tabloom.catalog import query
 from tabloom.plans import conversion as V
 
 TARGET = date(1998, 6, 1)
-SNAP_SQL = """snap as (select o_custkey % 3000 as member_id, last_day(o_orderdate) as month_end, count(*) as usage_count,
+SNAP_SQL = """snap as (select o_custkey as member_id, last_day(o_orderdate) as month_end, count(*) as usage_count,
   max(case when o_orderpriority in ('1-URGENT', '2-HIGH') then 1 else 0 end) as used_flag,
-  case when o_custkey % 3000 % 5 = 0 then 'Inactive' else 'Active' end as status,
-  cast((year(last_day(o_orderdate)) - 1998) * 12 + month(last_day(o_orderdate)) + o_custkey % 3000 % 9 - 5 as int) as tenure
+  case when o_custkey % 5 = 0 then 'Inactive' else 'Active' end as status,
+  cast((year(last_day(o_orderdate)) - 1998) * 12 + month(last_day(o_orderdate)) + o_custkey % 9 - 5 as int) as tenure
   from orders group by all)"""
 FLAGS_SQL = SNAP_SQL + """,
 flags as (select member_id, max(case when month_end between date '1998-06-01' and date '1998-06-30' and used_flag = 1 then 1 else 0 end) as used_in_target_month,
@@ -23,7 +23,7 @@ conv as (select *, case when used_in_target_month = 1 and used_in_lookback = 0 t
 
 def snap(t):
     day = F.last_day(F.to_date("o_orderdate"))
-    rows = t.orders.select((F.col("o_custkey") % 3000).alias("member_id"), day.alias("month_end"),
+    rows = t.orders.select(F.col("o_custkey").alias("member_id"), day.alias("month_end"),
                            F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").cast("int").alias("urgent"))
     out = rows.groupBy("member_id", "month_end").agg(F.count("*").alias("usage_count"), F.max("urgent").alias("used_flag"))
     return out.selectExpr("*", "case when member_id % 5 = 0 then 'Inactive' else 'Active' end as status",

@@ -165,7 +165,7 @@ def _reinstate(t):
 
 
 # The lines of one service date are few here, so thresholds are met through several codes.
-DX_CLAIMS = ["concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) as line_id", "o_custkey % 200 as person_id",
+DX_CLAIMS = ["concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) as line_id", "o_custkey as person_id",
              "date_add(date '1950-01-01', cast((o_custkey % 200) * 110 as int)) as dob", "cast(l_shipdate as date) as service_date",
              "l_partkey % 100 as dx1", "l_suppkey % 100 as dx2", "case when l_linenumber > 3 then (l_partkey + l_suppkey) % 100 end as dx3"]
 DX_DIM = """select n_nationkey::bigint as dx, 'diabetes' as condition from nation where n_nationkey < 12
@@ -179,7 +179,7 @@ hits as (select distinct line_id, person_id, service_date, dx, condition from dx
 visits as (select person_id, condition, service_date, count(*) as visits from hits group by all),
 conditions as (select person_id, {', '.join(f"max(case when condition = '{c}' and visits >= {n} then 1 else 0 end) as {k}"
   for k, (c, n) in E.CONDITION_RULES.items())} from visits group by person_id)"""
-RX = ["o_custkey % 200 as person_id", "concat('rx', l_orderkey) as claim_nr", "l_partkey % 300 as gpi",
+RX = ["o_custkey as person_id", "concat('rx', l_orderkey) as claim_nr", "l_partkey % 300 as gpi",
       "case l_suppkey % 10 when 0 then '12121200' when 1 then '24081600' when 2 then '24320400' else '0' end as ahfs",
       "cast(l_shipdate as date) as fill_date", "date_add(cast(l_shipdate as date), cast(l_linenumber as int)) as process_date"]
 RX_SQL = f"""rxc as (select {sql(RX)} from lineitem join orders on l_orderkey = o_orderkey),

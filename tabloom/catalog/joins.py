@@ -139,11 +139,11 @@ def _latest(t):
 
 
 @query("join_event_interval", f"""with {SPANS_SQL},
-ev as (select l_orderkey, l_linenumber, l_orderkey % 100 as o_custkey, cast(l_shipdate as date) as ship_date from lineitem)
+ev as (select l_orderkey, l_linenumber, l_orderkey // 10 as o_custkey, cast(l_shipdate as date) as ship_date from lineitem)
 select ev.l_orderkey, ev.l_linenumber, ev.ship_date, s.o_orderkey from ev join spans s
 on ev.o_custkey = s.o_custkey and ev.ship_date between s.start_date and s.stop_date""")
 def _interval(t):
-    ev = t.lineitem.selectExpr("l_orderkey", "l_linenumber", "l_orderkey % 100 as o_custkey", "cast(l_shipdate as date) as ship_date")
+    ev = t.lineitem.selectExpr("l_orderkey", "l_linenumber", "l_orderkey div 10 as o_custkey", "cast(l_shipdate as date) as ship_date")
     out = J.interval_join(ev, spans(t), "o_custkey", "ship_date", "start_date", "stop_date")
     return out.select("l_orderkey", "l_linenumber", "ship_date", "o_orderkey")
 

@@ -61,7 +61,7 @@ def one_hot(df: DataFrame, cols: Sequence[str], limit: int = 1_000) -> DataFrame
 def low_card(df: DataFrame, n: int = 10) -> DataFrame:
     """Text columns with fewer than n values, and every numeric column."""
     texts = [c for c, t in df.dtypes if t == "string"]
-    row = df.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in texts]).first()
+    row = df.agg(*[F.count_distinct(c).alias(c) for c in texts]).first()
     nums = numeric_columns(df)
     return df.select(*[c for c in df.columns if c in nums or (c in texts and row[c] < n)])
 

@@ -100,20 +100,17 @@ def running(
         ).alias("tail"),
     )
     edges = stable(edges.coalesce(1))
-    heads = edges.select(F.col("__scan_pid").alias("q"), F.col("first_key"))
-    tails = edges.select(F.col("__scan_pid").alias("p"), "tail.*")
-    pairs = heads.join(
-        tails, F.col("first_key").eqNullSafe(F.col("__scan_key")) & (F.col("p") < F.col("q"))
+    # A partition's head takes up the tails of the same key before it: one scan over two rows per partition.
+    pid = F.col("__scan_pid").alias("q")
+    heads = edges.select(pid, F.lit(0).alias("side"), "first_key")
+    tails = edges.select(
+        pid, F.lit(1).alias("side"), F.col("tail.__scan_key").alias("first_key"), *[f"tail.__all_{n}" for n in aggs]
     )
-    merged = []
-    for n, (kind, _) in aggs.items():
-        v = F.col(f"__all_{n}")
-        if kind == "last":
-            v = F.max_by(v, F.when(v.isNotNull(), F.col("p")))
-        else:
-            v = _LOCAL[kind](v)
-        merged.append(v.alias(f"__car_{n}"))
-    carry = pairs.groupBy("q", "first_key").agg(*merged)
+    before = Window.partitionBy("first_key").orderBy("q", "side").rowsBetween(Window.unboundedPreceding, 0)
+    carry = tails.unionByName(heads, allowMissingColumns=True).select(
+        "q", "side", "first_key",
+        *[_LOCAL[kind](F.col(f"__all_{n}")).over(before).alias(f"__car_{n}") for n, (kind, _) in aggs.items()],
+    ).where("side = 0").drop("side")
     # carry holds at most one row per range partition
     out = local.join(
         F.broadcast(carry),
@@ -226,9 +223,10 @@ def quantiles(
 
 
 def unpivot_numeric(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Wide numeric columns to (keys, column, value)."""
+    """Wide numeric columns to (keys, column, value); NaN counts as null."""
+    number = {c: F.col(c).cast("double") for c in cols}
     pairs = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols]
+        *[F.struct(F.lit(c).alias("column"), F.when(~F.isnan(v), v).alias("value")) for c, v in number.items()]
     )
     return df.select(*keys, F.inline(pairs))
 

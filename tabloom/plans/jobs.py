@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.scalars import next_run
-from tabloom.operators.joins import anti
 from tabloom.operators.ordered import position
 from tabloom.operators.relational import union_rows
 
@@ -19,9 +18,18 @@ IDENTITY = ["job_type", "description", "period_from", "period_to"]
 
 
 def job_register(ledger: DataFrame, requests: DataFrame, identity: Sequence[str] = IDENTITY) -> DataFrame:
-    """Ledger plus a start row for every request it does not hold yet, with the next ids."""
+    """Ledger plus a start row for every request it does not hold yet, with the next ids.
+
+    Null parts of the identity are equal. Of requests with one identity the
+    smallest row counts, by the other columns in their order.
+    """
     top = ledger.agg(F.max("job_id")).first()[0] or 0
-    fresh = anti(requests.dropDuplicates(list(identity)), ledger, identity)
+    rest = [c for c in requests.columns if c not in identity]
+    once = requests.groupBy(*identity).agg(F.min(F.struct(F.lit(0).alias("__one"), *rest)).alias("__row"))
+    once = once.select(*identity, *[f"__row.{c}" for c in rest])
+    held = ledger.select(*[F.col(c).alias(f"__{c}") for c in identity])
+    same = [once[c].eqNullSafe(held[f"__{c}"]) for c in identity]
+    fresh = once.join(held, same, "left_anti").select(*requests.columns)
     rows = position(fresh, [], list(identity), "__rn")
     rows = rows.withColumn("job_id", F.col("__rn") + F.lit(top)).drop("__rn")
     return union_rows(ledger, rows, allow_missing=True)

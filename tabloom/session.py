@@ -35,10 +35,9 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def spread(df: DataFrame, rows_per_task: int = 10_000) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Even out rows before work that is heavy per row, whatever the file splits were."""
-    least = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(least, -(-df.count() // rows_per_task)))
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 class Tables:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,31 +14,41 @@ def sink(df: DataFrame, path: str, mode: str = "append", fmt: str = "parquet") -
     df.write.mode(mode).format(fmt).save(path)
 
 
+def _current(spark: SparkSession, path: str) -> Row | None:
+    """Last row of the ledger; None before the first load. Any fault but a missing ledger is raised."""
+    try:
+        ledger = spark.read.schema("version long, folder string").parquet(f"{path}/ledger")
+    except AnalysisException as fault:
+        if fault.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return ledger.orderBy(F.desc("version"), F.desc("folder")).first()
+
+
 def current_version(spark: SparkSession, path: str) -> int:
     """Highest committed version; 0 before the first load."""
-    try:
-        ledger = spark.read.schema("version long").parquet(f"{path}/ledger")
-    except AnalysisException:
-        return 0
-    return ledger.agg(F.max("version")).first()[0] or 0
+    row = _current(spark, path)
+    return row.version if row else 0
 
 
 def reload(df: DataFrame, path: str) -> int:
     """Replace a table's contents: new folder first, then one ledger row makes it current.
 
     A job that dies half-way leaves the old version in force, and ``df`` may
-    read the very table it replaces.
+    read the very table it replaces. Each load has a folder of its own, so two
+    loads at once never mix their rows; the ledger names the one in force.
     """
     spark = df.sparkSession
     version = current_version(spark, path) + 1
-    df.write.mode("overwrite").parquet(f"{path}/data/version={version}")
-    row = spark.range(1).select(F.lit(version).cast("long").alias("version"))
+    folder = f"load-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/data/{folder}")
+    row = spark.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(folder).alias("folder"))
     row.write.mode("append").parquet(f"{path}/ledger")
     return version
 
 
 def read_current(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/data/version={current_version(spark, path)}")
+    return spark.read.parquet(f"{path}/data/{_current(spark, path).folder}")
 
 
 def archive_swap(spark: SparkSession, raw: str, archive: str, new: DataFrame) -> None:
