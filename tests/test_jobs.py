@@ -188,3 +188,13 @@ def test_optimized_types_keep_values(spark):
     df = spark.createDataFrame([(1, 300, 0.5, 0.1), (2, 70000, 1.5, 0.2)], "a long, b long, c double, d double")
     out = optimize_dtypes(df)
     assert dict(out.dtypes) == {"a": "tinyint", "b": "int", "c": "float", "d": "double"}
+
+
+def test_register_once_with_null_parts(spark):
+    """A request with null period parts is registered once, by its smallest row, and not again."""
+    cols = "job_type string, description string, period_from date, period_to date, job_start int"
+    requests = spark.createDataFrame([("load", "a", None, None, 7), ("load", "a", None, None, 3), ("load", "b", None, None, 5)], cols)
+    ledger = spark.createDataFrame([], "job_id long, " + cols)
+    once = L.job_register(ledger, requests)
+    assert sorted((r.job_id, r.description, r.job_start) for r in once.collect()) == [(1, "a", 3), (2, "b", 5)]
+    assert L.job_register(once, requests).count() == 2
