@@ -239,14 +239,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", cap: int
     return prints.join(nodes, "simhash").select(F.col("id").alias(id_col), "simhash", F.col("opener.id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, cap: int = CAP) -> DataFrame:
-    """The row of ``docs`` (with doc_id and text) that opens each near-duplicate group, all columns.
-
-    That is the row with the smallest id (null after all), then text hash; of
-    rows that repeat its id and text any one stays.
-    """
-    prints, nodes = _labelled(docs, "doc_id", "text", cap)
-    openers = nodes.select("opener").distinct()
+def open_rows(docs: DataFrame, prints: DataFrame, openers: DataFrame) -> DataFrame:
+    """The rows of ``docs`` named by ``openers(opener)``, one of each; ``prints`` has the (id, text_hash) of all rows."""
     rows = prints.groupBy("id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
     same = F.col("id").eqNullSafe(F.col("opener.id")) & (F.col("text_hash") == F.col("opener.text_hash"))
     chosen = staged(rows.join(openers, same, "left_semi").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), "n"), "openers")
@@ -256,5 +250,15 @@ def keep_one(docs: DataFrame, cap: int = CAP) -> DataFrame:
     return single.unionByName(repeated.dropDuplicates(["doc_id", "__hash"]).drop("__hash"))
 
 
+def keep_one(docs: DataFrame, cap: int = CAP) -> DataFrame:
+    """The row of ``docs`` (with doc_id and text) that opens each near-duplicate group, all columns.
+
+    That is the row with the smallest id (null after all), then text hash; of
+    rows that repeat its id and text any one stays.
+    """
+    prints, nodes = _labelled(docs, "doc_id", "text", cap)
+    return open_rows(docs, prints, nodes.select("opener").distinct())
+
+
 def hex_print(column: str = "simhash"):
     return F.lpad(F.lower(F.hex(F.col(column))), 16, "0")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tabloom.llm import bpe, fingerprint, language, lines, packing, pii, rules, simhash, token_output, weak
+from tabloom.llm import bpe, fingerprint, language, lines, packing, pii, rules, shingles, simhash, token_output, weak
 from tabloom.llm.components import components
 from tabloom.llm.queries import QUERIES, SQL
 from tests.oracle import compare, duck
@@ -216,6 +216,54 @@ def test_keep_one(spark):
     assert simhash.keep_one(empty(spark)).count() == 0
 
 
+def near_copies():
+    """Families of texts with ever more words changed, a large star and a chain whose ends are not similar."""
+    rng = random.Random(12)
+    out = ["", " ", None]
+    for length in (5, 30, 120, 600):
+        for _ in range(4):
+            base = [f"w{rng.randrange(5000)}" for _ in range(length)]
+            out += [" ".join(base), " ".join(base).upper()]
+            for changes in (1, 1, 2, 3, 5, 8):
+                words = list(base)
+                for _ in range(changes):
+                    words[rng.randrange(length)] = f"x{rng.randrange(5000)}"
+                out.append(" ".join(words))
+    base = [f"v{i}" for i in range(200)]
+    for i in range(120):
+        out.append(" ".join(base[: i % 190] + [f"y{i}"] + base[i % 190 :]))
+    out += [" ".join(f"c{k}" for k in range(10 * i, 10 * i + 150)) for i in range(12)]
+    return out
+
+
+def brute_near_groups(texts):
+    """Per text the first one that links of Jaccard 0.8 over five-word shingles reach."""
+    def grams(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+    sets, low = [grams(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for k, b in enumerate(sets[:i]):
+            if low[i] != low[k] and (a == b or 5 * len(a & b) >= 4 * len(a | b) > 0):
+                low = [min(low[i], low[k]) if x in (low[i], low[k]) else x for x in low]
+    return low
+
+
+@pytest.mark.parametrize("settings", [shingles.Settings(), shingles.Settings(open_pairs=0, turns=1)])
+def test_near_dedup_equals_brute_jaccard(spark, settings):
+    texts = near_copies()
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in shingles.keep_one(docs, settings).collect()} == set(brute_near_groups(texts))
+
+
+def test_near_dedup_stage_on_given_documents(spark):
+    docs = spark.read.parquet(f"{ROOT}/documents.parquet").orderBy("doc_id")
+    rows = docs.collect()
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, ROOT).collect()}
+    assert kept == {rows[i].doc_id for i in set(brute_near_groups([r.text for r in rows]))}
+
+
 # 3: rules
 
 
