@@ -13,6 +13,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,9 @@ class Settings:
     min_words: int = 20
     max_repeat_pct: int = 30
     word_share: float = 1 / 500  # a common word makes up at least this share of its language's words
-    language_share: float = 1 / 1000  # a language with a reference has at least this share of the documents
+    language_share: float = 1 / 1000  # references of languages with at least this share of the documents are broadcast, the others joined
+    reference_words: int = 5_000  # a language with fewer words or characters of its own has no reference
+    reference_chars: int = 20_000
     guard_chars: int = 200  # texts with fewer characters are not judged by character classes
     guard_words: int = 50  # nor those with fewer words by common words
     max_chars: float = 0.18
@@ -141,11 +144,26 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int32(), pa.int64()))], names=["lang", "class", "n"])
 
 
-def references(docs: DataFrame, s: Settings = Settings()) -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
-    """Per language: class histogram, places of its common words, their counts with all other words first.
+Reference = tuple[np.ndarray, dict[bytes, int], np.ndarray]  # class histogram, places of the common words, their counts with all other words first
 
-    Counted over every document with a language. What reaches the driver is
-    bounded by the settings: 1 / language_share languages, 1 / word_share words each.
+
+@dataclass(frozen=True)
+class References:
+    """References of the frequent languages by language, and of all others as a table."""
+
+    frequent: dict[str, Reference]
+    rare: DataFrame | None  # (lang, classes, words, counts); None if there is no further one
+
+
+def _reference(row) -> Reference:
+    return np.array(row["classes"], np.float64), {bytes(w): i + 1 for i, w in enumerate(row["words"])}, np.array(row["counts"], np.float64)
+
+
+def references(docs: DataFrame, s: Settings = Settings()) -> References:
+    """The reference of every language with enough words and characters of its own, counted over every document of it.
+
+    What reaches the driver is bounded by the settings: 1 / language_share
+    languages, 1 / word_share words each. The others stay a table.
     """
     use = docs.where("lang is not null and text is not null").select("lang", text_bytes())
     classes = use.mapInArrow(_class_counts, "lang string, class int, n long").groupBy("lang").agg(
@@ -153,26 +171,28 @@ def references(docs: DataFrame, s: Settings = Settings()) -> dict[str, tuple[np.
     n_docs = f"c{len(CLASSES)}"
     classes = staged(classes, "classes")
     total = classes.agg(F.sum(n_docs)).first()[0] or 0
-    per = classes.where(F.col(n_docs) >= total * s.language_share).collect()
     words = use.mapInArrow(_corpus_counts, "lang string, key binary, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     words = staged(words, "words")
-    sums = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    common = words.join(sums, "lang").where(F.col("n") >= F.col("total") * s.word_share).collect()
-    out = {}
-    for r in per:
-        own = sorted((bytes(c["key"]), c["n"], c["total"]) for c in common if c["lang"] == r["lang"])
-        if not own:
-            continue
-        counts = np.array([own[0][2] - sum(n for _, n, _ in own), *[n for _, n, _ in own]], np.float64)
-        out[r["lang"]] = (np.array([r[f"c{i}"] for i in range(len(CLASSES))], np.float64), {w: i + 1 for i, (w, _, _) in enumerate(own)}, counts)
-    return out
-
-
-def distances(words: list[bytes], classes: np.ndarray, lang: str | None, refs: dict) -> tuple[float, float]:
-    """Distance of the classes and of the common words to the language, or to the nearest one if it has no reference."""
+    sums = words.groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= s.reference_words)
+    chars = sum((F.col(f"c{i}") for i in range(len(CLASSES))), F.lit(0))
+    enough = classes.where(chars >= s.reference_chars).join(sums, "lang").select(
+        "lang", "total", (F.col(n_docs) >= total * s.language_share).alias("frequent"), F.array(*[F.col(f"c{i}") for i in range(len(CLASSES))]).alias("classes"))
+    enough = staged(enough, "languages")
+    common = words.join(enough.select("lang", "total"), "lang").where(F.col("n") >= F.col("total") * s.word_share)
+    own = common.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("own"))
+    table = enough.join(own, "lang", "left").withColumn("own", F.coalesce("own", F.array().cast("array<struct<key:binary,n:bigint>>")))
+    rest = F.col("total") - F.aggregate("own", F.lit(0).cast("long"), lambda n, w: n + w["n"])
+    table = staged(table.select("lang", "frequent", "classes", F.col("own.key").alias("words"), F.concat(F.array(rest), F.col("own.n")).alias("counts")), "references")
+    frequent = {r["lang"]: _reference(r) for r in table.where("frequent").collect()}
+    rare = table.where("not frequent").drop("frequent")
+    return References(frequent, None if rare.isEmpty() else rare)
+
+
+def distances(words: list[bytes], classes: np.ndarray, refs: list[Reference]) -> tuple[float, float]:
+    """Distance of the classes and of the common words to the nearest of the references; zero without any."""
     found = []
     seen = Counter(words)
-    for ref_classes, places, ref_words in ([refs[lang]] if lang in refs else refs.values()):
+    for ref_classes, places, ref_words in refs:
         counts = np.zeros(len(ref_words))
         for w, i in places.items():
             counts[i] = seen.get(w, 0)
@@ -181,23 +201,38 @@ def distances(words: list[bytes], classes: np.ndarray, lang: str | None, refs: d
     return min(found, key=sum, default=(0.0, 0.0))
 
 
-def judge(docs: DataFrame, refs: dict, s: Settings = Settings(), text: str = "text", lang: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, refs: References, s: Settings = Settings(), text: str = "text", lang: str = "lang") -> DataFrame:
     """All columns but the text, with the base counts, ``base_failed``, both distances and ``kept``.
 
-    A null text has no word and fails. A language that is null or has no
-    reference is compared with every reference, and the nearest one counts.
+    A null text has no word and fails. A language is compared with its own
+    reference only; without one its distances are zero and reject nothing. A null
+    language is compared with every frequent one, and the nearest counts.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"]
     docs = without(docs, names)
     rest = [c for c in docs.columns if c != text]
     slim = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(lang).alias("__lang"), text_bytes(text, "__text"))
-    shared = docs.sparkSession.sparkContext.broadcast(refs)
+    kind = "struct<classes:array<bigint>,words:array<binary>,counts:array<bigint>>"
+    parts = [slim.withColumn("__ref", F.lit(None).cast(kind))]
+    if refs.rare is not None:
+        # Only rows of other than the frequent languages are moved to their references.
+        known = F.col("__lang").isNull() | F.col("__lang").isin(list(refs.frequent))
+        own = refs.rare.select(F.col("lang").alias("__own"), F.struct("classes", "words", "counts").cast(kind).alias("__ref"))
+        parts = [parts[0].where(known), slim.where(~known).join(own, F.col("__lang") == F.col("__own"), "left").drop("__own")]
+    shared = docs.sparkSession.sparkContext.broadcast(refs.frequent)
     kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
 
-    def one(lang: str | None, text: bytes) -> tuple:
+    def nearby(lang: str | None, ref: dict | None) -> list[Reference]:
+        if lang is None:
+            return list(shared.value.values())
+        if ref is not None:
+            return [_reference(ref)]
+        return [shared.value[lang]] if lang in shared.value else []
+
+    def one(near: list[Reference], text: bytes) -> tuple:
         n, chars, symbols, dups, repeats, words, classes = base_counts(text, s)
         failed = n < s.min_words or 100 * repeats > s.max_repeat_pct * n
-        far_chars, far_words = distances(words, classes, lang, shared.value)
+        far_chars, far_words = distances(words, classes, near)
         total = int(classes.sum())
         odd = total >= s.guard_chars and far_chars > s.max_chars + s.slack / math.sqrt(total)
         odd = odd or n >= s.guard_words and far_words > s.max_words + s.slack / math.sqrt(n)
@@ -206,12 +241,13 @@ def judge(docs: DataFrame, refs: dict, s: Settings = Settings(), text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k = b.num_columns
-            made = [one(x.as_py(), t.as_py()) for x, t in zip(b.column(k - 2), b.column(k - 1))]
+            made = [one(nearby(x.as_py(), r.as_py()), t.as_py()) for x, t, r in zip(b.column(k - 3), b.column(k - 2), b.column(k - 1))]
             new = [pa.array([m[i] for m in made], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], *new], names=[*rest, *names])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-3], *new], names=[*rest, *names])
 
     fields = ", ".join(f"{n} {t}" for n, t in zip(names, ["long"] * 5 + ["boolean", "double", "double", "boolean"]))
-    return slim.mapInArrow(run, ddl(docs, rest, fields))
+    schema = ddl(docs, rest, fields)
+    return reduce(DataFrame.unionByName, [p.mapInArrow(run, schema) for p in parts])
 
 
 def quality(docs: DataFrame, s: Settings = Settings()) -> DataFrame:

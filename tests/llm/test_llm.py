@@ -300,6 +300,19 @@ def test_rules_verdict(spark):
     assert rules.quality(empty(spark)).count() == 0
 
 
+def test_rules_of_rare_languages(spark):
+    rng = random.Random(6)
+    vocabulary = {lang: [f"{lang}{i}" for i in range(30)] for lang in ("aa", "bb", "cc")}
+    text = lambda lang, n: " ".join(rng.choice(vocabulary[lang]) + "." * (i % 9 == 8) for i in range(n))
+    rows = [(i, "aa", text("aa", 400)) for i in range(200)]
+    rows += [(1000 + i, "bb", text("bb", 400)) for i in range(20)]  # rare, with a reference of its own
+    rows += [(2000, "bb", text("aa", 400)), (2001, "aa", text("bb", 400))]
+    rows += [(3000, "cc", text("cc", 400))]  # too little for a reference
+    got = rules.quality(spark.createDataFrame(rows, "doc_id long, lang string, text string"), rules.Settings(language_share=0.5))
+    kept = {r.doc_id for r in got.where("kept").collect()}
+    assert got.count() == len(rows) and kept == {r[0] for r in rows} - {2000, 2001}
+
+
 def test_divergence():
     assert rules.divergence(np.array([1.0, 0]), np.array([0, 2.0])) == pytest.approx(1)
     assert rules.divergence(np.array([1.0, 3]), np.array([2.0, 6])) == pytest.approx(0)
