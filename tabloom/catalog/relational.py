@@ -246,7 +246,7 @@ def _batches(t):
 @query("top_percent", """select o_orderkey, o_totalprice from (select *, row_number() over (order by o_totalprice desc, o_orderkey) as rn,
   count(*) over () as n from orders) where rn <= floor(n * 0.05)""")
 def _pct(t):
-    return K.top_pct(t.orders.select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], 0.05)
+    return K.top_pct(t.orders.select("o_orderkey", "o_totalprice"), [("o_totalprice", "desc"), "o_orderkey"], 0.05)
 
 
 @query("offset_one", "select distinct o_totalprice from orders order by o_totalprice desc limit 1 offset 1")

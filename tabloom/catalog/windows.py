@@ -106,7 +106,7 @@ def _ngroup(t):
 
 @query("win_decile", "select o_orderkey, cast(ntile(10) over (order by o_totalprice desc, o_orderkey) as int) as tile from orders")
 def _decile(t):
-    return K.tiles(t.orders.select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], 10).select(
+    return K.tiles(t.orders.select("o_orderkey", "o_totalprice"), [("o_totalprice", "desc"), "o_orderkey"], 10).select(
         "o_orderkey", "tile")
 
 
@@ -117,7 +117,7 @@ select tile, hits, cast(sum(hits) over (order by tile) as bigint) as cumulative_
   sum(hits) over (order by tile) / sum(hits) over () as cumulative_share from g""")
 def _cumulative(t):
     rows = t.orders.selectExpr("o_orderkey", "o_totalprice", "case when o_orderstatus = 'F' then 1 else 0 end as hit")
-    tiled = K.tiles(rows, [F.desc("o_totalprice"), F.asc("o_orderkey")], 10)
+    tiled = K.tiles(rows, [("o_totalprice", "desc"), "o_orderkey"], 10)
     return K.cumulative_share(tiled, "tile", "hit")
 
 

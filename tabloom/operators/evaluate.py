@@ -40,7 +40,7 @@ def class_report(scored: DataFrame, y: str, pred: str) -> DataFrame:
 def _cumulative(scored: DataFrame, y: str, score: str) -> DataFrame:
     """Positives and negatives at each distinct score and at or above it."""
     at = scored.groupBy(score).agg(F.sum(y).cast("long").alias("pos"), F.sum(1 - F.col(y)).cast("long").alias("neg"))
-    return running(at, [], [F.desc(score)], {"tp": ("sum", F.col("pos")), "fp": ("sum", F.col("neg"))})
+    return running(at, [], [(score, "desc")], {"tp": ("sum", F.col("pos")), "fp": ("sum", F.col("neg"))})
 
 
 def _totals(points: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def threshold_sweep(scored: DataFrame, y: str, score: str, thresholds: Sequence[
 def lift_topk(scored: DataFrame, y: str, score: str, key: str, percents: Sequence[float] = (0.01, 0.05, 0.10)) -> DataFrame:
     """Users, positives, recall and lift among the best-scored shares."""
     n = scored.count()
-    ranked = position(scored.select(key, y, score), [], [F.desc(score), F.asc(key)], "rn")
+    ranked = position(scored.select(key, y, score), [], [(score, "desc"), key], "rn")
     cuts = [(p, int(n * p)) for p in percents]
     one = ranked.agg(F.sum(y).alias("P"), *[F.sum(F.when(F.col("rn") <= k, F.col(y))).alias(f"h{i}") for i, (_, k) in enumerate(cuts)])
     rows = F.array(*[
@@ -108,7 +108,7 @@ def lift_topk(scored: DataFrame, y: str, score: str, key: str, percents: Sequenc
 
 def decile_table(scored: DataFrame, y: str, score: str, key: str, n: int = 10) -> DataFrame:
     """Per decile (1 = best scores): size, converters, rate, lift, cumulative share."""
-    tiled = tiles(scored.select(key, y, score), [F.desc(score), F.asc(key)], n, "decile")
+    tiled = tiles(scored.select(key, y, score), [(score, "desc"), key], n, "decile")
     rows = tiled.groupBy("decile").agg(F.count(F.lit(1)).alias("size"), F.sum(y).cast("long").alias("converters"))
     cum = running(rows, [], ["decile"], {"cumulative_converters": ("sum", F.col("converters"))})
     total = rows.agg(F.sum("size").alias("__n"), F.sum("converters").alias("__c"))
@@ -123,7 +123,7 @@ def decile_table(scored: DataFrame, y: str, score: str, key: str, n: int = 10) -
 def score_summary(scored: DataFrame, y: str, score: str, key: str, high: float = 0.75) -> DataFrame:
     """Converter score statistics, capture of the top 10% and 25%, conversion above a score."""
     n = scored.count()
-    ranked = position(scored.select(key, y, score), [], [F.desc(score), F.asc(key)], "rn")
+    ranked = position(scored.select(key, y, score), [], [(score, "desc"), key], "rn")
     hit = F.when(F.col(y) == 1, F.col(score))
     top = lambda p: F.coalesce(F.sum(F.when(F.col("rn") <= int(n * p), F.col(y))), F.lit(0)).cast("long")
     above = F.col(score) > high

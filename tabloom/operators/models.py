@@ -238,9 +238,9 @@ def importance_table(df: DataFrame, model: PipelineModel, cols: Sequence[str]) -
 
 def shuffled(df: DataFrame, key: str, col: str, seed: int) -> DataFrame:
     """One column permuted over the rows: values and rows meet on two hash orders."""
-    order = lambda s: [F.xxhash64(F.col(key), F.lit(s)), F.col(key)]
-    rows = position(df.drop(col), [], order(seed), "__rn")
-    values = position(df.select(key, col), [], order(seed + 1), "__rn").select("__rn", col)
+    hashed = lambda s: F.xxhash64(F.col(key), F.lit(s)).alias("__h")
+    rows = position(df.drop(col).select("*", hashed(seed)), [], ["__h", key], "__rn")
+    values = position(df.select(key, col, hashed(seed + 1)), [], ["__h", key], "__rn").select("__rn", col)
     return rows.join(values, "__rn").drop("__rn").select(*df.columns)
 
 

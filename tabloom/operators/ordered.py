@@ -1,10 +1,13 @@
-"""Ordered computations that stay distributed when one group is very large.
-
-A plain ``Window.partitionBy(keys)`` puts each group in one task. That is the
-best plan while groups are small, so every function here first bounds the
-largest group with one narrow, pre-aggregated count. Beyond the bound the rows
-are range-partitioned on (keys, order), scanned per partition, and the few
-per-partition totals are carried forward.
+"""Ordered computations that stay distributed whatever the size of a group.
+
+Every function here cuts the rows into pieces: ranges of (keys, order) whose
+limits are values, drawn from the rows by hash in one narrow job. A piece is a plain function of
+a row, so it is the same whenever a part of the plan runs again, and windows
+over (piece, keys) never hold more than a piece. What a key's earlier pieces
+add up to is carried into the later ones by a join with one row per piece.
+The plan is the same for every size; the rows themselves move once. An input
+that is dear to compute should be cut with ``stable`` first: it is read by the
+draw, by the totals and by the result.
 """
 
 from __future__ import annotations
@@ -13,32 +16,122 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tabloom.session import stable
+PIECES = 4  # pieces per shuffle partition: more than one, so that they even out
+DRAWS = 16  # rows drawn per piece to find its limits
+
+Order = Sequence[str | tuple[str, str]]  # column names, or (name, "desc")
+
+
+def _named(order: Order) -> list[tuple[str, bool]]:
+    """(name, whether it falls) of every order column."""
+    return [(o, False) if isinstance(o, str) else (o[0], o[1] == "desc") for o in order]
+
+
+def sort_columns(order: Order, back: bool = False) -> list[Column]:
+    """Sort expressions: rising with nulls first or falling with nulls last; ``back`` gives the reverse."""
+    return [F.col(f"`{n}`").desc_nulls_last() if fall != back else F.col(f"`{n}`").asc_nulls_first() for n, fall in _named(order)]
+
 
-GROUP_ROWS = 2_000_000
-BLOCK_ROWS = 1_000_000
+def _turned(c: Column) -> Column:
+    """A text whose rising order is the falling order of the given one: digits of its bytes turned round, and an end above them all."""
+    return F.concat(F.translate(F.hex(c), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
 
 
-def group_rows(df: DataFrame, limit: int | None) -> int:
-    """Largest group a plain window may hold; ``spark.tabloom.groupRows`` overrides the default."""
-    if limit is not None:
-        return limit
-    return int(df.sparkSession.conf.get("spark.tabloom.groupRows", str(GROUP_ROWS)))
+def _rising(df: DataFrame, name: str, fall: bool) -> Column:
+    """A value whose rising order is the wanted order of the column."""
+    c, kind = F.col(f"`{name}`"), df.schema[name].dataType
+    if not fall:
+        return c
+    if isinstance(kind, (T.DoubleType, T.FloatType)):  # NaN is the greatest
+        rank = F.when(c.isNull(), 2).when(F.isnan(c), 0).otherwise(1)
+        return F.struct(rank, F.when(F.isnan(c), F.lit(0.0)).otherwise(-c))
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        turned = _turned(c)
+    elif isinstance(kind, T.BooleanType):
+        turned = ~c
+    elif isinstance(kind, T.DecimalType):
+        turned = -c
+    elif isinstance(kind, T.DateType):
+        turned = -F.unix_date(c)
+    elif isinstance(kind, T.TimestampType):
+        turned = F.bitwise_not(F.unix_micros(c))
+    elif isinstance(kind, T.IntegralType):
+        turned = F.bitwise_not(c)
+    else:
+        raise TypeError(f"cannot order by falling {kind.simpleString()}")
+    return F.struct(c.isNull(), turned)
 
 
-def group_bound(df: DataFrame, keys: Sequence[str], buckets: int = 65_536) -> int:
-    """Upper bound of the rows in any one key group (hash buckets, so cheap)."""
-    if not keys:
-        return df.count()
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets))
-    top = df.groupBy(bucket.alias("b")).count().agg(F.max("count")).first()[0]
-    return top or 0
+def rising(df: DataFrame, order: Order) -> Column:
+    """The place of a row in the order as one comparable value."""
+    return F.struct(F.lit(0).alias("__"), *[_rising(df, n, fall).alias(f"o{i}") for i, (n, fall) in enumerate(_named(order))])
 
 
-def _as_columns(order: Sequence) -> list[Column]:
-    return [F.col(o) if isinstance(o, str) else o for o in order]
+def _coarse(df: DataFrame, order: Order) -> list[Column]:
+    """The order as plain numbers and strings, up to the first column that has no such form: rising, if not strictly."""
+    out = []
+    for n, fall in _named(order):
+        c, kind = F.col(f"`{n}`"), df.schema[n].dataType
+        if isinstance(kind, T.DateType):
+            c = F.unix_date(c)
+        elif isinstance(kind, T.TimestampType):
+            c = F.unix_micros(c)
+        elif isinstance(kind, (T.BooleanType, T.IntegralType)):
+            c = c.cast("long")
+        elif isinstance(kind, T.BinaryType):
+            c = F.hex(c)
+        elif isinstance(kind, T.FractionalType):
+            value, nan = c.cast("double"), F.isnan(c.cast("double"))
+            rank = F.when(c.isNull(), 0).when(nan, 2).otherwise(1)
+            value = F.when(~nan, value)
+            out += [-rank, -value] if fall else [rank, value]
+            continue
+        elif not isinstance(kind, T.StringType):
+            return out
+        if fall and isinstance(kind, (T.StringType, T.BinaryType)):
+            out += [c.isNull().cast("int"), _turned(c)]
+        elif fall:
+            out += [c.isNull().cast("int"), F.bitwise_not(c)]
+        else:
+            out += [c]
+    return out
+
+
+def _limits(rows: DataFrame, pieces: int) -> Column:
+    """Sorted array of up to ``pieces`` + 1 places.
+
+    Of every slot of the places' hashes the smallest hash is drawn, so the draw
+    is even, has a bound and needs no count beforehand.
+    """
+    kind = rows.schema["__at"].dataType
+    rows = rows.select("__at", F.xxhash64("__at").alias("h"))
+    picked = rows.groupBy(F.pmod("h", F.lit(pieces * DRAWS)).alias("slot")).agg(F.min("h").alias("h")).select("h")
+    # at most one hash per slot
+    drawn = rows.join(F.broadcast(picked), "h", "left_semi").select("__at").distinct()
+    drawn = drawn.agg(F.sort_array(F.collect_list("__at")).alias("a"))
+    every = F.greatest(F.lit(1), F.ceil(F.size("a") / F.lit(float(pieces))).cast("int"))
+    # one row for the driver, a few bytes per piece
+    found = drawn.select("a", every.alias("every")).select(F.to_json(F.filter("a", lambda x, i: i % F.col("every") == 0))).first()[0]
+    return F.from_json(F.lit(found), T.ArrayType(kind))
+
+
+def in_pieces(df: DataFrame, keys: Sequence[str], order: Order) -> DataFrame:
+    """``df`` with ``__piece``, and ``__split``: whether the row's key may lie in several pieces."""
+    pieces = PIECES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.xxhash64(*[F.col(f"`{k}`") for k in keys]) if keys else F.lit(0).cast("long")
+    place = [c.alias(f"o{i}") for i, c in enumerate(_coarse(df, order))]
+    rows = df.withColumn("__at", F.struct(key.alias("key"), *place))
+    limits, at = _limits(rows, pieces), F.col("__at")
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range((pieces + 1).bit_length()))])
+    # binary search: how many limits are at or below the row
+    piece = F.aggregate(steps, F.lit(0), lambda lo, s: F.when(F.get(limits, lo + s - 1) <= at, lo + s).otherwise(lo))
+    rows = rows.withColumn("__piece", piece)
+    same = lambda i: F.coalesce(F.get(limits, i)["key"] == F.col("__at.key"), F.lit(False))
+    split = same(F.col("__piece") - 1) | same(F.col("__piece"))
+    return rows.withColumn("__split", split).drop("__at")
 
 
 _LOCAL: dict[str, Callable[[Column], Column]] = {
@@ -59,109 +152,86 @@ def _combine(kind: str, local: Column, carry: Column) -> Column:
     return F.coalesce(local, carry)
 
 
+def _matches(keys: Sequence[str], prefix: str) -> Column:
+    """Null-safe equality of the key columns with their renamed copies, and of the pieces."""
+    same = F.col("__piece") == F.col(f"{prefix}piece")
+    for i, k in enumerate(keys):
+        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"{prefix}k{i}"))
+    return same
+
+
+def _renamed(keys: Sequence[str], prefix: str) -> list[Column]:
+    return [F.col("__piece").alias(f"{prefix}piece"), *[F.col(f"`{k}`").alias(f"{prefix}k{i}") for i, k in enumerate(keys)]]
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence,
+    order: Order,
     aggs: dict[str, tuple[str, Column]],
     exclusive: bool = False,
-    limit: int | None = None,
 ) -> DataFrame:
     """Running sum/max/min/last-non-null per key in a total order.
 
     ``exclusive`` leaves the current row out of its own frame.
     """
-    keys, order = list(keys), _as_columns(order)
-    end = -1 if exclusive else 0
-    if group_bound(df, keys) <= group_rows(df, limit):
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-        return df.select("*", *[_LOCAL[k](c).over(w).alias(n) for n, (k, c) in aggs.items()])
-
-    ranged = df.select("*", *[c.alias(f"__in_{n}") for n, (_, c) in aggs.items()])
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = ranged.repartitionByRange(parts, *keys, *order)
-    ranged = stable(ranged.withColumn("__scan_pid", F.spark_partition_id()))
-    group = F.struct(*keys) if keys else F.lit(0)
-    base = Window.partitionBy("__scan_pid", *keys).orderBy(*order)
-    upto = base.rowsBetween(Window.unboundedPreceding, 0)
-    frame = base.rowsBetween(Window.unboundedPreceding, end)
-    local = ranged.select(
-        "*",
-        group.alias("__scan_key"),
-        F.row_number().over(base).alias("__scan_pos"),
-        *[_LOCAL[k](F.col(f"__in_{n}")).over(upto).alias(f"__all_{n}") for n, (k, _) in aggs.items()],
-        *[_LOCAL[k](F.col(f"__in_{n}")).over(frame).alias(f"__loc_{n}") for n, (k, _) in aggs.items()],
-    )
-    # One row per range partition: its first key, its last key and that key's totals.
-    edges = local.groupBy("__scan_pid").agg(
-        F.min("__scan_key").alias("first_key"),
-        F.max_by(
-            F.struct("__scan_key", *[f"__all_{n}" for n in aggs]), F.struct("__scan_key", "__scan_pos")
-        ).alias("tail"),
-    )
-    edges = stable(edges.coalesce(1))
-    # A partition's head takes up the tails of the same key before it: one scan over two rows per partition.
-    pid = F.col("__scan_pid").alias("q")
-    heads = edges.select(pid, F.lit(0).alias("side"), "first_key")
-    tails = edges.select(
-        pid, F.lit(1).alias("side"), F.col("tail.__scan_key").alias("first_key"), *[f"tail.__all_{n}" for n in aggs]
-    )
-    before = Window.partitionBy("first_key").orderBy("q", "side").rowsBetween(Window.unboundedPreceding, 0)
-    carry = tails.unionByName(heads, allowMissingColumns=True).select(
-        "q", "side", "first_key",
-        *[_LOCAL[kind](F.col(f"__all_{n}")).over(before).alias(f"__car_{n}") for n, (kind, _) in aggs.items()],
-    ).where("side = 0").drop("side")
-    # carry holds at most one row per range partition
-    out = local.join(
-        F.broadcast(carry),
-        (F.col("__scan_pid") == F.col("q")) & F.col("__scan_key").eqNullSafe(F.col("first_key")),
-        "left",
-    )
+    keys = list(keys)
+    rows = df.select("*", *[c.alias(f"__in_{n}") for n, (_, c) in aggs.items()])
+    rows = in_pieces(rows, keys, order)
+    frame = Window.partitionBy("__piece", *keys).orderBy(*sort_columns(order)).rowsBetween(
+        Window.unboundedPreceding, -1 if exclusive else 0)
+    local = rows.select("*", *[_LOCAL[k](F.col(f"__in_{n}")).over(frame).alias(f"__loc_{n}") for n, (k, _) in aggs.items()])
+
+    def total(name: str, kind: str) -> Column:
+        value = F.col(f"__in_{name}")
+        whole = F.max_by(value, F.when(value.isNotNull(), rising(rows, order))) if kind == "last" else _LOCAL[kind](value)
+        return whole.alias(f"__in_{name}")
+
+    totals = rows.where("__split").groupBy("__piece", *keys).agg(*[total(n, k) for n, (k, _) in aggs.items()])
+    before = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(*_renamed(keys, "__c_"), *[_LOCAL[k](F.col(f"__in_{n}")).over(before).alias(f"__car_{n}") for n, (k, _) in aggs.items()])
+    # carry holds rows of split keys only, at most two per piece (and those whose hashes are equal)
+    out = local.join(F.broadcast(carry), _matches(keys, "__c_"), "left")
     return out.select(
-        *df.columns,
-        *[
-            _combine(k, F.col(f"__loc_{n}"), F.col(f"__car_{n}")).alias(n)
-            for n, (k, _) in aggs.items()
-        ],
+        *[F.col(f"`{c}`") for c in df.columns],
+        *[_combine(k, F.col(f"__loc_{n}"), F.col(f"__car_{n}")).alias(n) for n, (k, _) in aggs.items()],
     )
 
 
-def position(
-    df: DataFrame, keys: Sequence[str], order: Sequence, name: str = "rn", limit: int | None = None
-) -> DataFrame:
+def position(df: DataFrame, keys: Sequence[str], order: Order, name: str = "rn") -> DataFrame:
     """1-based row number per key in a total order."""
-    one = F.lit(1).cast("long")
-    return running(df, keys, order, {name: ("sum", one)}, limit=limit)
+    return running(df, keys, order, {name: ("sum", F.lit(1).cast("long"))})
 
 
 def nearby(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence,
+    order: Order,
     halo: int,
     exprs: Callable[[object], dict[str, Column]],
-    limit: int | None = None,
-    block: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Window expressions that look back at most ``halo`` rows (lag, rolling).
 
-    Large groups are cut into blocks of consecutive rows; the last ``halo``
-    rows of a block are copied to the next one and dropped afterwards.
+    A piece gets copies of the ``halo`` rows that its key has before it; they
+    are dropped afterwards.
     """
-    keys, order = list(keys), _as_columns(order)
-    if group_bound(df, keys) <= group_rows(df, limit):
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.select("*", *[c.alias(n) for n, c in exprs(w).items()])
-    block = max(block, halo)
-    pos = position(df, keys, order, "__pos", limit=limit)
-    home = F.floor((F.col("__pos") - 1) / block)
-    late = (F.col("__pos") - 1) % block >= block - halo
-    pos = pos.withColumn("__home", home).withColumn(
-        "__block", F.explode(F.when(late, F.array(home, home + 1)).otherwise(F.array(home)))
-    )
-    w = Window.partitionBy(*keys, "__block").orderBy("__pos")
-    out = pos.select("*", *[c.alias(n) for n, c in exprs(w).items()])
-    return out.where("__block = __home").drop("__pos", "__home", "__block")
+    keys, halo = list(keys), max(1, halo)
+    rows = in_pieces(df, keys, order)
+    tail = Window.partitionBy("__piece", *keys).orderBy(*sort_columns(order, back=True))
+    last = rows.where("__split").withColumn("__back", F.row_number().over(tail)).where(F.col("__back") <= halo)
+    # at most halo rows per piece and split key: numbered through, so that short pieces are looked through
+    last = last.withColumn("__no", F.row_number().over(Window.partitionBy(*keys).orderBy("__piece", F.desc("__back"))))
+    first = F.min("__no")
+    bins = F.array_distinct(F.array(F.floor((F.col("first") - halo) / halo), F.floor((F.col("first") - 1) / halo)))
+    heads = last.groupBy("__piece", *keys).agg(first.alias("first")).select(*_renamed(keys, "__h_"), "first", F.explode(bins).alias("bin"))
+    same = (F.floor(F.col("__no") / halo) == F.col("bin")) & F.col("__no").between(F.col("first") - halo, F.col("first") - 1)
+    for i, k in enumerate(keys):
+        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"__h_k{i}"))
+    names = [F.col(f"`{c}`") for c in df.columns]
+    copies = last.join(F.broadcast(heads), same).select(*names, F.col("__h_piece").alias("__piece"), F.lit(True).alias("__copy"))
+    both = rows.select(*names, "__piece", F.lit(False).alias("__copy")).unionAll(copies)
+    w = Window.partitionBy("__piece", *keys).orderBy(*sort_columns(order))
+    return both.select("*", *[c.alias(n) for n, c in exprs(w).items()]).where(~F.col("__copy")).drop("__piece", "__copy")
 
 
 def join_back(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -188,38 +258,35 @@ def attach(df: DataFrame, stats: DataFrame) -> DataFrame:
     return df.select("*", *[one.getField(c).alias(c) for c in stats.columns])
 
 
-def quantiles(
-    df: DataFrame,
-    cols: Sequence[str],
-    qs: dict[str, float],
-    keys: Sequence[str] = (),
-    limit: int | None = None,
-) -> DataFrame:
+def quantiles(df: DataFrame, cols: Sequence[str], qs: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
     """Exact linear-interpolated quantiles: one row per (keys, column).
 
-    Works on distinct-value counts and a running sum, so no aggregation buffer
-    has to hold a whole column.
+    A histogram over pieces, counted for all columns in one scan, tells which
+    pieces hold a wanted position; only their values are read again.
     """
-    keys = list(keys)
+    group = [*keys, "column"]
     long = unpivot_numeric(df, keys, cols).where(F.col("value").isNotNull())
-    counts = long.groupBy(*keys, "column", "value").agg(F.count(F.lit(1)).alias("n"))
-    cum = running(counts, [*keys, "column"], ["value"], {"upto": ("sum", F.col("n"))}, limit=limit)
-    totals = counts.groupBy(*keys, "column").agg(F.sum("n").alias("total"))
-    cum = join_back(cum, totals, [*keys, "column"])
-    at = {}
-    for name, q in qs.items():
-        h = (F.col("total") - 1) * F.lit(float(q))
-        at[f"__lo_{name}"] = F.min(F.when(F.col("upto") > F.floor(h), F.col("value")))
-        at[f"__hi_{name}"] = F.min(F.when(F.col("upto") > F.ceil(h), F.col("value")))
-    agg = cum.groupBy(*keys, "column").agg(
-        F.max("total").alias("total"), *[c.alias(n) for n, c in at.items()]
-    )
-    out = []
-    for name, q in qs.items():
-        h = (F.col("total") - 1) * F.lit(float(q))
-        lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
-        out.append((lo + (h - F.floor(h)) * (hi - lo)).alias(name))
-    return agg.select(*keys, "column", *out)
+    rows = in_pieces(long, group, ["value"]).drop("__split")
+    bins = rows.groupBy(*group, "__piece").agg(F.count(F.lit(1)).alias("n"))
+    # bins has at most one row per group and piece
+    each = Window.partitionBy(*group)
+    upto = F.sum("n").over(each.orderBy("__piece"))
+    bins = bins.select(*group, "__piece", "n", (upto - F.col("n")).alias("before"), F.sum("n").over(each).alias("total"))
+    at = {name: (F.col("total") - 1) * F.lit(float(q)) for name, q in qs.items()}
+    places = [p.cast("long") for h in at.values() for p in (F.floor(h), F.ceil(h))]
+    wanted = bins.where(F.exists(F.array(*places), lambda p: (p >= F.col("before")) & (p < F.col("before") + F.col("n"))))
+    wanted = wanted.select(*_renamed(group, "__w_"), "before", "total")
+    held = rows.join(wanted if keys else F.broadcast(wanted), _matches(group, "__w_"))  # two rows per column and quantile
+    counts = held.groupBy(*group, "__piece", "value", "before", "total").agg(F.count(F.lit(1)).alias("n"))
+    inside = Window.partitionBy(*group, "__piece").orderBy("value")
+    cum = counts.withColumn("upto", F.col("before") + F.sum("n").over(inside)).withColumn("from", F.col("upto") - F.col("n"))
+    holds = lambda p: F.min(F.when((p >= F.col("from")) & (p < F.col("upto")), F.col("value")))
+    ends = {}
+    for name, h in at.items():
+        ends[f"__lo_{name}"], ends[f"__hi_{name}"] = holds(F.floor(h)), holds(F.ceil(h))
+    agg = cum.groupBy(*group).agg(F.max("total").alias("total"), *[c.alias(n) for n, c in ends.items()])
+    between = {name: F.col(f"__lo_{name}") + (h - F.floor(h)) * (F.col(f"__hi_{name}") - F.col(f"__lo_{name}")) for name, h in at.items()}
+    return agg.select(*group, *[c.alias(name) for name, c in between.items()])
 
 
 def unpivot_numeric(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:

@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabloom.operators.ordered import (
-    attach, join_back, nearby, ntile_column, position, running,
-)
+from tabloom.operators.ordered import Order, attach, join_back, nearby, ntile_column, position, running
+from tabloom.session import stable
 
 
 def sort(df: DataFrame, spec: Sequence[tuple[str, str]]) -> DataFrame:
@@ -21,7 +20,7 @@ def topk(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def top_pct(df: DataFrame, order: Sequence[Column], p: float) -> DataFrame:
+def top_pct(df: DataFrame, order: Order, p: float) -> DataFrame:
     """First ``floor(n * p)`` rows by a total order."""
     n = int(df.count() * p)
     return position(df, [], order, "__rn").where(F.col("__rn") <= n).drop("__rn")
@@ -38,7 +37,7 @@ def head_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
     return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn")
 
 
-def tiles(df: DataFrame, order: Sequence[Column], n: int, name: str = "tile") -> DataFrame:
+def tiles(df: DataFrame, order: Order, n: int, name: str = "tile") -> DataFrame:
     """NTILE(n) over the whole table without a single-task window."""
     total = F.lit(df.count())
     pos = position(df, [], order, "__rn")
@@ -58,13 +57,13 @@ def running_total(df: DataFrame, col: str, name: str = "running_total") -> DataF
     return join_back(df, cum, [col])
 
 
-def ffill(df: DataFrame, keys: Sequence[str], order: Sequence, cols: Sequence[str]) -> DataFrame:
+def ffill(df: DataFrame, keys: Sequence[str], order: Order, cols: Sequence[str]) -> DataFrame:
     """Carry the last non-NULL value forward per key."""
     out = running(df, keys, order, {f"__f_{c}": ("last", F.col(c)) for c in cols})
     return out.select(*[F.col(f"__f_{c}").alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-def ffill_by_position(df: DataFrame, keys: Sequence[str], order: Sequence, cols: Sequence[str]) -> DataFrame:
+def ffill_by_position(df: DataFrame, keys: Sequence[str], order: Order, cols: Sequence[str]) -> DataFrame:
     """Forward fill through the position of the last non-NULL row (second formulation).
 
     The running maximum of (position, value) pairs carries the value itself.
@@ -74,15 +73,15 @@ def ffill_by_position(df: DataFrame, keys: Sequence[str], order: Sequence, cols:
         f"__m_{c}": ("max", F.when(F.col(c).isNotNull(), F.struct("__pos", F.col(c).alias("v"))))
         for c in cols
     }
-    out = running(pos, keys, ["__pos"], marks)
+    out = running(stable(pos), keys, ["__pos"], marks)
     return out.select(*[F.col(f"__m_{c}.v").alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-def lags(df: DataFrame, keys: Sequence[str], order: Sequence, col: str, ns: Sequence[int]) -> DataFrame:
+def lags(df: DataFrame, keys: Sequence[str], order: Order, col: str, ns: Sequence[int]) -> DataFrame:
     return nearby(df, keys, order, max(ns), lambda w: {f"{col}_lag_{n}": F.lag(col, n).over(w) for n in ns})
 
 
-def rolling_mean(df: DataFrame, keys: Sequence[str], order: Sequence, col: str, n: int, name: str) -> DataFrame:
+def rolling_mean(df: DataFrame, keys: Sequence[str], order: Order, col: str, n: int, name: str) -> DataFrame:
     """Trailing n-row mean, NULL until n non-NULL values are there."""
 
     def expr(w):
@@ -100,14 +99,12 @@ def islands(df: DataFrame, col: str) -> DataFrame:
     ).drop("__g")
 
 
-def merge_spans(
-    df: DataFrame, keys: Sequence[str], start: str, end: str, limit: int | None = None
-) -> DataFrame:
+def merge_spans(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
     """Merge overlapping or touching spans per key."""
     spans = df.groupBy(*keys, start).agg(F.max(end).alias(end))
-    seen = running(spans, keys, [start], {"__seen": ("max", F.col(end))}, exclusive=True, limit=limit)
+    seen = running(spans, keys, [start], {"__seen": ("max", F.col(end))}, exclusive=True)
     fresh = seen.withColumn("__new", F.when(F.col(start) <= F.col("__seen"), 0).otherwise(1))
-    grouped = running(fresh, keys, [start], {"__grp": ("sum", F.col("__new"))}, limit=limit)
+    grouped = running(stable(fresh), keys, [start], {"__grp": ("sum", F.col("__new"))})
     return grouped.groupBy(*keys, "__grp").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__grp")
 
 

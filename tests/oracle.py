@@ -102,8 +102,6 @@ def main(argv: list[str]) -> int:
             if f.__closure__[0].cell_contents.__module__.rsplit(".", 1)[1] in mod
         ]
     spark, con = session(), duck(root)
-    if "GROUP_ROWS" in os.environ:  # 0 sends every ordered operator down its large-group path
-        spark.conf.set("spark.tabloom.groupRows", os.environ["GROUP_ROWS"])
     failed = []
     for key in keys:
         t = time.time()
