@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 
 PIECES = 4  # pieces per shuffle partition: more than one, so that they even out
 DRAWS = 16  # rows drawn per piece to find its limits
+CHARS = 64  # of a text, so many characters stand in a limit
 
 Order = Sequence[str | tuple[str, str]]  # column names, or (name, "desc")
 
@@ -71,8 +72,8 @@ def rising(df: DataFrame, order: Order) -> Column:
 
 
 def _coarse(df: DataFrame, order: Order) -> list[Column]:
-    """The order as plain numbers and strings, up to the first column that has no such form: rising, if not strictly."""
-    out = []
+    """The order as numbers and short strings that rise with it, if not strictly; up to the first column without such a form."""
+    out, whole = [], None  # whole: no text so far was cut
     for n, fall in _named(order):
         c, kind = F.col(f"`{n}`"), df.schema[n].dataType
         if isinstance(kind, T.DateType):
@@ -83,20 +84,26 @@ def _coarse(df: DataFrame, order: Order) -> list[Column]:
             c = c.cast("long")
         elif isinstance(kind, T.BinaryType):
             c = F.hex(c)
-        elif isinstance(kind, T.FractionalType):
-            value, nan = c.cast("double"), F.isnan(c.cast("double"))
-            rank = F.when(c.isNull(), 0).when(nan, 2).otherwise(1)
-            value = F.when(~nan, value)
-            out += [-rank, -value] if fall else [rank, value]
-            continue
-        elif not isinstance(kind, T.StringType):
+        elif not isinstance(kind, (T.StringType, T.FloatType, T.DoubleType, T.DecimalType)):
             return out
-        if fall and isinstance(kind, (T.StringType, T.BinaryType)):
-            out += [c.isNull().cast("int"), _turned(c)]
+        made = []
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            value = c.cast("double")
+            rank = F.when(c.isNull(), 0).when(F.isnan(value), 2).otherwise(1)
+            value = F.when(~F.isnan(value), value)
+            made += [-rank, -value] if fall else [rank, value]
+        elif isinstance(kind, (T.StringType, T.BinaryType)):
+            # long texts count by their beginning; of them nothing behind it may decide
+            cut = F.coalesce(F.char_length(c) > CHARS, F.lit(False))
+            short = F.left(c, F.lit(CHARS))
+            made += [c.isNull().cast("int"), _turned(short), (~cut).cast("int")] if fall else [short, cut.cast("int")]
         elif fall:
-            out += [c.isNull().cast("int"), F.bitwise_not(c)]
+            made += [c.isNull().cast("int"), -c if isinstance(kind, T.DecimalType) else F.bitwise_not(c)]
         else:
-            out += [c]
+            made += [c]
+        out += [m if whole is None else F.when(whole, m) for m in made]
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            whole = ~cut if whole is None else whole & ~cut
     return out
 
 
@@ -106,12 +113,9 @@ def _limits(rows: DataFrame, pieces: int) -> Column:
     Of every slot of the places' hashes the smallest hash is drawn, so the draw
     is even, has a bound and needs no count beforehand.
     """
-    kind = rows.schema["__at"].dataType
-    rows = rows.select("__at", F.xxhash64("__at").alias("h"))
-    picked = rows.groupBy(F.pmod("h", F.lit(pieces * DRAWS)).alias("slot")).agg(F.min("h").alias("h")).select("h")
-    # at most one hash per slot
-    drawn = rows.join(F.broadcast(picked), "h", "left_semi").select("__at").distinct()
-    drawn = drawn.agg(F.sort_array(F.collect_list("__at")).alias("a"))
+    kind, h = rows.schema["__at"].dataType, F.xxhash64("__at")
+    drawn = rows.groupBy(F.pmod(h, F.lit(pieces * DRAWS)).alias("slot")).agg(F.min_by("__at", h).alias("at"))
+    drawn = drawn.agg(F.sort_array(F.collect_list("at")).alias("a"))  # one place per slot
     every = F.greatest(F.lit(1), F.ceil(F.size("a") / F.lit(float(pieces))).cast("int"))
     # one row for the driver, a few bytes per piece
     found = drawn.select("a", every.alias("every")).select(F.to_json(F.filter("a", lambda x, i: i % F.col("every") == 0))).first()[0]
@@ -124,14 +128,14 @@ def in_pieces(df: DataFrame, keys: Sequence[str], order: Order) -> DataFrame:
     key = F.xxhash64(*[F.col(f"`{k}`") for k in keys]) if keys else F.lit(0).cast("long")
     place = [c.alias(f"o{i}") for i, c in enumerate(_coarse(df, order))]
     rows = df.withColumn("__at", F.struct(key.alias("key"), *place))
-    limits, at = _limits(rows, pieces), F.col("__at")
-    steps = F.array(*[F.lit(1 << b) for b in reversed(range((pieces + 1).bit_length()))])
-    # binary search: how many limits are at or below the row
-    piece = F.aggregate(steps, F.lit(0), lambda lo, s: F.when(F.get(limits, lo + s - 1) <= at, lo + s).otherwise(lo))
-    rows = rows.withColumn("__piece", piece)
+    limits, piece, at = _limits(rows, pieces), F.col("__piece"), F.col("__at")
+    rows = rows.withColumn("__piece", F.lit(0))
+    for b in reversed(range((pieces + 1).bit_length())):  # binary search: how many limits are at or below the row
+        rows = rows.withColumn("__piece", F.when(F.get(limits, piece + ((1 << b) - 1)) <= at, piece + (1 << b)).otherwise(piece))
     same = lambda i: F.coalesce(F.get(limits, i)["key"] == F.col("__at.key"), F.lit(False))
-    split = same(F.col("__piece") - 1) | same(F.col("__piece"))
-    return rows.withColumn("__split", split).drop("__at")
+    # Adding nothing, but from the task at hand: filters stay above the search instead of repeating it.
+    rows = rows.withColumn("__piece", piece + F.spark_partition_id() * 0)
+    return rows.withColumn("__split", same(piece - 1) | same(piece)).drop("__at")
 
 
 _LOCAL: dict[str, Callable[[Column], Column]] = {

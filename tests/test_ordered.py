@@ -41,15 +41,16 @@ def test_running_equals_a_plain_window(hot, rows, exclusive, order, keys):
     assert rows(got, "id", *AGGS) == rows(hot.select("id", *plain_over(w)))
 
 
-FALLING = {"long": "ts", "double": "case when id % 5 = 0 then null when id % 7 = 0 then double('NaN') else ts / 3 end", "string": "case when id % 5 > 0 then concat('é', ts) end",
+FALLING = {"long": "ts", "double": "case when id % 5 = 0 then null when id % 7 = 0 then double('NaN') else ts / 3 end", "string": "case when id % 5 > 0 then concat('é', ts) end", "long text": "concat(repeat('x', 60 + cast(id % 9 as int)), ts % 5)",
            "date": "date_add(date'2020-01-01', cast(ts as int))", "timestamp": "timestamp_seconds(ts)", "decimal": "cast(ts as decimal(12,2))", "boolean": "ts % 2 = 0"}
 
 
 @pytest.mark.parametrize("kind", FALLING)
-def test_every_type_can_fall(hot, rows, kind):
+@pytest.mark.parametrize("way", ["asc", "desc"])
+def test_every_type_can_rise_and_fall(hot, rows, kind, way):
     df = hot.select("id", "k", "v", F.expr(FALLING[kind]).alias("o"))
-    w = Window.partitionBy("k").orderBy(F.col("o").desc(), "id").rowsBetween(Window.unboundedPreceding, 0)
-    got = O.running(df, ["k"], [("o", "desc"), "id"], ours())
+    w = Window.partitionBy("k").orderBy(F.col("o").desc() if way == "desc" else F.col("o"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    got = O.running(df, ["k"], [("o", way), "id"], ours())
     assert rows(got, "id", *AGGS) == rows(df.select("id", *plain_over(w)))
 
 
