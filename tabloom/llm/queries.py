@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import bpe, fingerprint, language, lines, packing, pii, rules, simhash, token_output, weak
+from tabloom.llm import bpe, fingerprint, language, lines, merkle, packing, pii, rules, simhash, token_output, weak
 from tabloom.llm.common import documents
 from tabloom.session import scratch_path
 
@@ -79,3 +79,8 @@ def op10(spark: SparkSession, root: str) -> DataFrame:
 @query("op5_weak_quality")
 def op5(spark: SparkSession, root: str) -> DataFrame:
     return weak.classify(documents(spark, root))
+
+
+@query("op12_merkle_manifest", merkle.SQL)
+def op12(spark: SparkSession, root: str) -> DataFrame:
+    return merkle.verify(documents(spark, root))
