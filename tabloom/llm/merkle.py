@@ -45,13 +45,13 @@ def _pages(nodes: DataFrame, bits: int) -> DataFrame:
     sends single nodes up, each hashed alone.
     """
     entries = F.sort_array(F.collect_list(F.struct("pos", "digest", "row")))
-    pages = nodes.groupBy("group", F.shiftright("pos", bits).alias("page")).agg(entries.alias("nodes"))
+    pages = nodes.groupBy("group", F.shiftright("pos", bits).alias("page"), "n").agg(entries.alias("nodes"))
     alone = F.ceil(F.log2(F.size("nodes").cast("double"))).cast("int")
-    pages = pages.select("group", "page", F.when(F.col("page") == 0, alone).otherwise(bits).alias("height"), F.col("nodes.row").alias("rows"),
+    pages = pages.select("group", "page", "n", F.when(F.col("page") == 0, alone).otherwise(bits).alias("height"), F.col("nodes.row").alias("rows"),
                          F.col("nodes.digest").alias("__0"))
     for k in range(1, bits + 1):
         pages = pages.withColumn(f"__{k}", F.when(F.col("height") >= k, _above(F.col(f"__{k - 1}"))))
-    pages = pages.select("group", "page", "height", "rows", F.array(*[f"__{k}" for k in range(bits + 1)]).alias("levels"))
+    pages = pages.select("group", "page", "n", "height", "rows", F.array(*[f"__{k}" for k in range(bits + 1)]).alias("levels"))
     return pages.withColumn("digest", F.get(F.get("levels", F.col("height")), F.lit(0)))
 
 
@@ -59,22 +59,26 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, frames)
 
 
-def build(nodes: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFrame | None, DataFrame]:
-    """Records over the leaves, records above them (None if there are none), and (group, digest) of the groups' roots.
+def build(nodes: DataFrame, bits: int = BITS) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+    """Records over the leaves, records of each layer above them, and (group, digest) of the groups' roots.
 
-    ``nodes``: group, pos (from 0 in each group), digest, row (not null). A round takes ``bits`` levels; 10 ** 11 rows
-    need five.
+    ``nodes``: group, pos (from 0 in each group), digest, row (not null). A layer takes ``bits`` levels; 10 ** 11 rows
+    have five.
     """
-    records, roots = [], []
+    sizes = nodes.groupBy(F.col("group").alias("__group")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = staged(sizes, "sizes")
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    nodes = nodes.join(sizes, F.col("group").eqNullSafe(F.col("__group"))).drop("__group")
+    records, roots, full = [], [], 1 << bits
     while True:
         pages = staged(_pages(nodes, bits), "pages")
         records.append(pages.select("digest", "height", "levels", *([] if records else ["rows"])).dropDuplicates(["digest"]))
-        more = pages.where("page > 0").select(F.col("group").alias("__group")).distinct()
-        same = F.col("group").eqNullSafe(F.col("__group"))
-        roots.append(pages.join(more, same, "left_anti").select("group", "digest"))
-        if more.isEmpty():
-            return records[0], _union(records[1:]) if records[1:] else None, _union(roots)
-        nodes = pages.join(more, same, "left_semi").select("group", F.col("page").alias("pos"), "digest", F.lit(True).alias("row"))
+        roots.append(pages.where(F.col("n") <= full).select("group", "digest"))
+        if most <= full:
+            return records[0], records[1:], _union(roots)
+        most = -(-most // full)
+        nodes = pages.where(F.col("n") > full).select(
+            "group", F.col("page").alias("pos"), "digest", F.lit(True).alias("row"), F.ceil(F.col("n") / full).alias("n"))
 
 
 def _children(requests: DataFrame, records: DataFrame, bits: int) -> DataFrame:
@@ -92,21 +96,16 @@ def _children(requests: DataFrame, records: DataFrame, bits: int) -> DataFrame:
     return hit.withColumn("path", F.concat("path", F.transform(down, step)))
 
 
-def descend(requests: DataFrame, leaves: DataFrame, above: DataFrame | None, bits: int = BITS) -> DataFrame:
+def descend(requests: DataFrame, leaves: DataFrame, above: list[DataFrame], bits: int = BITS) -> DataFrame:
     """All leaves below the requested digests: ``row``, ``digest`` and ``path``, from the requested node downwards.
 
-    ``requests``: digest, path (so far), and columns that are passed on.
+    ``requests``: digest, path (so far), and columns that are passed on. A request goes through as many layers above the
+    leaves as its digest has below it.
     """
     names = requests.columns
-    if above is not None:
-        above, done = staged(above, "above"), []
-        while True:
-            found = staged(_children(requests, above, bits).select(*names), "requests")
-            done.append(requests.join(above, "digest", "left_anti").select(*names))
-            if found.isEmpty():
-                break
-            requests = found
-        requests = _union(done)
+    for layer in reversed(above):
+        found = _children(requests, layer, bits).select(*names)
+        requests = staged(found.unionAll(requests.join(layer, "digest", "left_anti").select(*names)), "requests")
     out = _children(requests, leaves, bits)
     return out.select(F.get("rows", F.col("slot")).alias("row"), *names)
 
