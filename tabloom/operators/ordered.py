@@ -128,14 +128,16 @@ def in_pieces(df: DataFrame, keys: Sequence[str], order: Order) -> DataFrame:
     key = F.xxhash64(*[F.col(f"`{k}`") for k in keys]) if keys else F.lit(0).cast("long")
     place = [c.alias(f"o{i}") for i, c in enumerate(_coarse(df, order))]
     rows = df.withColumn("__at", F.struct(key.alias("key"), *place))
-    limits, piece, at = _limits(rows, pieces), F.col("__piece"), F.col("__at")
+    # Asking for the task at hand keeps the optimizer from repeating the limits in every step, or the search in filters.
+    task = F.spark_partition_id()
+    rows = rows.withColumn("__limits", F.when(task >= 0, _limits(rows, pieces)))
+    limits, piece, at = F.col("__limits"), F.col("__piece"), F.col("__at")
     rows = rows.withColumn("__piece", F.lit(0))
     for b in reversed(range((pieces + 1).bit_length())):  # binary search: how many limits are at or below the row
         rows = rows.withColumn("__piece", F.when(F.get(limits, piece + ((1 << b) - 1)) <= at, piece + (1 << b)).otherwise(piece))
-    same = lambda i: F.coalesce(F.get(limits, i)["key"] == F.col("__at.key"), F.lit(False))
-    # Adding nothing, but from the task at hand: filters stay above the search instead of repeating it.
-    rows = rows.withColumn("__piece", piece + F.spark_partition_id() * 0)
-    return rows.withColumn("__split", same(piece - 1) | same(piece)).drop("__at")
+    same = lambda i: F.coalesce(F.get(limits, i)["key"] == at["key"], F.lit(False))
+    rows = rows.withColumn("__piece", piece + task * 0)
+    return rows.withColumn("__split", same(piece - 1) | same(piece)).drop("__at", "__limits")
 
 
 _LOCAL: dict[str, Callable[[Column], Column]] = {
