@@ -137,12 +137,12 @@ def _tracking(t):
     return out.select("game_id", "play_id", "max_x", "min_y", "max_a", *[F.round(c, 6).alias(c) for c in rounded])
 
 
-SERIES_SQL = """s as (select user_id % 10 as gpu, cast(ts as date) as day, cast(sum(cast(value as decimal(18,2))) as double) / 1000 as utilization,
+SERIES_SQL = """s as (select user_id as gpu, cast(ts as date) as day, cast(sum(cast(value as decimal(18,2))) as double) / 1000 as utilization,
   cast(max(value) as double) as price, cast(count(*) as double) as revenue from events group by all)"""
 
 
 def daily(t):
-    return t.events.groupBy((F.col("user_id") % 10).alias("gpu"), F.to_date("ts").alias("day")).agg(
+    return t.events.groupBy(F.col("user_id").alias("gpu"), F.to_date("ts").alias("day")).agg(
         (F.sum(F.col("value").cast("decimal(18,2)")).cast("double") / 1000).alias("utilization"),
         F.max("value").alias("price"), F.count("*").cast("double").alias("revenue"))
 

@@ -97,13 +97,10 @@ def _multi(t):
 union all select 'without null', count(*) from part where p_partkey not in (
   select l_partkey from lineitem where l_partkey % 2 = 0)""")
 def _not_in(t):
-    t.part.createOrReplaceTempView("tabloom_part")
-    t.lineitem.createOrReplaceTempView("tabloom_lineitem")
-    return t.spark.sql("""
-        select 'with null' as variant, count(*) as n from tabloom_part where p_partkey not in (
-          select case when l_partkey % 2 = 0 then l_partkey end from tabloom_lineitem)
-        union all select 'without null', count(*) from tabloom_part where p_partkey not in (
-          select l_partkey from tabloom_lineitem where l_partkey % 2 = 0)""")
+    even = F.col("l_partkey") % 2 == 0
+    sets = {"with null": t.lineitem.select(F.when(even, F.col("l_partkey")).alias("k")), "without null": t.lineitem.where(even).select(F.col("l_partkey").alias("k"))}
+    counts = [J.not_in(t.part, "p_partkey", keys, "k").agg(F.lit(name).alias("variant"), F.count(F.lit(1)).alias("n")) for name, keys in sets.items()]
+    return counts[0].unionAll(counts[1])
 
 
 DX = ["l_orderkey", "l_linenumber", "l_partkey % 60 as d1",

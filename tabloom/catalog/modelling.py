@@ -285,7 +285,7 @@ def _cv(t):
 
 @query("calibrate_isotonic")
 def _calibrate(t):
-    scored = trained(t, "logistic").withColumn("score", F.round("score", 3))
+    scored = trained(t, "logistic")
     return M.calibrate_isotonic(scored, "y", "score").transform(scored).select("id", "y", "score", "calibrated")
 
 
@@ -305,7 +305,7 @@ def _align(t):
 @query("kmeans_elbow")
 def _elbow(t):
     rows = t.embeddings.select("vec_id", array_to_vector(F.col("embedding")).alias("features"))
-    return M.kmeans_elbow(rows, "features", 2, 6)
+    return M.kmeans_elbow(rows, "features", 2, 50)
 
 
 PRICE_SQL = f"""with {PEOPLE_SQL},
@@ -313,17 +313,15 @@ r as (select id, least(1.0, 0.4 + c_acctbal / 20 + n_orders / 100)::double as u,
 s as (select avg(price) as ma, avg(n_orders) as mb, avg(u) as my, var_pop(price) as aa, var_pop(n_orders) as bb, covar_pop(price, n_orders) as ab,
   covar_pop(price, u) as ay, covar_pop(n_orders, u) as by_ from r),
 w as (select *, (bb * ay - ab * by_) / (aa * bb - ab * ab) as wa, (aa * by_ - ab * ay) / (aa * bb - ab * ab) as wb from s),
-g as (select id, price, price * (0.5::double + i / 29) as p, my + wa * (price * (0.5::double + i / 29) - ma) + wb * (n_orders - mb) as pred,
+g as (select id, price, price * (1 - 5.0::double + 10.0::double / 29 * i) as p, my + wa * (price * (1 - 5.0::double + 10.0::double / 29 * i) - ma) + wb * (n_orders - mb) as pred,
   my + wa * (price - ma) + wb * (n_orders - mb) as now from r cross join w cross join (select unnest(range(0, 30)) as i))
-select id, price as current_price, round(coalesce(arg_min(p, pred - 0.6) filter (pred >= 0.6), price) + 3.3e-9, 5) as best_price,
-  round(coalesce(min(pred) filter (pred >= 0.6), max(now)) + 3.3e-9, 5) as predicted from g group by id, price"""
+select id, price as current_price, round(coalesce(arg_min(p, pred - 0.6) filter (pred >= 0.6 and p > 0), price), 4) as best_price,
+  round(coalesce(min(pred) filter (pred >= 0.6 and p > 0), max(now)), 4) as predicted from g group by id, price"""
 
 
 @query("price_grid_search", PRICE_SQL)
 def _prices(t):
     rows = people(t).selectExpr("id", "least(1.0, 0.4 + c_acctbal / 20 + n_orders / 100) as utilization", "largest + 0.5 as price", "n_orders")
     model = M.fit(rows, ["price", "n_orders"], "utilization", M.regressor("linear", "utilization"))
-    out = M.price_grid_search(rows, model, "id", "price", 0.6, 0.5, 30)
-    # half prices can end exactly between two fifth digits; the offset decides alike on both sides
-    return out.withColumns({c: F.round(F.col(c) + 3.3e-9, 5) for c in ("best_price", "predicted")})
-
+    out = M.price_grid_search(rows, model, "id", "price", 0.6, 5.0, 30)
+    return out.withColumns({c: F.round(c, 4) for c in ("best_price", "predicted")})

@@ -32,68 +32,72 @@ def _vocab(t):
 
 
 @query("text_ngram_prefixes", f"""with {VOCAB_SQL.replace('@table', 'conversations')},
-c as (select conv_id * 1000 + turn as id, text from conversations),
-{LINES_SQL.format(key='id', col='text', table='c')},
-tk as (select id, line_no, unnest(tks) as token, generate_subscripts(tks, 1) as pos from (select id, line_no, {TOKEN_SQL.replace('{c}', 'line')} as tks from raw)),
-sq as (select id, line_no, list(idx order by pos) as ids from tk join vocab v on v.token = tk.token group by id, line_no),
+c as (select conv_id, turn, text from conversations),
+{LINES_SQL.format(key='conv_id, turn', col='text', table='c')},
+tk as (select conv_id, turn, line_no, unnest(tks) as token, generate_subscripts(tks, 1) as pos from (select conv_id, turn, line_no, {TOKEN_SQL.replace('{c}', 'line')} as tks from raw)),
+sq as (select conv_id, turn, line_no, list(idx order by pos) as ids from tk join vocab v on v.token = tk.token group by conv_id, turn, line_no),
 w as (select max(len(ids)) as width from sq),
-pf as (select id, line_no, unnest(generate_series(1, len(ids) - 1)) as n, ids from sq where len(ids) > 1)
-select id, cast(line_no as int) as line_no, cast(n as int) as n_known, cast(width - 1 as int) as width, ids[n + 1] as label,
+pf as (select conv_id, turn, line_no, unnest(generate_series(1, len(ids) - 1)) as n, ids from sq where len(ids) > 1)
+select conv_id, turn, cast(line_no as int) as line_no, cast(n as int) as n_known, width, ids[n + 1] as label,
   md5(array_to_string(list_concat(list_transform(range(0, width - 1 - n), lambda z: 0::bigint), ids[1:n]), ',')) as digest from pf cross join w""")
 def _prefixes(t):
-    docs = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    out = X.ngram_prefixes(docs, "id", "text", X.vocab(docs, "text"))
+    docs = t.conversations.select("conv_id", "turn", "text")
+    lines, prefixes = X.ngram_prefixes(docs, ["conv_id", "turn"], "text", X.vocab(docs, "text"), t.scratch("lines"))
+    rows = X.padded(lines, prefixes, ["conv_id", "turn"])
     digest = F.md5(F.array_join(F.col("predictors").cast("array<string>"), ","))
-    return out.select("id", "line_no", "n_known", F.size("predictors").alias("width"), "label", digest.alias("digest"))
+    return rows.select("conv_id", "turn", "line_no", "n_known", (F.size("predictors") + 1).cast("long").alias("width"), "label", digest.alias("digest"))
 
 
-# Three readings of every message; accents go, because the check counts bytes.
-CANDS = [("0", "regexp_replace(text, '[^ -~\\n]', '{g}')"), ("1", "replace(regexp_replace(text, '[^ -~\\n]', '{g}'), 'ou', 'ov')"),
-         ("2", "replace(replace(regexp_replace(text, '[^ -~\\n]', '{g}'), 'en', 'e n'), 'ou', 'ov')")]
-CANDS_SQL = "cands as (" + " union all ".join(
-    f"select conv_id * 1000 + turn as id, {i} as cand, {e.replace(chr(39) + '{g}' + chr(39), chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39))} as text from conversations"
-    for i, e in CANDS) + ")"
+# Three readings of every message.
+READINGS = [("0", "text"), ("1", "replace(text, 'ou', 'ov')"), ("2", "replace(replace(text, 'en', 'e n'), 'ou', 'ov')")]
+CANDS_SQL = "cands as (" + " union all ".join(f"select conv_id, turn, {i} as cand, {e} as text from conversations" for i, e in READINGS) + ")"
+# The check's edit distance counts bytes: letters beyond ASCII stand for single control characters there, one for each.
+BYTES_SQL = """letters as (select string_agg(c, '' order by c) as have from (select distinct unnest(regexp_extract_all(text, '[^ -~\\n]')) as c from conversations)),
+controls as (select string_agg(chr(i::int), '' order by i) as give from (select unnest(list_concat(range(1, 9), range(14, 32))) as i))"""
+BYTES = "translate({0}, coalesce((select have from letters), ''), (select left(give, coalesce(length(have), 0)::bigint) from letters, controls))"
 VOTE_SQL = CANDS_SQL + """,
-ln as (select id, cand, string_split(text, chr(10)) as ls from cands),
-l2 as (select id, cand, unnest(ls) as line, generate_subscripts(ls, 1) as line_no from ln),
-wd as (select id, cand, line_no, list_concat([''], list_filter(string_split_regex(line, '\\s+'), lambda w: w <> '')) as ws from l2),
-w2 as (select id, cand, line_no, unnest(ws) as word, generate_subscripts(ws, 1) as pos from wd),
-g1 as (select id, line_no, pos, word, count(*) as n, min(cand) as first from w2 group by all),
-g2 as (select *, sum(n) over (partition by id, line_no, pos) as have,
-  row_number() over (partition by id, line_no, pos order by n desc, first) as rn from g1),
-l3 as (select id, line_no, coalesce(string_agg(word, ' ' order by pos) filter (pos > 1), '') as line from g2 where rn = 1 and have = 3 group by all),
-voted as (select id, string_agg(line, chr(10) order by line_no) as vote from l3 group by id)"""
+ln as (select conv_id, turn, cand, string_split(text, chr(10)) as ls from cands),
+l2 as (select conv_id, turn, cand, unnest(ls) as line, generate_subscripts(ls, 1) as line_no from ln),
+wd as (select conv_id, turn, cand, line_no, list_concat([''], list_filter(string_split_regex(line, '\\s+'), lambda w: w <> '')) as ws from l2),
+w2 as (select conv_id, turn, cand, line_no, unnest(ws) as word, generate_subscripts(ws, 1) as pos from wd),
+g1 as (select conv_id, turn, line_no, pos, word, count(*) as n, min(cand) as first from w2 group by all),
+g2 as (select *, sum(n) over (partition by conv_id, turn, line_no, pos) as have,
+  row_number() over (partition by conv_id, turn, line_no, pos order by n desc, first) as rn from g1),
+l3 as (select conv_id, turn, line_no, coalesce(string_agg(word, ' ' order by pos) filter (pos > 1), '') as line from g2 where rn = 1 and have = 3 group by all),
+voted as (select conv_id, turn, string_agg(line, chr(10) order by line_no) as vote from l3 group by conv_id, turn)"""
+MESSAGE = ["conv_id", "turn"]
 
 
 def cands(t):
-    rows = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.regexp_replace("text", "[^ -~\n]", "").alias("base"))
-    swapped = F.replace("base", F.lit("ou"), F.lit("ov"))
-    split = F.replace(F.replace("base", F.lit("en"), F.lit("e n")), F.lit("ou"), F.lit("ov"))
-    return rows.select("id", F.posexplode(F.array("base", swapped, split)).alias("cand", "text"))
+    swapped = F.replace("text", F.lit("ou"), F.lit("ov"))
+    split = F.replace(F.replace("text", F.lit("en"), F.lit("e n")), F.lit("ou"), F.lit("ov"))
+    return t.conversations.select(*MESSAGE, F.posexplode(F.array("text", swapped, split)).alias("cand", "text"))
 
 
-@query("text_vote_words", f"with {VOTE_SQL} select id, vote as text from voted")
+@query("text_vote_words", f"with {VOTE_SQL} select conv_id, turn, vote as text from voted")
 def _vote(t):
-    return X.vote(cands(t), "id", "cand", "text")
+    return X.vote(cands(t), MESSAGE, "cand", "text")
 
 
-@query("text_pick_best", f"""with {VOTE_SQL}, d as (select c.id, c.cand, c.text, levenshtein(c.text, v.vote) as distance from cands c join voted v on v.id = c.id)
-select id, cand, text, cast(distance as int) as distance from (select *, row_number() over (partition by id order by distance, cand) as rn from d) where rn = 1""")
+@query("text_pick_best", f"""with {BYTES_SQL}, {VOTE_SQL},
+d as (select c.conv_id, c.turn, c.cand, c.text, levenshtein({BYTES.format('c.text')}, {BYTES.format('v.vote')}) as distance
+  from cands c join voted v on v.conv_id = c.conv_id and v.turn = c.turn)
+select conv_id, turn, cand, text, cast(distance as int) as distance from (
+  select *, row_number() over (partition by conv_id, turn order by distance, cand) as rn from d) where rn = 1""")
 def _best(t):
-    return X.pick_best(cands(t), "id", "cand", "text")
+    return X.pick_best(cands(t), MESSAGE, "cand", "text")
 
 
-@query("text_error_rates", """with b as (select conv_id * 1000 + turn as id, turn, list_filter(string_split_regex(regexp_replace(text, '[^ -~\\n]', '', 'g'), '\\s+'), lambda w: w <> '') as w
-  from conversations),
-c as (select id, w, array_to_string(w, ' ') as truth, w[1:greatest(len(w) - turn % 3, 0)] as v from b)
-select id, round(levenshtein(truth, array_to_string(v, ' ')) / nullif(length(truth), 0), 6) as cer, round((len(w) - len(v)) / nullif(len(w), 0), 6) as wer from c""")
+@query("text_error_rates", f"""with {BYTES_SQL}, b as (select conv_id, turn, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') as w from conversations),
+c as (select conv_id, turn, w, array_to_string(w, ' ') as truth, w[1:greatest(len(w) - turn % 3, 0)] as v from b)
+select conv_id, turn, round(levenshtein({BYTES.format('truth')}, {BYTES.format("array_to_string(v, ' ')")}) / nullif(length(truth), 0), 6) as cer,
+  round((len(w) - len(v)) / nullif(len(w), 0), 6) as wer from c""")
 def _errors(t):
-    words = X.split_words(F.regexp_replace("text", "[^ -~\n]", ""))
-    rows = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "turn", words.alias("w"))
+    rows = t.conversations.select(*MESSAGE, X.split_words(F.col("text")).alias("w"))
     kept = F.slice("w", F.lit(1), F.greatest(F.size("w") - F.col("turn").cast("int") % 3, F.lit(0)))
-    rows = rows.select("id", F.array_join("w", " ").alias("truth"), F.array_join(kept, " ").alias("got"))
+    rows = rows.select(*MESSAGE, F.array_join("w", " ").alias("truth"), F.array_join(kept, " ").alias("got"))
     out = X.error_rates(rows, "truth", "got")
-    return out.select("id", *[F.round(c, 6).alias(c) for c in ("cer", "wer")])
+    return out.select(*MESSAGE, *[F.round(c, 6).alias(c) for c in ("cer", "wer")])
 
 
 @query("udf_rowwise", """select event_id, case when event_type = 'purchase' and value > 50 then 'large' when event_type = 'purchase' then 'small'

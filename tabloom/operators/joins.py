@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.operators.ordered import join_back
+from tabloom.operators.ordered import attach, join_back
 
 
 def merge_data(
@@ -143,3 +143,15 @@ def not_in_history(new: DataFrame, history: DataFrame, keys: Sequence[str]) -> D
 def recent_batches(df: DataFrame, batch_key: str, n: int) -> DataFrame:
     """The n highest distinct batch ids."""
     return df.select(batch_key).distinct().orderBy(F.desc(batch_key)).limit(n)
+
+
+def not_in(df: DataFrame, col: str, held: DataFrame, held_col: str) -> DataFrame:
+    """SQL's ``col NOT IN (held)``: nothing if the set holds a NULL, a NULL in ``col`` only if the set is empty.
+
+    One aggregate tells whether the set is empty or holds a NULL; the rest is an anti join on distinct values, which
+    shuffles both sides instead of sending the set to every task.
+    """
+    values = held.select(F.col(held_col).alias("__v"))
+    facts = values.agg(F.count(F.lit(1)).alias("__n"), F.count_if(F.col("__v").isNull()).alias("__nulls"))
+    asked = attach(df, facts).where((F.col("__n") == 0) | ((F.col("__nulls") == 0) & F.col(col).isNotNull())).drop("__n", "__nulls")
+    return asked.join(values.distinct(), F.col(col) == F.col("__v"), "left_anti")

@@ -3,28 +3,32 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import regression as G
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabloom.operators.ordered import join_back, position, unpivot_numeric
 from tabloom.operators.ranks import head_per_key
 from tabloom.operators.relational import numeric_columns, union_rows
-from tabloom.session import scratch_path
+from tabloom.session import scratch_path, stable
 
-BLOCK = 20_000
+PIVOTS = 2_048  # most pivots of a neighbour search
+SHARE = 20_000  # queries that one task holds against one part of the rows
 
 
 # Encoding and preparation
@@ -98,47 +102,115 @@ def attach_label(df: DataFrame, positives: DataFrame, on: Sequence[str], name: s
 
 # Neighbours
 
+def _distances(x: np.ndarray, to: np.ndarray, p: int) -> np.ndarray:
+    """Minkowski distances of all rows of x to all rows of ``to``."""
+    return sum(np.abs(x[:, [j]] - to[:, j]) ** p for j in range(x.shape[1])) ** (1.0 / p)
+
+
+def _matrix(batch: pa.RecordBatch, cols: Sequence[str]) -> np.ndarray:
+    return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in cols])
+
+
+@dataclass(frozen=True)
+class Pivots:
+    """Points that part the base rows: a row belongs to its nearest pivot."""
+
+    at: np.ndarray  # pivots × features
+    reach: np.ndarray  # distance of each part's furthest row
+    near: np.ndarray  # pivots × k: distances of each part's nearest rows
+    p: int
+
+    def visits(self, x: np.ndarray) -> np.ndarray:
+        """Which parts can hold one of the k nearest rows of each query, by the triangle inequality."""
+        d, k = _distances(x, self.at, self.p), self.near.shape[1]
+        every = (d[:, :, None] + self.near).reshape(len(x), -1)
+        bound = np.partition(every, k - 1, 1)[:, k - 1 : k] * (1 + 1e-9) + 1e-12  # k rows lie within it
+        own = d.argmin(1)
+        mine = d[np.arange(len(x)), own][:, None]
+        between = _distances(self.at, self.at, self.p)[own]
+        if self.p == 2:
+            side = (d**2 - mine**2) / (2 * np.maximum(between, 1e-300))  # to the plane half way between two pivots
+        else:
+            side = (d - mine) / 2
+        side[np.arange(len(x)), own] = 0
+        return (np.maximum(d - self.reach, side) <= bound) & np.isfinite(self.reach)
+
+
 def nearest_rows(
     queries: DataFrame, base: DataFrame, cols: Sequence[str], k: int, p: int = 2, skip_self: bool = False,
-    extra: Sequence[str] = (), block: int = BLOCK,
+    extra: Sequence[str] = (), pivots: int = PIVOTS,
 ) -> DataFrame:
-    """Exact k nearest base rows per query row (both with a unique ``id``).
+    """Exact k nearest base rows per query row (both with a unique ``id``); ties to the smaller id.
 
-    Query and base rows are cut into blocks of bounded size; each pair of
-    blocks is compared in one task with numpy and only k rows per query leave it.
+    Base rows are parted by their nearest pivot, and a query visits only the parts that the triangle inequality does not
+    rule out. Of base rows at one spot the k smallest ids suffice, so no spot makes a part large. Up to ``pivots`` pivots
+    (a bounded draw, about the square root of the rows) are known to every task. Rows with a null or NaN feature have no
+    neighbours and are none.
     """
-    nb, nq = [max(1, -(-d.count() // block)) for d in (base, queries)]
-    slot = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    fresh = [F.col(c).alias(c) for c in ("id", *cols, *extra)]  # own column ids: base may be the queries
-    b = base.select(*fresh).withColumn("bb", slot(nb)).withColumn("qb", every(nq))
-    q = queries.select("id", *cols).withColumn("qb", slot(nq)).withColumn("bb", every(nb))
-    types = dict(base.dtypes)
+    k_all = k + int(skip_self)
+    known = lambda df: df.where(" and ".join(f"`{c}` is not null and not isnan(cast(`{c}` as double))" for c in cols))
+    fresh = lambda df, names: df.select(F.col("id").alias("id"), *[F.col(c).cast("double").alias(c) for c in cols], *[F.col(c).alias(c) for c in names if c not in cols])
+    rows = stable(head_per_key(fresh(known(base), extra), list(cols), [F.asc("id")], k_all))
+    q = fresh(known(queries), [])
+    n, nq = rows.count(), q.count()
+    names = ["id", "other", "distance", *extra]
+    types = dict(base.dtypes) | {c: "double" for c in cols}
     schema = ", ".join([f"id {dict(queries.dtypes)['id']}", f"other {types['id']}", "distance double", *[f"{e} {types[e]}" for e in extra]])
+    if not n or not nq:
+        return queries.sparkSession.createDataFrame([], schema)
+    most = max(1, min(pivots, round(n**0.5)))
+    drawn = rows.select(*cols).distinct().orderBy(F.xxhash64(*cols), *cols).limit(most).collect()
+    at = np.array([[float(v) for v in r] for r in drawn])
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, 1024):
+                piece = b.slice(start, 1024)
+                d = _distances(_matrix(piece, cols), at, p)
+                own = d.argmin(1)
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(own, pa.int32()), pa.array(d[np.arange(len(own)), own])], [*piece.schema.names, "__part", "__far"])
+
+    parted = rows.mapInArrow(part, T.StructType([*rows.schema.fields, T.StructField("__part", T.IntegerType()), T.StructField("__far", T.DoubleType())]))
+    parted = stable(parted)
+    closest = head_per_key(parted.select("id", "__part", "__far"), ["__part"], [F.asc("__far"), F.asc("id")], k_all)
+    reach, near = np.full(len(at), -np.inf), np.full((len(at), k_all), np.inf)
+    for r in parted.groupBy("__part").agg(F.max("__far").alias("far")).collect():  # one row per pivot
+        reach[r["__part"]] = r["far"] * (1 + 1e-9)
+    for r in closest.groupBy("__part").agg(F.sort_array(F.collect_list("__far")).alias("far")).collect():
+        near[r["__part"], : len(r["far"])] = r["far"]
+    known_pivots = Pivots(at, reach, near, p)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, 256):
+                piece = b.slice(start, 256)
+                row, to = np.nonzero(known_pivots.visits(_matrix(piece, cols)))
+                yield pa.RecordBatch.from_arrays([*piece.take(pa.array(row)).columns, pa.array(to.astype(np.int32))], [*piece.schema.names, "__part"])
+
+    sent = q.mapInArrow(send, T.StructType([*q.schema.fields, T.StructField("__part", T.IntegerType())]))
+    shares = max(1, -(-nq // (len(at) * SHARE)))  # parts of the queries of one part of the rows
+    sent = sent.withColumn("__share", F.pmod(F.xxhash64("id"), F.lit(shares)).cast("int"))
+    copies = parted.drop("__far").withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         right = right.sort_values("id")
         m, ids = right[list(cols)].to_numpy(float), right["id"].to_numpy()
-        for start in range(0, len(left), 256):
-            part = left.iloc[start: start + 256]
-            x = part[list(cols)].to_numpy(float)
-            if not len(m):
-                break
-            d = sum(np.abs(x[:, [j]] - m[:, j]) ** p for j in range(len(cols)))
+        for start in range(0, len(left) if len(m) else 0, 256):
+            piece = left.iloc[start: start + 256]
+            d = _distances(piece[list(cols)].to_numpy(float), m, p)
             if skip_self:
-                d[part["id"].to_numpy()[:, None] == ids[None, :]] = np.inf
+                d[piece["id"].to_numpy()[:, None] == ids[None, :]] = np.inf
             top = np.argsort(d, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(len(part)), top.shape[1])
-            picked, dist = top.ravel(), d[np.arange(len(part))[:, None], top].ravel() ** (1.0 / p)
+            at_row = np.repeat(np.arange(len(piece)), top.shape[1])
+            picked, dist = top.ravel(), d[np.arange(len(piece))[:, None], top].ravel()
             keep = np.isfinite(dist)
-            rec = {"id": part["id"].to_numpy()[rows][keep], "other": ids[picked][keep], "distance": dist[keep]}
+            rec = {"id": piece["id"].to_numpy()[at_row][keep], "other": ids[picked][keep], "distance": dist[keep]}
             rec.update({e: right[e].to_numpy()[picked][keep] for e in extra})
             out.append(pd.DataFrame(rec))
-        names = ["id", "other", "distance", *extra]
         return pd.concat(out) if out else pd.DataFrame(columns=names)
 
-    pairs = q.groupBy("bb", "qb").cogroup(b.groupBy("bb", "qb")).applyInPandas(best, schema)
+    pairs = sent.groupBy("__part", "__share").cogroup(copies.groupBy("__part", "__share")).applyInPandas(best, schema)
     return head_per_key(pairs, ["id"], [F.asc("distance"), F.asc("other")], k)
 
 
@@ -153,33 +225,38 @@ def knn_predict(
     return votes.groupBy("id").agg(best.alias("prediction"))
 
 
-def smote(df: DataFrame, cols: Sequence[str], y: str, k: int = 5, seed: int = 56) -> DataFrame:
-    """All rows plus synthetic minority rows until the classes balance.
-
-    Each synthetic row lies between a minority row and one of its k nearest
-    minority neighbours; the choice is a hash, so reruns agree.
-    """
-    counts = {r[y]: r["n"] for r in df.groupBy(y).agg(F.count(F.lit(1)).alias("n")).collect()}
-    minority = min(counts, key=lambda c: (counts[c], c))
-    need = max(counts.values()) - counts[minority]
-    small = df.where(F.col(y) == minority)
-    near = nearest_rows(small, small, cols, k, skip_self=True)
-    around = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("distance", "other")))["other"].alias("others"))
-    base = position(around, [], ["id"], "rn")
-    n = max(1, counts[minority])
-    copies = F.lit(need // n) + F.when(F.col("rn") <= need % n, 1).otherwise(0)
+def _raised(small: DataFrame, cols: Sequence[str], y: str, have: int, need: int, k: int, seed: int) -> DataFrame:
+    """``need`` synthetic rows of one class; a row without any neighbour is its own."""
+    near = nearest_rows(small, small, cols, k, skip_self=True).groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct("distance", "other")))["other"].alias("others"))
+    whole = small.where(" and ".join(f"`{c}` is not null" for c in cols)).select("id")
+    around = whole.join(near, "id", "left").withColumn("others", F.coalesce("others", F.array("id")))
+    base = position(stable(around), [], ["id"], "rn")
+    copies = F.lit(need // have) + F.when(F.col("rn") <= need % have, 1).otherwise(0)
     rows = base.withColumn("copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int")))))
     pick = F.pmod(F.xxhash64("id", "copy", F.lit(seed)), F.size("others")).cast("int")
     gap = F.pmod(F.xxhash64("copy", "id", F.lit(seed + 1)), F.lit(10_000)) / 10_000.0
     rows = rows.select("id", "copy", F.get("others", pick).alias("other"), gap.alias("gap"))
-    a = small.select("id", *[F.col(c).alias(f"a_{c}") for c in cols])
+    a = small.select("id", y, *[F.col(c).alias(f"a_{c}") for c in cols])
     b = small.select(F.col("id").alias("other"), *[F.col(c).alias(f"b_{c}") for c in cols])
-    made = rows.join(a, "id").join(b, "other").select(
+    return rows.join(a, "id").join(b, "other").select(
         F.concat_ws("-", F.col("id").cast("string"), F.col("copy").cast("string")).alias("id"),
         *[(F.col(f"a_{c}") + F.col("gap") * (F.col(f"b_{c}") - F.col(f"a_{c}"))).cast("double").alias(c) for c in cols],
-        F.lit(minority).alias(y), F.lit(1).alias("synthetic"))
+        y, F.lit(1).alias("synthetic"))
+
+
+def smote(df: DataFrame, cols: Sequence[str], y: str, k: int = 5, seed: int = 56) -> DataFrame:
+    """All rows plus synthetic rows until every class has as many as the largest.
+
+    Each synthetic row lies between a row and one of the k nearest rows of its class; the choice is a hash, so reruns
+    agree. Rows with a null feature are kept but have no synthetic ones. One pass per smaller class.
+    """
+    whole = F.count_if(F.expr(" and ".join(f"`{c}` is not null" for c in cols)))
+    classes = df.where(F.col(y).isNotNull()).groupBy(y).agg(F.count(F.lit(1)).alias("n"), whole.alias("whole")).orderBy(y).collect()
+    most = max((r["n"] for r in classes), default=0)
+    made = [_raised(df.where(F.col(y) == r[y]), cols, y, r["whole"], most - r["n"], k, seed) for r in classes if r["n"] < most and r["whole"]]
     real = df.select(F.col("id").cast("string").alias("id"), *[F.col(c).cast("double").alias(c) for c in cols], y, F.lit(0).alias("synthetic"))
-    return union_rows(real, made)
+    return union_rows(real, *made) if made else real
 
 
 # Selection
@@ -366,20 +443,79 @@ def score_batch(model: PipelineModel, df: DataFrame, key: str, actual: str | Non
     return scored.select(*keep)
 
 
+def silhouettes(df: DataFrame, features: str, centers: Mapping[int, np.ndarray]) -> dict[int, float]:
+    """Mean silhouette (squared distances) of every clustering, all of them in the same two scans.
+
+    The first scan sums vectors and squares per cluster, the second holds every row against the sums. What is known to
+    every task is the centres and the sums: as many vectors as there are clusters.
+    """
+    ks = sorted(centers)
+    width = len(centers[ks[0]][0])
+    split = np.cumsum([0, *[len(centers[k]) for k in ks]])
+    every = np.concatenate([centers[k] for k in ks])
+    rows = df.select(vector_to_array(features).alias("x"))
+
+    def read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        x = np.array(batch.column("x").values.to_numpy()).reshape(-1, width)
+        square = (x**2).sum(1)
+        far = (every**2).sum(1) - 2 * x @ every.T
+        return x, square, [lo + far[:, lo:hi].argmin(1) for lo, hi in zip(split, split[1:])]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, squares = np.zeros(len(every)), np.zeros((len(every), width)), np.zeros(len(every))
+        for b in batches:
+            x, square, own = read(b)
+            for at in own:
+                np.add.at(n, at, 1), np.add.at(total, at, x), np.add.at(squares, at, square)
+        yield pa.RecordBatch.from_pydict({"c": np.arange(len(every)), "n": n, "q": squares, "s": pa.array(total.tolist(), pa.list_(pa.float64()))})
+
+    sums = rows.mapInArrow(add, "c long, n double, q double, s array<double>")
+    each = F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(width)])
+    found = {r["c"]: r for r in sums.groupBy("c").agg(F.sum("n").alias("n"), F.sum("q").alias("q"), each.alias("s")).collect()}  # one row per cluster
+    n = np.array([found[c]["n"] if c in found else 0.0 for c in range(len(every))])
+    mean_square = np.array([found[c]["q"] if c in found else 0.0 for c in range(len(every))]) / np.maximum(n, 1)
+    mean = np.array([found[c]["s"] if c in found else [0.0] * width for c in range(len(every))]) / np.maximum(n, 1)[:, None]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros(len(ks)), 0
+        for b in batches:
+            x, square, own = read(b)
+            seen += len(x)
+            far = np.maximum(square[:, None] + mean_square - 2 * x @ mean.T, 0)
+            far[:, n == 0] = np.inf
+            line = np.arange(len(x))
+            for i, (lo, hi, at) in enumerate(zip(split, split[1:], own)):
+                size = n[at]
+                inside = far[line, at] * size / np.maximum(size - 1, 1)
+                rest = far[:, lo:hi].copy()
+                rest[line, at - lo] = np.inf
+                outside = rest.min(1)
+                most = np.maximum(inside, outside)
+                value = np.where((size > 1) & np.isfinite(outside) & (most > 0), (outside - inside) / np.where(most > 0, most, 1), 0.0)
+                total[i] += value.sum()
+        yield pa.RecordBatch.from_pydict({"k": np.array(ks), "total": total, "seen": np.full(len(ks), float(seen))})
+
+    parts = rows.mapInArrow(score, "k long, total double, seen double").groupBy("k").agg((F.sum("total") / F.sum("seen")).alias("mean"))
+    return {r["k"]: r["mean"] for r in parts.collect()}
+
+
 def kmeans_elbow(df: DataFrame, features: str, k_min: int = 2, k_max: int = 50, seed: int = 56) -> DataFrame:
-    """Silhouette per k, its gain over the previous k, and the k with the largest gain."""
-    scores = []
-    for k in range(k_min, k_max + 1):
-        model = KMeans(k=k, seed=seed, featuresCol=features).fit(df)
-        scores.append(float(ClusteringEvaluator(featuresCol=features).evaluate(model.transform(df))))
+    """Silhouette per k, its gain over the previous k, and the chosen k: the one before the largest gain.
+
+    All models are fitted on one stored copy of the features and scored together.
+    """
+    df = stable(df.select(features))
+    fitted = {k: np.array(KMeans(k=k, seed=seed, featuresCol=features).fit(df).clusterCenters()) for k in range(k_min, k_max + 1)}
+    found = silhouettes(df, features, fitted)
+    scores = [found[k] for k in range(k_min, k_max + 1)]
     gains = [0.0] + [b - a for a, b in zip(scores, scores[1:])]
-    best = k_min + max(range(len(gains)), key=lambda i: (gains[i], -i))
-    rows = [(k_min + i, s, g, int(k_min + i == best)) for i, (s, g) in enumerate(zip(scores, gains))]
+    best = k_min + max(range(1, len(gains)), key=lambda i: (gains[i], -i), default=1) - 1
+    rows = [(k_min + i, float(s), float(g), int(k_min + i == best)) for i, (s, g) in enumerate(zip(scores, gains))]
     return df.sparkSession.createDataFrame(rows, "k int, silhouette double, gain double, chosen int")
 
 
 def price_grid_search(
-    df: DataFrame, model: PipelineModel, key: str, price: str, target: float = 0.75, factor: float = 0.5, steps: int = 30
+    df: DataFrame, model: PipelineModel, key: str, price: str, target: float = 0.75, factor: float = 5.0, steps: int = 30
 ) -> DataFrame:
     """Best of ``steps`` prices around each row's own: prediction nearest to the goal from above, else unchanged.
 

@@ -9,16 +9,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.operators.ranks import lags, rolling_mean
+from tabloom.operators.ordered import nearby
 
 
 def series_features(
     df: DataFrame, key: str, ts: str, target: str, price: str, revenue: str, goal: float = 0.75, window: int = 7
 ) -> DataFrame:
     """Lags, rolling means, deviation from the goal, price ratio and calendar columns, per key."""
-    out = lags(df, [key], [ts], target, [1, 2])
-    for c in (target, revenue):
-        out = rolling_mean(out, [key], [ts], c, window, f"{c}_rolling_mean")
+
+    def looks_back(w) -> dict[str, Column]:
+        frame = w.rowsBetween(-(window - 1), 0)
+        means = {f"{c}_rolling_mean": F.when(F.count(c).over(frame) == window, F.avg(c).over(frame)) for c in (target, revenue)}
+        return {f"{target}_lag_{n}": F.lag(target, n).over(w) for n in (1, 2)} | means
+
+    out = nearby(df, [key], [ts], max(2, window - 1), looks_back)
     made = [f"{target}_lag_1", f"{target}_lag_2", f"{target}_rolling_mean", f"{revenue}_rolling_mean"]
     out = out.na.fill(0.0, subset=made)
     return out.withColumns({

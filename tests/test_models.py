@@ -18,9 +18,9 @@ def cloud(spark):
         "id", "cast(id * 37 % 101 as double) as a", "cast(id * 53 % 97 as double) as b", "cast(case when id * 37 % 101 > 60 then 1 else 0 end as int) as y").cache()
 
 
-@pytest.mark.parametrize("block", [20_000, 37])
-def test_nearest_rows_any_block_size(cloud, block):
-    got = M.nearest_rows(cloud, cloud, ["a", "b"], 4, skip_self=True, block=block).collect()
+@pytest.mark.parametrize("pivots", [1, 7, 400])
+def test_nearest_rows_any_number_of_pivots(cloud, pivots):
+    got = M.nearest_rows(cloud, cloud, ["a", "b"], 4, skip_self=True, pivots=pivots).collect()
     pdf = cloud.toPandas()
     x = pdf[["a", "b"]].to_numpy()
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
@@ -32,6 +32,37 @@ def test_nearest_rows_any_block_size(cloud, block):
     assert have == want
 
 
+@pytest.mark.parametrize("p", [1, 2, 3])
+def test_nearest_rows_with_a_hot_spot(spark, p):
+    """A third of the rows at one spot, far outliers, nulls; three features."""
+    df = spark.range(300).selectExpr(
+        "id", "case when id % 3 = 0 then 5.0D when id = 4 then null else id * 37 % 101 / 7.0D end as a",
+        "case when id % 3 = 0 then 5.0D when id = 7 then 1e6D when id = 10 then double('NaN') else id * 53 % 97 / 3.0D end as b", "cast(case when id % 3 = 0 then 5 else id % 5 end as double) as c")
+    rows = [r for r in df.collect() if r.a is not None and r.b == r.b]
+    x = np.array([[r.a, r.b, r.c] for r in rows])
+    got = {}
+    for r in M.nearest_rows(df, df.where("id % 2 = 0"), ["a", "b", "c"], 5, p).collect():
+        got.setdefault(r.id, []).append((r.distance, r.other))
+    assert set(got) == {r.id for r in rows}
+    for i, r in enumerate(rows):
+        d = (np.abs(x - x[i]) ** p).sum(1) ** (1 / p)
+        want = sorted((d[j], rows[j].id) for j in range(len(rows)) if rows[j].id % 2 == 0)[:5]
+        assert np.allclose([w[0] for w in want], [g[0] for g in sorted(got[r.id])])
+        assert {w[1] for w in want if w[0] < want[-1][0] - 1e-9} <= {g[1] for g in got[r.id]}
+
+
+def test_a_query_visits_few_parts(spark):
+    """Two features, 1,600 rows, 40 pivots: on average a query meets a small share of the parts."""
+    rng = np.random.default_rng(1)
+    x = rng.random((1600, 2))
+    at = x[:40]
+    d = np.sqrt(((x[:, None] - at) ** 2).sum(-1))
+    own = d.argmin(1)
+    reach = np.array([d[own == j, j].max() for j in range(40)])
+    near = np.array([np.sort(np.append(d[own == j, j], [np.inf] * 5))[:5] for j in range(40)])
+    assert M.Pivots(at, reach, near, 2).visits(rng.random((500, 2))).sum(1).mean() < 8
+
+
 @pytest.mark.parametrize("mod", [(101, 97), (5, 3)])
 def test_kendall_matches_pairs(spark, mod):
     df = spark.range(150).selectExpr(f"id * 37 % {mod[0]} as x", f"id * 53 % {mod[1]} as y")
@@ -59,6 +90,16 @@ def test_smote_balances_between_parents(cloud):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, again.collect()))
 
 
+def test_smote_raises_every_smaller_class(spark):
+    """Three classes and a lonely row: all end up as large as the largest, between rows of their own class."""
+    df = spark.range(100).selectExpr("id", "cast(id as double) as a", "cast(id * 7 % 31 as double) as b",
+                                     "cast(case when id < 60 then 0 when id < 85 then 1 when id < 99 then 2 else 3 end as int) as y")
+    out = M.smote(df, ["a", "b"], "y")
+    assert {r.y: r["count"] for r in out.groupBy("y").count().collect()} == {0: 60, 1: 60, 2: 60, 3: 60}
+    assert out.where("synthetic = 1 and y = 1 and (a < 60 or a > 84)").count() == 0
+    assert {(r.a, r.b) for r in out.where("y = 3").collect()} == {(99.0, 99 * 7 % 31 * 1.0)}
+
+
 def test_regression_matches_least_squares(cloud):
     df = cloud.withColumn("t", 3 * F.col("a") - 2 * F.col("b") + F.col("y") * 5 + 1)
     model = M.fit(df, ["a", "b", "y"], "t", M.regressor("linear", "t"))
@@ -97,6 +138,45 @@ def test_isotonic_is_monotone(cloud):
     assert values == sorted(values)
 
 
+def test_isotonic_equals_pooling_by_hand(spark):
+    """Unrounded scores with ties, against pooling neighbours one by one."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.random(400), 2) + rng.integers(0, 2, 400) * 1e-7
+    y = (rng.random(400) < x).astype(int)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, y)], "score double, y int")
+    got = {r.score: r.calibrated for r in M.calibrate_isotonic(df, "y", "score").transform(df).collect()}
+    pools = []
+    for v in sorted(set(x)):
+        pools.append([y[x == v].sum(), (x == v).sum(), [v]])
+        while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
+            s, n, vs = pools.pop()
+            pools[-1] = [pools[-1][0] + s, pools[-1][1] + n, pools[-1][2] + vs]
+    for s, n, vs in pools:
+        for v in vs:
+            assert got[float(v)] == pytest.approx(s / n)
+
+
+def test_elbow_is_the_k_before_the_largest_gain(spark):
+    from pyspark.ml.feature import VectorAssembler
+    df = spark.range(120).selectExpr("cast(id % 4 * 100 + id % 7 as double) as a", "cast(id % 4 % 2 * 100 + id % 5 as double) as b")
+    rows = M.kmeans_elbow(VectorAssembler(inputCols=["a", "b"], outputCol="f").transform(df), "f", 2, 6).orderBy("k").collect()
+    gains = [b.silhouette - a.silhouette for a, b in zip(rows, rows[1:])]
+    assert [r.k for r in rows if r.chosen] == [2 + int(np.argmax(gains))]
+
+
+def test_silhouettes_equal_the_evaluator(spark):
+    """Overlapping clusters, one of a single row; every k at once."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    df = spark.range(200).selectExpr("cast(id * 37 % 101 as double) as a", "cast(case when id = 9 then 5000 else id * 53 % 97 end as double) as b")
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="f").transform(df)
+    models = {k: KMeans(k=k, seed=1, featuresCol="f").fit(df) for k in (2, 3, 7)}
+    got = M.silhouettes(df, "f", {k: np.array(m.clusterCenters()) for k, m in models.items()})
+    for k, m in models.items():
+        assert got[k] == pytest.approx(ClusteringEvaluator(featuresCol="f").evaluate(m.transform(df)), abs=1e-9)
+
+
 def test_shuffled_column_keeps_its_values(cloud):
     out = M.shuffled(cloud, "id", "a", 1)
     assert sorted(r.a for r in out.collect()) == sorted(r.a for r in cloud.collect())

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tabloom import session as S
 from tabloom.sources import readers as I
 from tabloom.sources import sinks as O
+from tabloom.streaming import ingest as G
 from tabloom.streaming.ingest import ingest
 
 
@@ -26,16 +27,44 @@ def test_uncommitted_version_is_ignored(spark):
     assert O.read_current(spark, path).count() == 7
 
 
+def _ids(spark, lo, hi, plus=0):
+    return spark.range(lo, hi).selectExpr("id", f"id + {plus} as v")
+
+
 def test_ingest_takes_each_file_once(spark):
-    inc, staged, target, check = [S.scratch_path(spark, x) for x in ("i", "s", "t", "c")]
-    schema = spark.range(1).selectExpr("id", "id as v").schema
-    args = (spark, inc, staged, target, check, schema, ["id"], ["v"])
-    spark.range(10).selectExpr("id", "id as v").write.parquet(inc)
+    inc, target, check = [S.scratch_path(spark, x) for x in ("i", "t", "c")]
+    schema = _ids(spark, 0, 1).schema
+    args = (spark, inc, target, check, schema, ["id"], ["v"])
+    _ids(spark, 0, 10).write.parquet(inc)
     assert ingest(*args).count() == 10
     assert ingest(*args).count() == 10
-    spark.range(5, 15).selectExpr("id", "id as v").write.mode("append").parquet(inc)
-    assert ingest(*args).count() == 15
-    assert spark.read.parquet(staged).count() == 20
+    _ids(spark, 5, 15, 100).write.mode("append").parquet(inc)
+    got = {r.id: r.v for r in ingest(*args).collect()}
+    assert got == {i: i if i < 10 else i + 100 for i in range(15)}
+
+
+def test_a_broken_batch_is_not_seen_and_can_be_sent_again(spark):
+    target, schema = S.scratch_path(spark, "t"), _ids(spark, 0, 1).schema
+    assert G.read_target(spark, target, schema).count() == 0
+    G.append_batch(_ids(spark, 0, 10), 0, target, ["id"], ["v"])
+    _ids(spark, 0, 99).withColumn("__bucket", F.lit(0)).write.partitionBy("__bucket").parquet(f"{target}/rows/__batch=1")  # died before its commit
+    assert G.read_target(spark, target, schema).count() == 10
+    for _ in range(2):  # sent again, and once more after its commit
+        G.append_batch(_ids(spark, 8, 13, 100), 1, target, ["id"], ["v"])
+        assert sorted(r.id for r in G.read_target(spark, target, schema).collect()) == list(range(13))
+
+
+def test_a_batch_reads_only_its_keys_of_the_history(spark):
+    """Null keys and repeats count once; the filter on buckets and key range reaches the scan."""
+    target, schema = S.scratch_path(spark, "t"), _ids(spark, 0, 1).schema
+    rows = _ids(spark, 0, 50).unionAll(spark.sql("select cast(null as long) as id, 1L as v from range(3)"))
+    G.append_batch(rows, 0, target, ["id"], ["v"])
+    G.append_batch(rows.unionAll(_ids(spark, 50, 52)), 1, target, ["id"], ["v"])
+    assert G.read_target(spark, target, schema).count() == 53
+    assert G.read_target(spark, target, schema).where("__batch = 1").count() == 2
+    held = G.read_target(spark, target, schema).where(F.col("__bucket").isin(3) & F.col("id").between(5, 6))
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "GreaterThanOrEqual(id,5)" in plan.replace(" ", "")
 
 
 def test_jdbc_split_options():
