@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import bpe, fingerprint, language, lines, merkle, packing, pii, rules, simhash, token_output, weak
+from tabloom.llm import bpe, chat, fingerprint, language, lines, merkle, packing, pii, repair, rules, simhash, token_output, weak
 from tabloom.llm.common import documents
 from tabloom.session import scratch_path
 
@@ -84,3 +84,13 @@ def op5(spark: SparkSession, root: str) -> DataFrame:
 @query("op12_merkle_manifest", merkle.SQL)
 def op12(spark: SparkSession, root: str) -> DataFrame:
     return merkle.verify(documents(spark, root))
+
+
+@query("op13_chat_format", chat.SQL)
+def op13(spark: SparkSession, root: str) -> DataFrame:
+    return chat.report(spark.read.parquet(f"{root}/conversations.parquet"))
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, root: str) -> DataFrame:
+    return repair.report(spark.read.parquet(f"{root}/conversations.parquet"))
