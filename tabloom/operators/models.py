@@ -15,7 +15,7 @@ from pyspark.ml import classification as C
 from pyspark.ml import regression as G
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
@@ -51,15 +51,27 @@ def factorize(df: DataFrame, cols: Sequence[str], order: str) -> DataFrame:
     return df
 
 
+def one_hot_vector(df: DataFrame, col: str, name: str) -> DataFrame:
+    """``col`` as a sparse indicator vector over its sorted values, null last. For any number of values."""
+    codes = position(df.select(col).where(F.col(col).isNotNull()).distinct(), [], [col], "__rn").select(col, (F.col("__rn") - 1).cast("double").alias("__code"))
+    coded = join_back(df, stable(codes), [col])
+    made = OneHotEncoder(inputCol="__code", outputCol=name, dropLast=False, handleInvalid="keep")
+    return made.fit(coded).transform(coded.withColumn("__code", F.coalesce("__code", F.lit(float("nan"))))).drop("__code", col)
+
+
 def one_hot(df: DataFrame, cols: Sequence[str], limit: int = 1_000) -> DataFrame:
-    """Indicator columns ``<column>_<value>``; refuses more values than a table should be wide."""
-    made = {}
+    """Indicator columns ``<column>_<value>``; a column of more than ``limit`` values becomes one sparse vector ``<column>_vector``."""
+    made, wide = {}, []
     for c in cols:
         values = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).limit(limit + 1).collect()]
         if len(values) > limit:
-            raise ValueError(f"{c} has more than {limit} values")
+            wide.append(c)
+            continue
         made.update({f"{c}_{v}": F.when(F.col(c) == v, 1).otherwise(0) for v in values})
-    return df.withColumns(made).drop(*cols)
+    df = df.withColumns(made).drop(*[c for c in cols if c not in wide])
+    for c in wide:
+        df = one_hot_vector(df, c, f"{c}_vector")
+    return df
 
 
 def low_card(df: DataFrame, n: int = 10) -> DataFrame:
@@ -294,8 +306,8 @@ def mutual_info(df: DataFrame, cols: Sequence[str], y: str, bins: int = 10) -> D
 
 
 def select_rfe(df: DataFrame, cols: Sequence[str], y: str, estimator, k: int) -> list[str]:
-    """Refit and drop the weakest feature until k remain."""
-    left = list(cols)
+    """Refit and drop the weakest feature until k remain; all fits read one stored frame."""
+    left, df = list(cols), stable(df.select(*cols, y))
     while len(left) > k:
         ranked = importances(fit(df, left, y, estimator), left)
         left.remove(min(ranked, key=lambda c: (ranked[c], c)))
@@ -322,10 +334,30 @@ def shuffled(df: DataFrame, key: str, col: str, seed: int) -> DataFrame:
 
 
 def importance_permutation(model: PipelineModel, df: DataFrame, key: str, cols: Sequence[str], y: str, metric: Callable[[DataFrame], float], seed: int = 56) -> DataFrame:
-    """Loss of the metric when one column is shuffled."""
-    base = metric(model.transform(df))
-    rows = [(c, base - metric(model.transform(shuffled(df, key, c, seed)))) for c in cols]
-    return df.sparkSession.createDataFrame(rows, "feature string, loss double")
+    """Loss of the metric when one column is shuffled.
+
+    The copies, one per feature, are made and scored together from one stored frame; ``metric`` then reads the scores of
+    one copy at a time. A shuffle joins rows and values by their ranks in two hash orders, all features at once.
+    """
+    spark, names = df.sparkSession, list(dict.fromkeys([key, *cols, y]))
+    df = stable(df.select(*names))
+    cells = F.array(*[F.struct(F.lit(c).alias("__feature"), F.col(c).cast("double").alias("__value")) for c in cols])
+    hashed = lambda s: F.xxhash64(F.col(key), F.col("__feature"), F.lit(s)).alias("__h")
+    long = df.select(key, F.inline(cells))
+    rows = position(long.select("__feature", key, hashed(seed)), ["__feature"], ["__h", key], "__rn").select(F.col("__feature").alias("__f"), F.col(key).alias("__k"), "__rn")
+    values = position(long.select("*", hashed(seed + 1)), ["__feature"], ["__h", key], "__rn").select("__feature", "__rn", "__value")
+    moved = values.join(rows, (F.col("__feature") == F.col("__f")) & (values["__rn"] == rows["__rn"])).select("__feature", "__k", "__value")
+    copies = moved.join(df, F.col("__k") == F.col(key)).select(
+        "__feature", *[F.when(F.col("__feature") == c, F.col("__value")).otherwise(F.col(c).cast("double")).alias(c) if c in cols else F.col(c) for c in names])
+    whole = df.select(F.lit("").alias("__feature"), *[F.col(c).cast("double").alias(c) if c in cols else F.col(c) for c in names])
+    scored = model.transform(copies.unionByName(whole))
+    kept = [c for c in scored.columns if c in {"__feature", y, "prediction", "probability", "rawPrediction"}]
+    path = scratch_path(spark, "permuted")
+    scored.select(*kept).write.partitionBy("__feature").parquet(path)
+    schema = scored.select(*kept).schema
+    of = lambda c: metric(spark.read.schema(schema).parquet(path).where(F.col("__feature").isNull() if c is None else F.col("__feature") == c))
+    base = of(None)  # an empty partition value is read as null
+    return spark.createDataFrame([(c, base - of(c)) for c in cols], "feature string, loss double")
 
 
 # Training and search

@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-PIECES = 4  # pieces per shuffle partition: more than one, so that they even out
+PIECES = 2  # pieces per task; they are dealt to the tasks in turn
 DRAWS = 16  # rows drawn per piece to find its limits
-CHARS = 64  # of a text, so many characters stand in a limit
+CHARS = 16  # of a text, so many characters stand in a limit
 
 Order = Sequence[str | tuple[str, str]]  # column names, or (name, "desc")
 
@@ -122,9 +122,19 @@ def _limits(rows: DataFrame, pieces: int) -> Column:
     return F.from_json(F.lit(found), T.ArrayType(kind))
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows with ``__task``, every task with the same number of pieces; windows over (__task, __piece, keys) need no other exchange."""
+    tasks = _tasks(rows)
+    return rows.withColumn("__task", F.col("__piece") % tasks).repartitionById(tasks, "__task")
+
+
 def in_pieces(df: DataFrame, keys: Sequence[str], order: Order) -> DataFrame:
     """``df`` with ``__piece``, and ``__split``: whether the row's key may lie in several pieces."""
-    pieces = PIECES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = PIECES * _tasks(df)
     key = F.xxhash64(*[F.col(f"`{k}`") for k in keys]) if keys else F.lit(0).cast("long")
     place = [c.alias(f"o{i}") for i, c in enumerate(_coarse(df, order))]
     rows = df.withColumn("__at", F.struct(key.alias("key"), *place))
@@ -184,9 +194,9 @@ def running(
     keys = list(keys)
     rows = df.select("*", *[c.alias(f"__in_{n}") for n, (_, c) in aggs.items()])
     rows = in_pieces(rows, keys, order)
-    frame = Window.partitionBy("__piece", *keys).orderBy(*sort_columns(order)).rowsBetween(
+    frame = Window.partitionBy("__task", "__piece", *keys).orderBy(*sort_columns(order)).rowsBetween(
         Window.unboundedPreceding, -1 if exclusive else 0)
-    local = rows.select("*", *[_LOCAL[k](F.col(f"__in_{n}")).over(frame).alias(f"__loc_{n}") for n, (k, _) in aggs.items()])
+    local = _dealt(rows).select("*", *[_LOCAL[k](F.col(f"__in_{n}")).over(frame).alias(f"__loc_{n}") for n, (k, _) in aggs.items()])
 
     def total(name: str, kind: str) -> Column:
         value = F.col(f"__in_{name}")
@@ -236,8 +246,8 @@ def nearby(
     names = [F.col(f"`{c}`") for c in df.columns]
     copies = last.join(F.broadcast(heads), same).select(*names, F.col("__h_piece").alias("__piece"), F.lit(True).alias("__copy"))
     both = rows.select(*names, "__piece", F.lit(False).alias("__copy")).unionAll(copies)
-    w = Window.partitionBy("__piece", *keys).orderBy(*sort_columns(order))
-    return both.select("*", *[c.alias(n) for n, c in exprs(w).items()]).where(~F.col("__copy")).drop("__piece", "__copy")
+    w = Window.partitionBy("__task", "__piece", *keys).orderBy(*sort_columns(order))
+    return _dealt(both).select("*", *[c.alias(n) for n, c in exprs(w).items()]).where(~F.col("__copy")).drop("__piece", "__copy", "__task")
 
 
 def join_back(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:

@@ -13,18 +13,21 @@ from pyspark.sql import types as T
 from tabloom.functions.scalars import log1p_positive, parse_date, width_bin
 from tabloom.operators.aggregates import crosstab, skewed, value_counts
 from tabloom.operators.geo import iqr_bounds
-from tabloom.operators.ordered import attach, join_back, position, running, unpivot_numeric
+from tabloom.operators.ordered import attach, running, unpivot_numeric
 from tabloom.operators.relational import clean_nonfinite, drop_constant, drop_sparse, numeric_columns
+from tabloom.session import stable
 
 
 def profile_columns(df: DataFrame) -> DataFrame:
     """Per column: type, non-NULL and NULL counts, NULL share, distinct count, min and max as text.
 
     Values are reduced to (column, value) counts first, so wide tables need no
-    multi-distinct expansion on the reduce side.
+    multi-distinct expansion on the reduce side; a long value travels as its digest.
     """
+    text = {c: F.col(c).cast("string") for c in df.columns}
+    short = lambda v: F.when(F.length(v) > 64, F.sha2(v, 256)).otherwise(v)
     cells = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.col(c).cast("string").alias("v")) for c, t in df.dtypes
+        F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), short(text[c]).alias("v")) for c, t in df.dtypes
     ])
     counts = df.select(F.inline(cells)).groupBy("column", "type", "v").agg(F.count(F.lit(1)).alias("n"))
     shape = counts.groupBy("column", "type").agg(
@@ -100,49 +103,60 @@ def _pair_rows(df: DataFrame, pairs: dict[tuple[str, str], Column]) -> DataFrame
     return one.select(F.inline(rows))
 
 
+def value_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, value, n, upto, dense) of all columns in one frame: rows with the value, rows up to it, its place among the values."""
+    long = unpivot_numeric(df, [], cols).where(F.col("value").isNotNull())
+    counts = stable(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+    return stable(running(counts, ["column"], ["value"], {"upto": ("sum", F.col("n")), "dense": ("sum", F.lit(1).cast("long"))}))
+
+
 def average_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Replace each column by its average rank, from distinct-value counts."""
-    ranks = {}
+    """Replace each column by its average rank; the ranks of all columns come from one frame of distinct values."""
+    ranks = value_ranks(df, cols).select("column", "value", (F.col("upto") - (F.col("n") - 1) / 2).alias("__rank"))
     for c in cols:
-        counts = value_counts(df.where(F.col(c).isNotNull()).select(c), [c])
-        cum = running(counts, [], [c], {"upto": ("sum", F.col("n"))})
-        ranks[c] = cum.select(c, (F.col("upto") - (F.col("n") - 1) / 2).alias("__rank"))
-    for c, rank in ranks.items():
-        df = join_back(df, rank, [c]).withColumn(c, F.col("__rank")).drop("__rank")
+        own = ranks.where(F.col("column") == c).select(F.col("value").alias("__v"), "__rank")
+        df = df.join(own, F.col(c).cast("double") == F.col("__v"), "left").withColumn(c, F.col("__rank")).drop("__rank", "__v")
     return df
 
 
-def kendall_tau(df: DataFrame, x: str, y: str) -> float | None:
-    """Exact tau-b in O(n log n) without enumerating pairs.
+def kendall_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(a, b, r): exact tau-b of all pairs of columns in O(n log n) each, in the same few jobs.
 
-    The dense rank of y is read bit by bit. Two rows first differ at one bit;
-    there, within the shared higher bits, rows with bit 0 and bit 1 in x order
-    give the concordant and discordant pairs from one running sum.
+    Pairs share one frame keyed by pair and the dense ranks of their columns. The rank of b is read bit by bit. Two rows
+    first differ at one bit; there, within the shared higher bits, rows with bit 0 and bit 1 in the order of a give the
+    concordant and discordant pairs from one running sum. Rows without either value do not count for a pair.
     """
-    f = value_counts(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y), [x, y])
-    ranks = position(f.select(y).distinct(), [], [y], "__yr")
-    k = ranks.count()
-    rows = join_back(f, ranks, [y]).withColumn("__yr", F.col("__yr") - 1)
-    bits = max(1, math.ceil(math.log2(max(k, 2))))
-    rows = rows.withColumn("__level", F.explode(F.array(*[F.lit(b) for b in range(bits)])))
-    rows = rows.withColumns({
-        "__bit": F.expr("shiftright(__yr, __level) & 1"), "__prefix": F.expr("shiftright(__yr, __level + 1)"),
-    })
-    steps = rows.groupBy("__level", "__prefix", x).agg(
-        F.sum(F.when(F.col("__bit") == 1, F.col("n")).otherwise(0)).alias("ones"),
-        F.sum(F.when(F.col("__bit") == 0, F.col("n")).otherwise(0)).alias("zeros"),
-    )
-    seen = running(steps, ["__level", "__prefix"], [x],
-                   {"b1": ("sum", F.col("ones")), "b0": ("sum", F.col("zeros"))}, exclusive=True)
-    big = lambda a, b: F.sum(F.coalesce(F.col(a), F.lit(0)).cast("decimal(20,0)") * F.col(b).cast("decimal(18,0)"))
-    con, dis = seen.agg(big("b0", "ones"), big("b1", "zeros")).first()
-    ties = lambda c: f.groupBy(c).agg(F.sum("n").alias("m")).agg(
-        F.sum((F.col("m").cast("decimal(19,0)") * (F.col("m") - 1))), F.sum("m")).first()
-    tx, n = ties(x)
-    ty, _ = ties(y)
-    pairs = n * (n - 1)
-    denom = math.sqrt(float(pairs - tx)) * math.sqrt(float(pairs - ty))
-    return 2 * float((con or 0) - (dis or 0)) / denom if denom else None
+    cols = sorted({c for p in pairs for c in p})
+    ranks = value_ranks(df, cols)
+    most = ranks.agg(F.max("dense")).first()[0] or 1
+    number = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
+    both = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), number[a].alias("x"), number[b].alias("y")) for a, b in pairs])
+    f = df.select(F.inline(both)).where("x is not null and y is not null").groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    f = stable(f.join(ranks.select(F.col("column").alias("b"), F.col("value").alias("y"), (F.col("dense") - 1).alias("yr")), ["b", "y"]))
+    levels = F.array(*[F.lit(b) for b in range(max(1, math.ceil(math.log2(max(most, 2)))))])
+    rows = f.select("a", "b", "x", "yr", "n", F.explode(levels).alias("level"))
+    one = F.call_function("shiftright", F.col("yr"), F.col("level")).bitwiseAND(F.lit(1)) == 1
+    prefix = F.call_function("shiftright", F.col("yr"), F.col("level") + 1)
+    steps = rows.groupBy("a", "b", "level", prefix.alias("prefix"), "x").agg(
+        F.sum(F.when(one, F.col("n")).otherwise(0)).alias("ones"), F.sum(F.when(~one, F.col("n")).otherwise(0)).alias("zeros"))
+    seen = running(stable(steps), ["a", "b", "level", "prefix"], ["x"], {"b1": ("sum", F.col("ones")), "b0": ("sum", F.col("zeros"))}, exclusive=True)
+    product = lambda m, n: F.sum(F.coalesce(F.col(m), F.lit(0)).cast("decimal(19,0)") * F.col(n).cast("decimal(19,0)"))
+    found = seen.groupBy("a", "b").agg(product("b0", "ones").alias("con"), product("b1", "zeros").alias("dis"))
+
+    def ties(c: str) -> DataFrame:
+        m = F.col("m").cast("decimal(19,0)")
+        return f.groupBy("a", "b", c).agg(F.sum("n").alias("m")).groupBy("a", "b").agg(F.sum(m * (m - 1)).alias(f"t{c}"), F.sum("m").alias(f"n{c}"))
+
+    out = found.join(ties("x"), ["a", "b"]).join(ties("yr"), ["a", "b"])
+    n = F.col("nx").cast("decimal(19,0)")
+    free = lambda t: F.sqrt((n * (n - 1) - F.col(t)).cast("double"))
+    r = 2 * (F.col("con") - F.col("dis")).cast("double") / F.nullif(free("tx") * free("tyr"), F.lit(0.0))
+    listed = df.sparkSession.createDataFrame(list(pairs), "a string, b string")  # one row per pair of columns
+    return listed.join(out.select("a", "b", r.alias("r")), ["a", "b"], "left")
+
+
+def kendall_tau(df: DataFrame, x: str, y: str) -> float | None:
+    return kendall_pairs(df, [(x, y)]).first()["r"]
 
 
 def corr_pairs(df: DataFrame, cols: Sequence[str] | None = None, method: str = "pearson") -> DataFrame:
@@ -150,8 +164,7 @@ def corr_pairs(df: DataFrame, cols: Sequence[str] | None = None, method: str = "
     cols = list(cols or numeric_columns(df))
     pairs = list(combinations(cols, 2))
     if method == "kendall":
-        rows = [(a, b, kendall_tau(df, a, b)) for a, b in pairs]
-        return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
+        return kendall_pairs(df, pairs)
     if method == "spearman":
         df = average_ranks(df.select(*cols).na.drop(), cols)
     as_double = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
