@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,30 +53,34 @@ class Template:
 
 
 def paths(nodes: DataFrame) -> DataFrame:
-    """(tree, leaf, node, dist) of all nodes of all root-to-leaf paths; ``dist`` counts from the leaf.
+    """(tree, leaf, node, dist, score) of all nodes of all root-to-leaf paths; ``dist`` counts from the leaf.
 
-    ``nodes``: tree, id (unique in the tree), up (an id of the tree below the own one, or null).
+    ``nodes``: tree, id (unique in the tree), up (an id of the tree below the own one, or null), score and up_score.
+    One table holds the way marks of a round: from a leaf to the nodes within ``hop`` steps (dist is set), and from every
+    node to the one ``hop`` steps up. Its join with the latter doubles both.
     """
     below = nodes.where("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("u")).distinct()
     leaves = nodes.join(below, F.col("tree").eqNullSafe(F.col("t")) & (F.col("id") == F.col("u")), "left_anti")
-    out = staged(leaves.select("tree", F.col("id").alias("leaf"), F.col("id").alias("node"), F.lit(0).cast("long").alias("dist")), "paths")
-    jump = staged(nodes.where("up is not null").select(F.col("tree").alias("t"), F.col("id").alias("from"), F.col("up").alias("to")), "jumps")
-    hop = 1
-    while not jump.isEmpty():  # jump: the node ``hop`` steps up; paths: all nodes within ``hop`` steps of the leaf
-        far = out.join(jump, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("from")))
-        out = staged(out.unionAll(far.select("tree", "leaf", F.col("to").alias("node"), F.col("dist") + hop)), "paths")
-        then = jump.select(F.col("t").alias("t2"), F.col("from").alias("from2"), F.col("to").alias("to2"))
-        both = jump.join(then, F.col("t").eqNullSafe(F.col("t2")) & (F.col("to") == F.col("from2")))
-        jump = staged(both.select("t", "from", F.col("to2").alias("to")), "jumps")
+    start = leaves.select("tree", F.col("id").alias("who"), F.col("id").alias("node"), F.lit(0).cast("long").alias("dist"), "score")
+    links = nodes.where("up is not null").select("tree", F.col("id").alias("who"), F.col("up").alias("node"), F.lit(None).cast("long").alias("dist"), F.col("up_score").alias("score"))
+    marks, hop, jump = staged(start.unionAll(links), "marks"), 1, None
+    listed = [marks.where("dist is not null")]
+    while not (jump := marks.where("dist is null")).isEmpty():
+        step = jump.select(F.col("tree").alias("t"), F.col("who").alias("from"), F.col("node").alias("to"), F.col("score").alias("to_score"))
+        walked = _union([*listed, jump]).join(step, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("from")))
+        marks = staged(walked.select("tree", "who", F.col("to").alias("node"), F.col("dist") + hop, F.col("to_score").alias("score")).toDF(*marks.columns), "marks")
+        listed.append(marks.where("dist is not null"))
         hop *= 2
-    return out
+    return _union(listed).withColumnRenamed("who", "leaf")
 
 
-def _best(messages: DataFrame, listed: DataFrame, keep: int) -> DataFrame:
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionAll, frames)
+
+
+def _best(listed: DataFrame, keep: int) -> DataFrame:
     """(tree, leaf, rank, score) of each tree's ``keep`` best paths: by the sum of scores, then the smaller leaf."""
-    scores = messages.select(F.col("tree").alias("t"), F.col("id"), "score")
-    scored = listed.join(scores, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("id")))
-    scored = scored.groupBy("tree", "leaf").agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("score"))
+    scored = listed.groupBy("tree", "leaf").agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("score"))
     # a limit by row number is applied before the exchange as well, so a wide tree sends few rows
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= keep).select("tree", "leaf", "rank", "score")
@@ -89,11 +94,11 @@ def format_paths(messages: DataFrame, keep: int = 1, template: Template = Templa
     learned turn (turn number from 0, start and length in code points inside that turn's part of the text). A null
     text, role or score counts as empty, empty and zero.
     """
-    known = messages.select(F.col("tree").alias("t"), F.col("id").alias("p"))
+    known = messages.select(F.col("tree").alias("t"), F.col("id").alias("p"), F.col("score").alias("up_score"))
     link = F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("p")) & (F.col("p") < F.col("id"))
-    nodes = messages.select("tree", "id", "parent").join(known, link, "left").select("tree", "id", F.col("p").alias("up"))
+    nodes = staged(messages.select("tree", "id", "parent", "score").join(known, link, "left").select("tree", "id", F.col("p").alias("up"), "score", "up_score"), "nodes")
     listed = paths(nodes)
-    best = _best(messages, listed, keep).select(F.col("tree").alias("bt"), F.col("leaf").alias("bl"), "rank", F.col("score").alias("total"))
+    best = _best(listed, keep).select(F.col("tree").alias("bt"), F.col("leaf").alias("bl"), "rank", F.col("score").alias("total"))
     chosen = listed.join(best, F.col("tree").eqNullSafe(F.col("bt")) & (F.col("leaf") == F.col("bl"))).select(
         F.col("tree").alias("t"), "leaf", "node", "dist", "rank", "total")
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))

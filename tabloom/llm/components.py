@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import staged
+from tabloom.llm.common import discard, staged
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -32,6 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = staged(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "links")
         now = _mark(after)
+        discard(pairs)
         pairs, done, mark = after, now == mark, now
         if done:
             break

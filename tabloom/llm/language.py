@@ -3,21 +3,22 @@
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import ddl, staged, text_bytes, without
+from tabloom.llm.common import ddl, slices, staged, text_bytes, values, without
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 ORDERS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
+SLICE = 1 << 20  # bytes of text whose new parts are scored together
 
 
 @dataclass(frozen=True)
@@ -26,8 +27,8 @@ class Settings:
 
     languages: int = 200  # most frequent labels that are learned
     sample_docs: int = 10_000  # expected labelled documents per language to learn from
-    words: int = 50_000  # most frequent words kept
-    grams: int = 20_000  # most frequent n-grams kept of each order
+    words: int = 50_000  # words kept: those with the largest share of a language's words
+    grams: int = 20_000  # n-grams kept of each order, chosen alike
     smoothing: float = 0.5
     known: int = 400_000  # remembered word stretches per worker
 
@@ -37,12 +38,20 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def letters(part: str) -> list[str]:
+    """The words of a text: runs of letters, so neither digits nor numerals like ² or Ⅷ."""
+    return [part] if part.isalpha() else LETTERS.findall(part)
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) to (lang, word, n), summed per batch."""
     for b in batches:
         found: dict[str, Counter] = {}
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            found.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+            into = found.setdefault(lang, Counter())
+            for part, n in Counter(text.lower().split(" ")).items():
+                for word in letters(part):
+                    into[word] += n
         rows = [(lang, w, n) for lang, words in found.items() for w, n in words.items()]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
@@ -69,9 +78,13 @@ def grams(word: str, orders=ORDERS) -> Iterator[str]:
 
 
 def _table(counts: DataFrame, most: int) -> list:
-    """The most frequent keys with their counts per language: bounded by ``most``."""
-    per = counts.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("per"))
-    return per.orderBy(F.desc("n"), "word").limit(most).collect()
+    """The keys with the largest share of any one language, with their counts per language: bounded by ``most``."""
+    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # one row per learned language
+    if not totals:
+        return []
+    share = F.col("n") / F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, float(n))])[F.col("lang")]
+    per = counts.groupBy("word").agg(F.max(share).alias("share"), F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("per"))
+    return per.orderBy(F.desc("share"), F.desc("n"), "word").limit(most).collect()
 
 
 class Model:
@@ -98,20 +111,35 @@ class Model:
             parts.append(logs(by_order[order]))
         self.gram_rows = np.concatenate(parts)
 
-    def word(self, word: str) -> np.ndarray | None:
-        """Score per language; None for a word of which nothing is known."""
+        self.every = np.concatenate([self.word_rows, self.gram_rows])
+
+    def rows(self, word: str) -> list[int]:
+        """The rows of ``every`` whose mean scores a word: its own, or those of the longest known n-grams; none if nothing is known of it."""
         at = self.words.get(word)
         if at is not None:
-            return self.word_rows[at]
+            return [at]
+        known, marked, start = self.grams, f"_{word}_", len(self.word_rows)
         for order in ORDERS:
-            found = [self.grams[g] for g in grams(word, (order,)) if g in self.grams]
+            found = [known[g] + start for i in range(len(marked) - order + 1) if (g := marked[i : i + order]) in known]
             if found:
-                return self.gram_rows[found].mean(axis=0)
-        return None
+                return found
+        return []
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Score per word and language; zeros for words of which nothing is known."""
+        found = [self.rows(w) for w in words]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        out = np.zeros((len(words), len(self.languages)), np.float32)
+        at = np.fromiter((r for rows in found for r in rows), np.int64, int(sizes.sum()))
+        known = np.flatnonzero(sizes)
+        if len(known):
+            starts = np.cumsum(sizes[known]) - sizes[known]
+            out[known] = np.add.reduceat(self.every[at], starts, axis=0) / sizes[known, None]
+        return out
 
 
 class Scorer:
-    """Scores texts; remembers the scores of up to ``known`` blank-separated stretches."""
+    """Scores lists of texts; remembers the scores of up to ``known`` blank-separated stretches."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -121,27 +149,32 @@ class Scorer:
         self.at: dict[str, int] = {}
         self.rows = np.zeros((1024, len(self.model.languages) + 1), np.float32)
 
-    def _add(self, part: str) -> None:
-        at = self.at[part] = len(self.at)
-        if at == len(self.rows):
+    def _add(self, parts: list[str]) -> None:
+        """Rows for new parts: the sum of their words' scores, and whether they have a letter."""
+        first = len(self.at)
+        self.at.update(zip(parts, range(first, first + len(parts))))
+        while len(self.at) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        row = self.rows[at]
-        row[:] = 0
-        for word in LETTERS.findall(part):
-            row[-1] = 1
-            score = self.model.word(word)
-            if score is not None:
-                row[:-1] += score
-
-    def __call__(self, text: str) -> tuple[str, float]:
-        languages = self.model.languages
-        if not languages:
-            return UNKNOWN, 0.0
+        found = [letters(p) for p in parts]
+        words = [w for ws in found for w in ws]
+        place = np.repeat(np.arange(first, first + len(parts)), [len(ws) for ws in found])
+        self.rows[first : first + len(parts)] = 0
+        if words:
+            np.add.at(self.rows[:, :-1], place, self.model.scores(words))
+            self.rows[place, -1] = 1
+
+    def __call__(self, texts: list[str]) -> list[tuple[str, float]]:
+        if not self.model.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
         if len(self.at) > self.model.known:
             self._reset()
-        parts = text.lower().split(" ")
-        for part in set(parts).difference(self.at):
-            self._add(part)
+        cut = [t.lower().split(" ") for t in texts]
+        if new := set().union(*cut).difference(self.at):
+            self._add(list(new))
+        return list(map(self._best, cut))
+
+    def _best(self, parts: list[str]) -> tuple[str, float]:
+        languages = self.model.languages
         total = self.rows[np.fromiter(map(self.at.__getitem__, parts), np.int64, len(parts))].sum(axis=0, dtype=np.float64)
         if not total[-1]:
             return UNKNOWN, 0.0
@@ -194,7 +227,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             _SCORERS.clear()
             score = _SCORERS[id(model)] = Scorer(model)
         for b in batches:
-            made = [score(t.as_py().decode()) for t in b.column(b.num_columns - 1)]
+            made = [m for part in slices(values(b.column(b.num_columns - 1)), SLICE) for m in score([t.decode() for t in part])]
             new = [pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], names=[*rest, "lang_pred", "score"])
 

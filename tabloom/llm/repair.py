@@ -82,8 +82,8 @@ def blocks(marked: DataFrame, size: int = BLOCK) -> DataFrame:
     """conv_id, block, codes (one character per row) and whether it is the conversation's last block."""
     entry = F.struct("pos", "code")
     rows = marked.groupBy("conv_id", F.floor(F.col("pos") / size).alias("block")).agg(F.sort_array(F.collect_list(entry)).alias("c"))
-    rows = staged(rows.select("conv_id", "block", F.array_join("c.code", "").alias("codes")), "blocks")
-    most = rows.groupBy(F.col("conv_id").alias("c")).agg(F.max("block").alias("most"))
+    rows = rows.select("conv_id", "block", F.array_join("c.code", "").alias("codes"))
+    most = marked.groupBy(F.col("conv_id").alias("c")).agg(F.floor(F.max("pos") / size).alias("most"))
     return rows.join(most, F.col("conv_id").eqNullSafe(F.col("c"))).select("conv_id", "block", "codes", (F.col("block") == F.col("most")).alias("last"))
 
 
@@ -189,13 +189,13 @@ def _groups(lengths: list[int]) -> Iterator[list[int]]:
 
 
 def _mapped(df: DataFrame, extra: str, one: Callable[[pa.RecordBatch], dict]) -> DataFrame:
-    """conv_id and block of ``df`` with the columns that ``one`` makes of a batch."""
-    schema = ddl(df, ["conv_id", "block"], extra)
+    """conv_id, block and codes of ``df`` with the columns that ``one`` makes of a batch."""
+    schema = ddl(df, ["conv_id", "block", "codes"], extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                made = {"conv_id": b.column("conv_id"), "block": b.column("block"), **one(b)}
+                made = {**{c: b.column(c) for c in ("conv_id", "block", "codes")}, **one(b)}
                 yield pa.RecordBatch.from_pydict(made)
 
     return df.mapInArrow(run, schema)
@@ -268,20 +268,24 @@ def solve(cut: DataFrame) -> DataFrame:
     """The blocks with the state they are entered in, their least edits and the cost from there to the end."""
     cut = staged(cut, "cut")
     most = cut.agg(F.max("block")).first()[0] or 0
-    several = cut.where("block > 0 or not last")
-    sums = _doubled(staged(_mapped(several, "m array<bigint>", _matrices), "matrices"), "m", most, True, _times)
-    end = F.array(*[F.array_min(F.array(*[F.get("m", F.lit(4 * q + k)) + int(END[k]) for k in range(4)])) for q in range(4)])
-    ends = sums.select(F.col("conv_id").alias("c"), (F.col("block") - 1).alias("b"), end.alias("end"))
     at = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))
-    made = _mapped(cut.join(ends, at, "left").drop("c", "b"), "cost array<bigint>, edits array<string>, exits array<bigint>", _solved)
-    made = staged(made, "solved")
-    # exits composed from the first block on; a block is entered where those before it end
-    walked = _doubled(made.where("block >= 0").join(several.select(F.col("conv_id").alias("c"), F.col("block").alias("b")), at, "left_semi").select("conv_id", "block", "exits"),
-                      "exits", most, False, lambda own, before: F.transform(before, lambda q: F.get(own, q.cast("int"))))
-    entry = walked.select(F.col("conv_id").alias("c"), (F.col("block") + 1).alias("b"), F.get("exits", F.lit(0)).alias("entry"))
-    out = made.join(entry, at, "left").withColumn("entry", F.coalesce("entry", F.lit(0)).cast("int"))
-    out = out.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), "entry", F.get("cost", "entry").alias("cost"), F.get("edits", "entry").alias("edits"))
-    return staged(cut.join(out, at).select("conv_id", "block", "codes", "entry", "cost", "edits"), "edits")
+    several = cut.where("block > 0 or not last")
+    if most:  # costs behind the blocks that are not their conversation's last
+        sums = _doubled(staged(_mapped(several, "m array<bigint>", _matrices), "matrices"), "m", most, True, _times)
+        end = F.array(*[F.array_min(F.array(*[F.get("m", F.lit(4 * q + k)) + int(END[k]) for k in range(4)])) for q in range(4)])
+        ends = sums.select(F.col("conv_id").alias("c"), (F.col("block") - 1).alias("b"), end.alias("end"))
+        cut = cut.join(ends, at, "left").drop("c", "b")
+    else:
+        cut = cut.withColumn("end", F.lit(None).cast("array<bigint>"))
+    made = staged(_mapped(cut, "cost array<bigint>, edits array<string>, exits array<bigint>", _solved), "solved")
+    made = made.withColumn("entry", F.lit(0))
+    if most:  # exits composed from the first block on; a block is entered where those before it end
+        own = several.select(F.col("conv_id").alias("c"), F.col("block").alias("b"))
+        walked = _doubled(made.join(own, at, "left_semi").select("conv_id", "block", "exits"), "exits", most, False,
+                          lambda own, before: F.transform(before, lambda q: F.get(own, q.cast("int"))))
+        entry = walked.select(F.col("conv_id").alias("c"), (F.col("block") + 1).alias("b"), F.get("exits", F.lit(0)).cast("int").alias("entered"))
+        made = staged(made.join(entry, at, "left").withColumn("entry", F.coalesce("entered", F.lit(0))), "entered")
+    return made.select("conv_id", "block", "codes", "entry", F.get("cost", "entry").alias("cost"), F.get("edits", "entry").alias("edits"))
 
 
 def repaired(placed: DataFrame, found: DataFrame, size: int = BLOCK) -> DataFrame:

@@ -175,7 +175,7 @@ def brute_manifest(rows):
     return sorted(out, key=str)
 
 
-def library(spark, n=70):
+def shelf(spark, n=70):
     rng = random.Random(5)
     rows = [(i, rng.choice(["", "text", None, "long " * 3000]), rng.choice(["en", "de", "é", None]), f"s{i % 3}" if i % 4 else None, rng.choice([i, None, 0]), "x", "y", 1)
             for i in range(n)]
@@ -186,7 +186,7 @@ def library(spark, n=70):
 @pytest.mark.parametrize("bits", [8, 2, 1])
 def test_manifest_equals_brute_force(spark, bits):
     """Pages of 256, four and two nodes; repeated rows, nulls, a language of one document."""
-    df = library(spark)
+    df = shelf(spark)
     got = sorted((tuple(r) for r in merkle.verify(df, bits).collect()), key=str)
     assert got == brute_manifest([tuple(r) for r in df.collect()])
 
