@@ -21,6 +21,8 @@ from tabloom.llm.common import blank_parts
 
 KNOWN = 500_000
 _MARKS = {".", ","}
+# One word of composed Latin letters (without İ, which has no single small letter), and a mark.
+PLAIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+[.,]?$"
 
 
 class PartEncoder:
@@ -114,12 +116,12 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > self.most // 2:
             self.before, self.known = self.known, {}
-        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
         coded = cut.flatten().dictionary_encode()
         parts = coded.dictionary
         mark = pc.fill_null(pc.index_in(pc.utf8_slice_codeunits(parts, -1, None), value_set=pa.array([".", ","], parts.type)), 2)
         word = pc.utf8_lower(pc.if_else(pc.less(mark, 2), pc.utf8_slice_codeunits(parts, 0, -1), parts))
-        plain = pc.and_(pc.string_is_ascii(parts), pc.utf8_is_alpha(word)).to_numpy(zero_copy_only=False)
+        plain = pc.match_substring_regex(parts, PLAIN).to_numpy(zero_copy_only=False)
         marks = mark.to_numpy(zero_copy_only=False).astype(np.int64)
         words = word.filter(pa.array(plain)).dictionary_encode()
         names = words.dictionary.to_pylist()
