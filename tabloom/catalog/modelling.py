@@ -283,10 +283,17 @@ def _cv(t):
     return M.cross_validate(rows, COLS, "y", M.classifier("logistic", "y", maxIter=20), M.auc_evaluator("y"), 5)
 
 
-@query("calibrate_isotonic")
+# The least-squares rising fit at a point is the greatest, over starts before it, of the least mean, over ends behind it.
+@query("calibrate_isotonic", """with p as (select c_custkey as id, cast(c_acctbal as double) as score, case when c_acctbal > 4000 + c_custkey % 3000 then 1 else 0 end as y from customer),
+g as (select score, sum(y) as sy, count(*) as n, row_number() over (order by score) as i from p group by score),
+c as (select *, sum(sy) over (order by i) as cs, sum(n) over (order by i) as cn from g),
+ab as (select a.i as a, b.i as b, (b.cs - a.cs + a.sy) / (b.cn - a.cn + a.n) as mean from c a join c b on b.i >= a.i),
+lows as (select a, b as i, min(mean) over (partition by a order by b desc) as low from ab),
+fit as (select i, max(low) as fitted from lows group by i)
+select id, y, score, round(fitted, 9) as calibrated from p join g using (score) join fit using (i)""")
 def _calibrate(t):
-    scored = trained(t, "logistic")
-    return M.calibrate_isotonic(scored, "y", "score").transform(scored).select("id", "y", "score", "calibrated")
+    scored = t.customer.selectExpr("c_custkey as id", "cast(c_acctbal as double) as score", "case when c_acctbal > 4000 + c_custkey % 3000 then 1 else 0 end as y")
+    return M.calibrate_isotonic(scored, "y", "score").transform(scored).select("id", "y", "score", F.round("calibrated", 9).alias("calibrated"))
 
 
 @query("score_batch")

@@ -6,6 +6,7 @@ import datetime as dt
 import math
 import os
 import sys
+import tempfile
 import time
 import traceback
 from decimal import Decimal
@@ -30,6 +31,7 @@ def session() -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tabloom-tests-")).config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
