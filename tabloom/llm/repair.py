@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import ddl, staged
-from tabloom.operators.ordered import nearby, position
+from tabloom.operators.ordered import position
 
 BLOCK = 1024  # rows of one conversation that one task looks at together
 SLICE = 65_536  # rows of padded blocks held as arrays at once
@@ -65,26 +65,32 @@ def place(conversations: DataFrame) -> DataFrame:
 
 
 def faults(placed: DataFrame) -> DataFrame:
-    """conv_id, turn, pos, fault (blank, duplicate, truncated or null), illegal and code; the first fault counts."""
+    """conv_id, turn, pos, initial, fault (blank, duplicate, truncated or null) and code; the first fault counts."""
     trimmed = F.rtrim("text", F.lit(BLANK))
     end = F.when(trimmed == "", "blank").when(~F.right(trimmed, F.lit(1)).isin(*".!?"), "truncated")
     rows = placed.select("conv_id", "turn", "pos", "role", "h", F.left("role", F.lit(1)).alias("initial"), end.alias("end"))
-    rows = staged(position(rows, ["conv_id", "role", "h"], ["pos"], "seen"), "faults")
-    rows = nearby(rows, ["conv_id"], ["pos"], 1, lambda w: {"before": F.lag("initial").over(w)})
-    fault = F.when((F.col("seen") > 1) & ~F.col("end").eqNullSafe(F.lit("blank")), "duplicate").otherwise(F.col("end"))
+    first = rows.groupBy(F.col("conv_id").alias("c"), F.col("role").alias("r"), F.col("h").alias("t")).agg(F.min("pos").alias("first"))
+    rows = rows.join(first, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("role") == F.col("r")) & (F.col("h") == F.col("t")))
+    fault = F.when((F.col("pos") > F.col("first")) & ~F.col("end").eqNullSafe(F.lit("blank")), "duplicate").otherwise(F.col("end"))
     known = F.when(F.col("initial").isin("s", "u", "a"), F.col("initial")).otherwise("o")
     code = F.when(F.col("fault").isin("blank", "duplicate"), "x").when(F.col("fault") == "truncated", F.upper(known)).otherwise(known)
-    illegal = F.col("before").isNotNull() & ~F.concat("before", "initial").isin("su", "ua", "au")
-    return rows.withColumn("fault", fault).select("conv_id", "turn", "pos", "fault", illegal.alias("illegal"), code.alias("code"))
+    return rows.withColumn("fault", fault).select("conv_id", "turn", "pos", "initial", "fault", code.alias("code"))
+
+
+def _illegal(before: Column, after: Column) -> Column:
+    return ~F.concat(before, after).isin("su", "ua", "au")
 
 
 def blocks(marked: DataFrame, size: int = BLOCK) -> DataFrame:
-    """conv_id, block, codes (one character per row) and whether it is the conversation's last block."""
-    entry = F.struct("pos", "code")
+    """conv_id, block, codes (one character per row), illegal neighbours inside, first and final initial, and whether it is the last block."""
+    entry = F.struct("pos", "code", "initial")
     rows = marked.groupBy("conv_id", F.floor(F.col("pos") / size).alias("block")).agg(F.sort_array(F.collect_list(entry)).alias("c"))
-    rows = rows.select("conv_id", "block", F.array_join("c.code", "").alias("codes"))
+    i = F.col("c.initial")
+    inside = F.size(F.filter(F.zip_with(F.slice("i", F.lit(1), F.size("i") - 1), F.slice("i", F.lit(2), F.size("i")), _illegal), lambda x: x))
+    rows = rows.select("conv_id", "block", F.array_join("c.code", "").alias("codes"), i.alias("i"))
+    rows = rows.select("conv_id", "block", "codes", inside.cast("long").alias("illegal"), F.get("i", F.lit(0)).alias("first"), F.element_at("i", -1).alias("final"))
     most = marked.groupBy(F.col("conv_id").alias("c")).agg(F.floor(F.max("pos") / size).alias("most"))
-    return rows.join(most, F.col("conv_id").eqNullSafe(F.col("c"))).select("conv_id", "block", "codes", (F.col("block") == F.col("most")).alias("last"))
+    return rows.join(most, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c").withColumn("last", F.col("block") == F.col("most")).drop("most")
 
 
 def _padded(codes: list[str]) -> np.ndarray:
@@ -189,13 +195,14 @@ def _groups(lengths: list[int]) -> Iterator[list[int]]:
 
 
 def _mapped(df: DataFrame, extra: str, one: Callable[[pa.RecordBatch], dict]) -> DataFrame:
-    """conv_id, block and codes of ``df`` with the columns that ``one`` makes of a batch."""
-    schema = ddl(df, ["conv_id", "block", "codes"], extra)
+    """conv_id, block, codes and illegal of ``df`` with the columns that ``one`` makes of a batch."""
+    kept = ["conv_id", "block", "codes", "illegal"]
+    schema = ddl(df, kept, extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                made = {**{c: b.column(c) for c in ("conv_id", "block", "codes")}, **one(b)}
+                made = {**{c: b.column(c) for c in kept}, **one(b)}
                 yield pa.RecordBatch.from_pydict(made)
 
     return df.mapInArrow(run, schema)
@@ -270,6 +277,10 @@ def solve(cut: DataFrame) -> DataFrame:
     most = cut.agg(F.max("block")).first()[0] or 0
     at = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))
     several = cut.where("block > 0 or not last")
+    if most:
+        ahead = several.select(F.col("conv_id").alias("c"), (F.col("block") + 1).alias("b"), F.col("final").alias("before"))
+        met = F.coalesce(_illegal(F.col("before"), F.col("first")).cast("long"), F.lit(0))
+        cut = cut.join(ahead, at, "left").withColumn("illegal", F.col("illegal") + met).drop("c", "b", "before")
     if most:  # costs behind the blocks that are not their conversation's last
         sums = _doubled(staged(_mapped(several, "m array<bigint>", _matrices), "matrices"), "m", most, True, _times)
         end = F.array(*[F.array_min(F.array(*[F.get("m", F.lit(4 * q + k)) + int(END[k]) for k in range(4)])) for q in range(4)])
@@ -285,7 +296,7 @@ def solve(cut: DataFrame) -> DataFrame:
                           lambda own, before: F.transform(before, lambda q: F.get(own, q.cast("int"))))
         entry = walked.select(F.col("conv_id").alias("c"), (F.col("block") + 1).alias("b"), F.get("exits", F.lit(0)).cast("int").alias("entered"))
         made = staged(made.join(entry, at, "left").withColumn("entry", F.coalesce("entered", F.lit(0))), "entered")
-    return made.select("conv_id", "block", "codes", "entry", F.get("cost", "entry").alias("cost"), F.get("edits", "entry").alias("edits"))
+    return made.select("conv_id", "block", "codes", "illegal", "entry", F.get("cost", "entry").alias("cost"), F.get("edits", "entry").alias("edits"))
 
 
 def repaired(placed: DataFrame, found: DataFrame, size: int = BLOCK) -> DataFrame:
@@ -304,13 +315,9 @@ def repaired(placed: DataFrame, found: DataFrame, size: int = BLOCK) -> DataFram
 
 
 def measures(marked: DataFrame) -> DataFrame:
-    """Per conversation: gaps in the turn numbers (nulls apart), rows per fault, illegal neighbours."""
-    count = lambda rule: F.count_if(rule).alias
-    sums = marked.groupBy("conv_id").agg(
-        *[count(F.col("fault") == f)(f) for f in ("blank", "duplicate", "truncated")], count(F.col("illegal"))("illegal"))
-    turns = marked.where("turn is not null").select(F.col("conv_id").alias("c"), "turn").distinct()
-    gaps = turns.groupBy("c").agg((F.max("turn") - F.min("turn") + 1 - F.count(F.lit(1))).alias("gaps"))
-    return sums.join(gaps, F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c").withColumn("gaps", F.coalesce("gaps", F.lit(0)).cast("long"))
+    """Per conversation: gaps in the turn numbers (nulls apart) and rows per fault."""
+    gaps = F.coalesce(F.max("turn") - F.min("turn") + 1 - F.count_distinct("turn"), F.lit(0)).cast("long")
+    return marked.groupBy("conv_id").agg(gaps.alias("gaps"), *[F.count_if(F.col("fault") == f).alias(f) for f in ("blank", "duplicate", "truncated")])
 
 
 def repair(conversations: DataFrame, size: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -319,7 +326,7 @@ def repair(conversations: DataFrame, size: int = BLOCK) -> tuple[DataFrame, Data
     marked = staged(faults(placed), "marked")
     found = solve(blocks(marked, size))
     pieces = F.sort_array(F.collect_list(F.struct("block", "edits")))
-    audits = found.groupBy(F.col("conv_id").alias("c")).agg(F.array_join(F.transform(pieces, lambda p: p["edits"]), "").alias("audit"),
+    audits = found.groupBy(F.col("conv_id").alias("c")).agg(F.array_join(F.transform(pieces, lambda p: p["edits"]), "").alias("audit"), F.sum("illegal").alias("illegal"),
                                                             F.max(F.when(F.col("block") == 0, F.col("cost"))).alias("cost"))
     told = measures(marked).join(audits, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
     return told, repaired(placed, found, size)
