@@ -4,7 +4,7 @@ Tokens arrive in blocks of bounded size. In a block, documents are cut into
 whole windows and a rest; the rests' lengths, in steps of ``grain``, form the
 histogram. All combinations of at most ``depth`` lengths that fill a window are
 enumerated, least squares gives how often to repeat each, the counts are rounded
-down, and what remains is packed greedily: one piece after the other, cut where
+up as far as there are pieces, and what remains is packed greedily: one piece after the other, cut where
 a window is full. The last, open window of a block goes on in the next block;
 at the very end it is cut into windows of power-of-two length without padding.
 """

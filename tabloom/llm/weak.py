@@ -4,7 +4,9 @@ Heuristic labellers vote good, bad or abstain on every document. How often each
 combination of votes occurs, over all documents, is enough to estimate by
 expectation-maximisation how each labeller votes on good and on bad documents.
 The posteriors of a bounded sample train a logistic scorer over hashed words,
-word shapes and binned statistics, which then scores every document.
+word shapes and binned statistics, which then scores every document. A second
+set of labellers looks for abusive language; the same estimation, on its own,
+gives every document the posterior of being abusive.
 """
 
 from __future__ import annotations
@@ -26,6 +28,15 @@ FUNCTION_WORDS = ("the of and to in is that for with was on as are by this be at
                   "le la les de des et en un une du que qui dans est pour pas sur au avec "
                   "der die das und ist ein eine zu den mit von im auf des auch sich nicht "
                   "el los las del que en y un una por con para su al se no es").split()
+# Common insults and threats of the four languages; parameters of the labellers for abusive language.
+INSULTS = ("idiot idiots moron morons imbecile stupid dumb dumbass loser losers scum trash garbage worthless pathetic disgusting clown clowns freak pig bastard "
+           "bitch asshole jerk coward filth vermin retard scumbag "
+           "idiote crétin crétins débile abruti connard connards salaud ordure racaille pourriture "
+           "dummkopf trottel arschloch versager abschaum drecksau vollidiot miststück widerling "
+           "idiota imbécil estúpido estúpida gilipollas cabrón escoria basura payaso asqueroso").split()
+THREATS = (r"kill (?:you|yourself)|shut up|go die|drop dead|hate you|i will hurt|ta gueule|va mourir|je vais te|halt die (?:klappe|fresse)|verpiss dich|"
+           r"ich bring dich|cállate|te voy a|muérete|vete a la mierda")
+ADDRESS = r"you|you're|your|tu|toi|vous|du|dich|ihr|tú|eres|usted"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -39,6 +50,7 @@ class Settings:
     smoothing: float = 1.0
     regularisation: float = 0.002
     threshold: float = 0.5
+    abusive: float = 0.5  # documents at or above it are not kept
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -52,8 +64,15 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     length = F.char_length("__text")
     symbols = length - F.char_length(F.translate("__text", "#*$%&|<>", ""))
     stops = F.array(*[F.lit(w) for w in sorted(set(FUNCTION_WORDS))])
+    insult = rf"(?<!\p{{L}})(?:{'|'.join(sorted(INSULTS))})(?!\p{{L}})"
+    address = rf"(?<!\p{{L}})(?:{ADDRESS})(?:[^\p{{L}}]+\p{{L}}+){{0,2}}[^\p{{L}}]+(?:{'|'.join(sorted(INSULTS))})(?!\p{{L}})"
+    out = out.withColumn("__insults", F.regexp_extract_all("__text", F.lit(insult), F.lit(0)))
     return out.withColumns({
         "__n": F.size("__words"),
+        "__abuse": F.size("__insults"),
+        "__abuses": F.size(F.array_distinct("__insults")),
+        "__address": (F.size("__insults") > 0) & F.col("__text").rlike(address),
+        "__threat": F.col("__text").rlike(rf"(?<!\p{{L}})(?:{THREATS})(?!\p{{L}})"),
         "__distinct": F.size(distinct) / n,
         "__function": F.size(F.array_intersect(distinct, stops)) / F.greatest(F.size(distinct), F.lit(1)) * F.sqrt(n.cast("double")),
         "__symbols": symbols / F.greatest(length, F.lit(1)),
@@ -82,6 +101,18 @@ def labellers() -> dict[str, Column]:
     }
 
 
+def abuse_labellers() -> dict[str, Column]:
+    """Votes: 1 clean, -1 abusive, 0 abstains."""
+    n = F.greatest(F.col("__n"), F.lit(1))
+    return {
+        "insults": _vote(F.col("__abuse") == 0, F.col("__abuse") >= 2),
+        "variety": _vote(F.col("__abuses") == 0, F.col("__abuses") >= 2),
+        "density": _vote(F.col("__abuse") == 0, F.col("__abuse") / n > 0.01),
+        "address": _vote(F.lit(False), F.col("__address")),
+        "threats": _vote(F.lit(False), F.col("__threat")),
+    }
+
+
 @dataclass
 class Votes:
     """What each labeller's votes say: log odds of good per labeller and vote, and of good alone."""
@@ -137,18 +168,26 @@ def tokens() -> Column:
 
 
 def classify(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """doc_id, weak_label (posterior of the votes), score (0 to 1) and kept for every row of ``docs`` (doc_id, text).
+    """doc_id, weak_label (posterior of the votes), score (0 to 1), toxic (0 to 1) and kept for every row of ``docs`` (doc_id, text).
 
-    A null text counts as empty. Without a document, or with votes that all
+    ``toxic`` is the posterior of the labellers for abusive language; a document is kept if it is good and not abusive. A
+    null text counts as empty. Without a document, or with votes that all
     agree, the posterior itself is the score. Equal texts get equal scores.
     """
     named = labellers()
-    names = list(named)
+    names, abuse = list(named), abuse_labellers()
     seen = statistics(docs.select("doc_id", "text"))
-    voted = seen.withColumns({f"__vote_{k}": v for k, v in named.items()})
-    counts = voted.groupBy(*[f"__vote_{k}" for k in names]).count().collect()  # at most 3 ** labellers rows
-    model = estimate([(tuple(r[:-1]), r[-1]) for r in counts], names, s)
-    voted = voted.withColumn("weak_label", model.posterior())
+    voted = seen.withColumns({f"__vote_{k}": v for k, v in (named | abuse).items()})
+    counts = voted.groupBy(*[f"__vote_{k}" for k in [*names, *abuse]]).count().collect()  # at most 3 ** labellers rows
+
+    def estimated(first: int, last: int, names: list[str]) -> Votes:
+        patterns: dict[tuple, int] = {}
+        for r in counts:
+            patterns[r[first:last]] = patterns.get(r[first:last], 0) + r[-1]
+        return estimate(sorted(patterns.items()), names, s)
+
+    voted = voted.withColumn("weak_label", estimated(0, len(names), names).posterior())
+    voted = voted.withColumn("toxic", 1 - estimated(len(names), len(names) + len(abuse), list(abuse)).posterior())
     total = sum(r[-1] for r in counts)
     share = min(1.0, s.sample_docs / max(1, total))
     picked = voted.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
@@ -161,7 +200,8 @@ def classify(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     else:
         parts = max(1, min(8, docs.sparkSession.sparkContext.defaultParallelism))
         fit = LogisticRegression(maxIter=25, regParam=s.regularisation, weightCol="weight", standardization=False).fit(hashing.transform(sample.coalesce(parts)))
-        slim = voted.select("doc_id", "weak_label", tokens().alias("tokens"))
+        slim = voted.select("doc_id", "weak_label", "toxic", tokens().alias("tokens"))
         scored = fit.transform(hashing.transform(slim))
         score = vector_to_array("probability")[1]
-    return scored.select("doc_id", "weak_label", score.alias("score")).withColumn("kept", F.col("score") >= s.threshold)
+    out = scored.select("doc_id", "weak_label", score.alias("score"), "toxic")
+    return out.withColumn("kept", (F.col("score") >= s.threshold) & (F.col("toxic") < s.abusive))

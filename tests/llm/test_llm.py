@@ -525,14 +525,61 @@ def test_planted_data_of_no_fixed_format(spark):
     assert not any("@" in r.text or "jo\u00e3o" in r.text for r in got if r.kind in (3, 4))
 
 
+def test_cut_points_equal_a_walk_byte_by_byte():
+    """The gear hash shifted and added one byte at a time, the stricter mask up to the normal size."""
+    rng, c = random.Random(12), fingerprint.Chunking()
+    gears = [int(x) for x in np.random.default_rng(c.seed).integers(0, 1 << 32, 256, np.uint32)]
+    for n in (0, 1, 16, 17, 300, 5000):
+        data = bytes(rng.choice(b"the quick brown \xc3\xa9") for _ in range(n)) if n != 300 else b"a" * 300
+        h, ends, start = 0, [], 0
+        for i, byte in enumerate(data):
+            h = (h * 2 + gears[byte]) % (1 << 32)
+            size = i + 1 - start
+            bits = c.strict_bits if size < c.normal else c.loose_bits
+            if (size >= c.least and h >> (32 - bits) == 0) or size == c.most:
+                ends.append(i + 1)
+                start = i + 1
+        ends += [n] if start < n else []
+        assert fingerprint.cut_points(data, c) == ends
+
+
 # 5: weak labels
 
 
+def test_estimate_equals_expectations_document_by_document():
+    """The same rounds with every document on its own, in plain Python."""
+    rng = random.Random(7)
+    names, s = list("abc"), weak.Settings(doubt=0.5)
+    docs = [tuple(rng.choice((-1, 0, 1, 1)) if rng.random() < 0.6 else (1 if i % 3 else -1) for _ in names) for i in range(300)]
+    good = [1 / (1 + math.exp(-(sum(0.5 * (v == 1) - s.doubt * (v == -1) for v in d) + math.log(s.prior_good / (1 - s.prior_good))))) for d in docs]
+    for _ in range(s.rounds):
+        odds = []
+        for j in range(len(names)):
+            n = {v: (sum(g for d, g in zip(docs, good) if d[j] == v), sum(1 - g for d, g in zip(docs, good) if d[j] == v)) for v in (-1, 0, 1)}
+            whole = [sum(x[k] + s.smoothing for x in n.values()) for k in (0, 1)]
+            odds.append({v: math.log((x[0] + s.smoothing) / whole[0]) - math.log((x[1] + s.smoothing) / whole[1]) for v, x in n.items()})
+        share = (sum(good) + s.smoothing) / (len(docs) + 2 * s.smoothing)
+        base = math.log(share / (1 - share))
+        good = [1 / (1 + math.exp(-(base + sum(o[v] for o, v in zip(odds, d))))) for d in docs]
+    counts = {}
+    for d in docs:
+        counts[d] = counts.get(d, 0) + 1
+    got = weak.estimate(list(counts.items()), names, s)
+    assert got.base == pytest.approx(base, rel=1e-6)
+    for name, o in zip(names, odds):
+        assert got.odds[name] == pytest.approx(o, rel=1e-6)
+
+
 def test_weak_labels(spark):
     root = "/root/testdata/sf0.01"
-    got = QUERIES["op5_weak_quality"](spark, root).join(spark.read.parquet(f"{root}/labels.parquet"), "doc_id")
-    share = {r.quality: r.k for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
-    assert share[1] > 0.97 and share[0] < 0.25
+    got = QUERIES["op5_weak_quality"](spark, root).alias("ours").join(spark.read.parquet(f"{root}/labels.parquet").alias("labels"), "doc_id")
+    share = {(r.quality, r.toxic): r.k for r in got.groupBy("quality", F.col("labels.toxic").alias("toxic")).agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
+    assert share[1, 0] > 0.97 and share[0, 0] < 0.25 and share[1, 1] < 0.35
+    found = {r.toxic: r.k for r in got.groupBy(F.col("labels.toxic").alias("toxic")).agg(F.avg((F.col("ours.toxic") >= 0.5).cast("int")).alias("k")).collect()}
+    assert found[1] > 0.6 and found[0] < 0.005  # about a third of the texts labelled as abusive have no abusive word at all
+    rows = [(i, f"{w} this is a sentence like any other one, " * 3) for i, w in enumerate(["you idiot,", "salaud,", "halt die klappe, du trottel,", "gilipollas,", "the ranking of idioms,", "nice,"])]
+    docs = spark.read.parquet(f"{root}/documents.parquet").select("doc_id", "text").unionAll(spark.createDataFrame([(10**9 + i, t) for i, t in rows], "doc_id long, text string"))
+    assert [r.toxic >= 0.5 for r in weak.classify(docs).where(f"doc_id >= {10**9}").orderBy("doc_id").collect()] == [True] * 4 + [False] * 2
     assert weak.classify(awkward(spark)).count() == awkward(spark).count()
     assert weak.classify(empty(spark)).count() == 0
 
