@@ -320,31 +320,46 @@ def measures(marked: DataFrame) -> DataFrame:
     return marked.groupBy("conv_id").agg(gaps.alias("gaps"), *[F.count_if(F.col("fault") == f).alias(f) for f in ("blank", "duplicate", "truncated")])
 
 
-def repair(conversations: DataFrame, size: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(one row per conversation with its faults, cost and audit; one row per turn of the mended conversations)."""
+def _solved_rows(conversations: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The marked rows, the solved blocks and the mended turns."""
     placed = staged(place(conversations), "placed")
     marked = staged(faults(placed), "marked")
     found = solve(blocks(marked, size))
-    pieces = F.sort_array(F.collect_list(F.struct("block", "edits")))
-    audits = found.groupBy(F.col("conv_id").alias("c")).agg(F.array_join(F.transform(pieces, lambda p: p["edits"]), "").alias("audit"), F.sum("illegal").alias("illegal"),
+    return marked, found, repaired(placed, found, size)
+
+
+def _audit() -> Column:
+    """The edits of a conversation's blocks in order, as an aggregate."""
+    pieces = F.sort_array(F.collect_list(F.when(F.col("block").isNotNull(), F.struct("block", "edits"))))
+    return F.array_join(F.transform(pieces, lambda p: p["edits"]), "")
+
+
+def repair(conversations: DataFrame, size: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(one row per conversation with its faults, cost and audit; one row per turn of the mended conversations)."""
+    marked, found, turns = _solved_rows(conversations, size)
+    audits = found.groupBy(F.col("conv_id").alias("c")).agg(_audit().alias("audit"), F.sum("illegal").alias("illegal"),
                                                             F.max(F.when(F.col("block") == 0, F.col("cost"))).alias("cost"))
     told = measures(marked).join(audits, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
-    return told, repaired(placed, found, size)
+    return told, turns
 
 
 def report(conversations: DataFrame, size: int = BLOCK) -> DataFrame:
     """Every conversation of the table, damaged and mended again.
 
     A conversation of which no row is left has zeros, an empty audit and the hash of nothing; so has, but for its faults
-    and cost, one whose rows are all deleted.
+    and cost, one whose rows are all deleted. The hash needs a conversation's text in one row, so all that is told of a
+    conversation is brought together in one exchange: its rows' faults, its blocks' edits and its mended lines.
     """
     conversations = conversations.select("conv_id", "turn", "role", "text")
-    told, turns = repair(damage(conversations), size)
+    marked, found, turns = _solved_rows(damage(conversations), size)
     line = F.struct("pos", "part", F.concat("role", F.lit(":"), "text").alias("line"))
-    lines = F.transform(F.sort_array(F.collect_list(line)), lambda x: x["line"])
-    hashes = turns.groupBy(F.col("conv_id").alias("h")).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("sha"))
-    out = conversations.select("conv_id").distinct()
-    out = out.join(told.withColumnRenamed("conv_id", "t"), F.col("conv_id").eqNullSafe(F.col("t")), "left").drop("t")
-    out = out.join(hashes, F.col("conv_id").eqNullSafe(F.col("h")), "left").drop("h")
-    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
-    return out.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+    parts = marked.select("conv_id", "turn", "fault").unionByName(found.select("conv_id", "block", "edits", "cost", "illegal"), allowMissingColumns=True)
+    parts = parts.unionByName(turns.select("conv_id", line.alias("line")), allowMissingColumns=True)
+    parts = parts.unionByName(conversations.select("conv_id"), allowMissingColumns=True)
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    gaps = F.max("turn") - F.min("turn") + 1 - F.size(F.collect_set("turn"))
+    lines = F.transform(F.sort_array(F.collect_list("line")), lambda x: x["line"])
+    return parts.groupBy("conv_id").agg(
+        number(gaps).alias("gaps"), *[F.count_if(F.col("fault") == f).alias(f) for f in ("blank", "duplicate", "truncated")],
+        number(F.sum("illegal")).alias("illegal"), number(F.max(F.when(F.col("block") == 0, F.col("cost")))).alias("cost"),
+        _audit().alias("audit"), F.sha2(F.array_join(lines, "\n"), 256).alias("repaired_sha256"))
