@@ -235,6 +235,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def identify(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row of ``docs`` (doc_id, text, lang)."""
+    """doc_id, held_out, lang_pred, score for every row of ``docs`` (doc_id, text, lang).
+
+    Null and empty texts, and those without a letter, are ``und``; rows of null id or language are predicted but not
+    learned from. Repeated rows are told of each on their own. An empty table gives no rows.
+    """
     model = train(docs, s=s)
     return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
