@@ -164,7 +164,7 @@ def _series(t):
 @query("price_recommend", f"""with {SERIES_SQL},
 p as (select gpu, avg(price) as current_price, avg(price * 1.1) as recommended_price, avg(utilization * 0.95 + 0.05) as predicted_utilization,
   avg(utilization) as current_utilization, stddev_samp(utilization) as volatility from s group by gpu)
-select gpu, round(current_price, 6) as current_price, round(predicted_utilization, 6) as predicted_utilization, round(volatility, 6) as volatility,
+select gpu, round(current_price, 6) as current_price, round(predicted_utilization, 12) as predicted_utilization, round(volatility, 6) as volatility,
   case when volatility > 0.1 then 'Daily' when volatility > 0.05 then 'Weekly' else 'Monthly' end as frequency,
   round((recommended_price * predicted_utilization - current_price * current_utilization) / (current_price * current_utilization) * 100, 6) as revenue_change_pct,
   case when predicted_utilization >= 0.75 then 1 else 0 end as meets_target,
@@ -173,8 +173,9 @@ def _recommend(t):
     priced = daily(t).selectExpr("gpu", "price", "utilization", "price * 1.1D as best_price", "utilization * 0.95D + 0.05D as predicted")
     rec = S.price_recommend(priced, "gpu")
     out = attach(rec, S.target_share(rec))
-    rounded = ("current_price", "predicted_utilization", "volatility", "revenue_change_pct", "pct_meeting_target")
-    return out.select("gpu", "frequency", "meets_target", *[F.round(c, 6).alias(c) for c in rounded])
+    # utilisation is a sum of hundredths over a few days: six digits would often end in an exact half
+    rounded = {"current_price": 6, "predicted_utilization": 12, "volatility": 6, "revenue_change_pct": 6, "pct_meeting_target": 6}
+    return out.select("gpu", "frequency", "meets_target", *[F.round(c, n).alias(c) for c, n in rounded.items()])
 
 
 @query("forecast_series")
