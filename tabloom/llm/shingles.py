@@ -6,6 +6,11 @@ the sets themselves. Texts with the same set are one node. In each bucket of
 a band the nodes are first compared with one of them; once those links have been
 joined, only nodes of different groups are compared with each other, so a group
 of n near copies needs about n comparisons and no pair is left out.
+
+Before the sets are brought together, a pair is held against the marks of both:
+the parity of the number of shingles in each of 1,024 slots. Every slot that
+differs stands for at least one shingle that only one of them has, so a pair
+with too many of those cannot be similar enough, and no similar pair is lost.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ from tabloom.llm.components import components
 from tabloom.llm.simhash import open_rows
 
 SLICE = 1 << 11
+MARKS = 16  # 64-bit words of parities per set
 
 
 @dataclass(frozen=True)
@@ -35,6 +41,7 @@ class Settings:
     first_bands: int = 4  # buckets of the first turn, which joins most of a large group
     turns: int = 6  # turns that compare with one node per bucket; after them all that is open is compared
     open_pairs: int = 4  # as soon as so many pairs per row of a bucket are open, they are all compared
+    stuck: float = 0.8  # and when a turn leaves more than this share of them
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -62,6 +69,12 @@ def band_keys(grams: np.ndarray, s: Settings) -> np.ndarray:
     return key
 
 
+def marks(grams: np.ndarray) -> np.ndarray:
+    """Parities of the number of grams in each slot, as ``MARKS`` words."""
+    slot = (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (64 * MARKS - 1).bit_length())
+    return np.packbits(np.bincount(slot.astype(np.int64), minlength=64 * MARKS) & 1).view(np.int64)
+
+
 def _prints(docs: DataFrame, s: Settings) -> DataFrame:
     """(id, text_hash, node, size, keys) of every row: its set's hash, size and band keys. A null text counts as empty."""
     slim = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"), text_bytes())
@@ -84,7 +97,7 @@ def _prints(docs: DataFrame, s: Settings) -> DataFrame:
 
 
 def _sets(docs: DataFrame, firsts: DataFrame, s: Settings) -> DataFrame:
-    """(node, grams) of the rows of ``docs`` named by ``firsts(node, first)``."""
+    """(node, grams, marks) of the rows of ``docs`` named by ``firsts(node, first)``."""
     named = firsts.select("node", F.col("first.id").alias("__id"), F.col("first.text_hash").alias("__hash"))
     here = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
     rows = docs.select("doc_id", "text").join(named, here).select("node", text_bytes())
@@ -92,24 +105,27 @@ def _sets(docs: DataFrame, firsts: DataFrame, s: Settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, text in enumerate(values(b.column(1))):
-                grams = pa.array([shingles(text, s.width).view(np.int64)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 1), grams], names=["node", "grams"])
+                grams = shingles(text, s.width)
+                lists = [pa.array([x.view(np.int64)], pa.list_(pa.int64())) for x in (grams, marks(grams))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 1), *lists], names=["node", "grams", "marks"])
 
-    return rows.mapInArrow(run, "node long, grams array<long>").dropDuplicates(["node"])
+    return rows.mapInArrow(run, "node long, grams array<long>, marks array<long>").dropDuplicates(["node"])
 
 
 def _open_pairs(rows: DataFrame, buckets: DataFrame, whole: bool, s: Settings) -> DataFrame:
-    """Distinct (u, v) of different groups in the buckets: all of them, or those with the bucket's chosen node."""
+    """Distinct (u, v) of different groups in the buckets whose sizes and marks allow it: all of them, or those with the bucket's chosen node."""
     inside = rows.join(buckets, ["band", "key"])
     if whole:
         # One side leaves out the bucket's largest group, whose nodes are joined already.
-        a = inside.where("c <> most").select("band", "key", F.col("node").alias("u"), F.col("size").alias("size_u"), F.col("c").alias("c_u"))
-        b = inside.select("band", "key", "most", F.col("node").alias("v"), "size", "c")
+        a = inside.where("c <> most").select("band", "key", F.col("node").alias("u"), F.col("size").alias("size_u"), F.col("marks").alias("marks_u"), F.col("c").alias("c_u"))
+        b = inside.select("band", "key", "most", F.col("node").alias("v"), "size", "marks", "c")
         pairs = a.join(b, ["band", "key"]).where("c_u <> c and (c = most or u < v)")
     else:
-        pairs = inside.select(F.col("chosen.node").alias("u"), F.col("chosen.size").alias("size_u"), F.col("chosen.c").alias("c_u"),
-                              F.col("node").alias("v"), "size", "c").where("c_u <> c")
+        pairs = inside.select(F.col("chosen.node").alias("u"), F.col("chosen.size").alias("size_u"), F.col("chosen.marks").alias("marks_u"),
+                              F.col("chosen.c").alias("c_u"), F.col("node").alias("v"), "size", "marks", "c").where("c_u <> c")
     fits = F.least("size_u", "size") >= F.lit(s.similarity) * F.greatest("size_u", "size") - 1e-9
+    apart = sum((F.bit_count(F.get("marks_u", F.lit(i)).bitwiseXOR(F.get("marks", F.lit(i)))) for i in range(MARKS)), F.lit(0))
+    fits = fits & (apart <= F.lit((1 - s.similarity) / (1 + s.similarity)) * (F.col("size_u") + F.col("size")) + 1e-6)
     return pairs.where(fits).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
@@ -130,14 +146,17 @@ def _links(docs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame | None:
         return None
     total = rows.count()
     sets = staged(_sets(docs, nodes.join(rows.select("node").distinct(), "node", "left_semi"), s), "sets")
-    links, label = None, None
+    marked = staged(rows.join(sets.select("node", "marks"), "node"), "buckets")
+    discard(rows)
+    rows = marked
+    links, label, last = None, None, float("inf")
     for turn in range(s.turns + 2):
         if label is None:
             marked = rows.withColumn("c", F.col("node"))
         else:
             marked = rows.join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
         order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-        groups = marked.groupBy("band", "key", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(order.alias("order"), "node", "size", "c")).alias("chosen"))
+        groups = marked.groupBy("band", "key", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(order.alias("order"), "node", "size", "c", "marks")).alias("chosen"))
         buckets = groups.groupBy("band", "key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.max_by("c", "n").alias("most"),
                                                     F.min("chosen").alias("chosen")).where("n * n > own")
         buckets = staged(buckets, "open")
@@ -152,7 +171,8 @@ def _links(docs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame | None:
             marked = rows.withColumn("c", F.col("node"))
         else:
             marked = rows.join(label, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        whole = turn > 0 and (left <= s.open_pairs * total or turn > s.turns)
+        whole = turn > 0 and (left <= s.open_pairs * total or turn > s.turns or turn > 1 and left > s.stuck * last)
+        last = left
         chosen = buckets if turn else buckets.where(F.col("band") < s.first_bands)
         pairs = staged(_open_pairs(marked, chosen.drop("n", "own"), whole, s), "pairs")
         found = staged(_similar(pairs, sets, s), "similar")

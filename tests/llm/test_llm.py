@@ -260,6 +260,27 @@ def test_near_dedup_equals_brute_jaccard(spark, settings):
     assert {r.doc_id for r in shingles.keep_one(docs, settings).collect()} == set(brute_near_groups(texts))
 
 
+def test_marks_spare_pairs_that_share_a_passage(spark, monkeypatch):
+    """Three hundred texts that are half the same meet in every bucket; their sets are not brought together pair by pair."""
+    rng = random.Random(4)
+    shared = " ".join(f"s{i}" for i in range(110))
+    texts = [shared + " " + " ".join(f"o{rng.randrange(10**6)}" for _ in range(45)) for _ in range(300)]
+    compared, similar = [], shingles._similar
+    monkeypatch.setattr(shingles, "_similar", lambda pairs, sets, s: compared.append(pairs.count()) or similar(pairs, sets, s))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert shingles.keep_one(docs).count() == 300
+    assert sum(compared) < 3_000
+
+
+def test_marks_differ_in_no_more_slots_than_the_sets():
+    rng = np.random.default_rng(3)
+    for n in (1, 40, 900, 5000):
+        every = rng.integers(0, 1 << 63, 2 * n).astype(np.uint64)
+        a, b = every[: n + n // 2], every[n // 2 :]
+        apart = np.bitwise_count((shingles.marks(a) ^ shingles.marks(b)).view(np.uint64)).sum()
+        assert apart <= len(np.setxor1d(a, b)) and shingles.marks(a).size == shingles.MARKS
+
+
 def test_near_dedup_stage_on_given_documents(spark):
     docs = spark.read.parquet(f"{ROOT}/documents.parquet").orderBy("doc_id")
     rows = docs.collect()
