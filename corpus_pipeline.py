@@ -34,8 +34,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group linked by a Jaccard similarity of 0.8 over five-word shingles: the one with the smallest id."""
-    return shingles.keep_one(docs.select(*COLUMNS))
+    """Keep one document of each group linked by SimHash prints within 3 bits or a Jaccard similarity of 0.8 over five-word shingles: the one with the smallest id."""
+    return shingles.keep_one(docs.select(*COLUMNS), shingles.Settings(prints=True))
 
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Near-duplicates by the exact Jaccard similarity of their word shingles.
+"""Near-duplicates by SimHash prints and by the exact Jaccard similarity of their word shingles.
 
 MinHash bands only name candidates: two texts at the least similarity share no
 band once in a million pairs (26 bands of four). Every candidate is decided by
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tabloom.llm.common import discard, staged, text_bytes, values
 from tabloom.llm.components import components
-from tabloom.llm.simhash import open_rows
+from tabloom.llm.simhash import near_links, open_rows, simhash
 
 SLICE = 1 << 11
 MARKS = 16  # 64-bit words of parities per set
@@ -42,6 +42,7 @@ class Settings:
     turns: int = 6  # turns that compare with one node per bucket; after them all that is open is compared
     open_pairs: int = 4  # as soon as so many pairs per row of a bucket are open, they are all compared
     stuck: float = 0.8  # and when a turn leaves more than this share of them
+    prints: bool = False  # also link texts whose SimHash prints are near
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -76,22 +77,23 @@ def marks(grams: np.ndarray) -> np.ndarray:
 
 
 def _prints(docs: DataFrame, s: Settings) -> DataFrame:
-    """(id, text_hash, node, size, keys) of every row: its set's hash, size and band keys. A null text counts as empty."""
+    """(id, text_hash, node, simhash, size, keys) of every row: its set's hash, its print if wanted, size and band keys. A null text counts as empty."""
     slim = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"), text_bytes())
-    schema = slim.select("id", "text_hash", F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("size"),
+    schema = slim.select("id", "text_hash", *[F.lit(0).cast("long").alias(c) for c in ("node", "simhash", "size")],
                          F.array().cast("array<long>").alias("keys")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, near, sizes, keys = [], [], [], []
             for text in values(b.column(2)):
                 grams = shingles(text, s.width)
                 nodes.append(xxhash.xxh64_intdigest(grams.tobytes()))
+                near.append(simhash(text) if s.prints else 0)
                 sizes.append(len(grams))
                 keys.append(band_keys(grams, s).view(np.int64) if len(grams) else [])
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:2], pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["id", "text_hash", "node", "size", "keys"])
+                [*b.columns[:2], pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(near, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["id", "text_hash", "node", "simhash", "size", "keys"])
 
     return slim.mapInArrow(run, schema)
 
@@ -190,17 +192,30 @@ def _links(docs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame | None:
     return links
 
 
+def _print_links(prints: DataFrame) -> DataFrame:
+    """(u, v) links that connect the sets of texts whose SimHash prints ``simhash.near_links`` connects."""
+    told = prints.select("node", "simhash").distinct()
+    label = components(near_links(told)).select(F.col("node").alias("simhash"), "component")
+    told = staged(told.join(label, "simhash", "left").select("node", F.coalesce("component", "simhash").alias("c")), "prints")
+    hubs = told.groupBy("c").agg(F.min("node").alias("u"), F.max("node").alias("most")).where("u <> most")
+    return told.join(hubs, "c").where("node <> u").select("u", F.col("node").alias("v"))
+
+
 def keep_one(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The row of ``docs`` (with doc_id and text) that opens each group of near-duplicates, all columns.
 
-    A group is what links of at least ``similarity`` connect; texts without a
-    word are one group. The opening row is chosen as in ``simhash.keep_one``.
+    A group is what links of at least ``similarity`` connect, with ``prints``
+    also those of near SimHash prints; texts without a word are one group. The
+    opening row is chosen as in ``simhash.keep_one``.
     """
     prints = staged(_prints(docs, s), "shingles")
     opener = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")
     nodes = prints.groupBy("node").agg(F.min(opener).alias("first"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys"))
     nodes = staged(nodes, "nodes")
     links = _links(docs, nodes, s)
+    if s.prints:
+        near = _print_links(prints)
+        links = near if links is None else links.unionByName(near)
     if links is None:
         firsts = nodes.select(F.col("first").alias("opener"))
     else:

@@ -260,6 +260,17 @@ def test_near_dedup_equals_brute_jaccard(spark, settings):
     assert {r.doc_id for r in shingles.keep_one(docs, settings).collect()} == set(brute_near_groups(texts))
 
 
+def test_near_dedup_stage_links_near_prints(spark):
+    """A refrain makes the prints of each two texts near; their sets of five-word shingles have little in common."""
+    rng = random.Random(21)
+    own = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(20))
+    texts = [f"{own()} {refrain * 400}" for refrain in ("a b c d e f g ", "i j k l m n o ", "q r s t u v w ") for _ in range(2)]
+    assert len(set(brute_near_groups(texts))) == 6
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, ROOT).collect()}
+    assert kept == {r.doc_id for r in simhash.keep_one(docs).collect()} == {0, 2, 4}
+
+
 def test_marks_spare_pairs_that_share_a_passage(spark, monkeypatch):
     """Three hundred texts that are half the same meet in every bucket; their sets are not brought together pair by pair."""
     rng = random.Random(4)
