@@ -53,13 +53,17 @@ class Settings:
     abusive: float = 0.5  # documents at or above it are not kept
 
 
+def words() -> Column:
+    """The words of ``__text``."""
+    return F.filter(F.split("__text", SPACE), lambda w: w != "")
+
+
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``__words`` (lower-cased) and the statistics the labellers use; a null text counts as empty."""
     filled = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumn("__text", F.lower(filled))
-    out = out.withColumn("__words", F.filter(F.split("__text", SPACE), lambda w: w != ""))
-    words, n = F.col("__words"), F.greatest(F.size("__words"), F.lit(1))
-    distinct = F.array_distinct(words)
+    out = out.withColumn("__words", words())
+    n, distinct = F.greatest(F.size("__words"), F.lit(1)), F.array_distinct("__words")
     lines = F.filter(F.split("__text", "\n"), lambda x: F.trim(x) != "")
     length = F.char_length("__text")
     symbols = length - F.char_length(F.translate("__text", "#*$%&|<>", ""))
@@ -150,6 +154,9 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], names: list[str], s: S
     return Votes({name: {v - 1: float(odds[i, v]) for v in range(3)} for i, name in enumerate(names)}, math.log(share / (1 - share)))
 
 
+BINNED = ("__n", "__distinct", "__function", "__symbols", "__stops", "__wordlength", "__lines")
+
+
 def _bins(name: str, limits: list[float]) -> Column:
     value = F.col(f"__{name}")
     place = sum((F.when(value > x, 1).otherwise(0) for x in limits), F.lit(0))
@@ -177,7 +184,9 @@ def classify(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     named = labellers()
     names, abuse = list(named), abuse_labellers()
     seen = statistics(docs.select("doc_id", "text"))
-    voted = seen.withColumns({f"__vote_{k}": v for k, v in (named | abuse).items()})
+    votes = {f"__vote_{k}": v for k, v in (named | abuse).items()}
+    # The texts are looked through once: what the votes and the scorer take from them is kept, with the lower-cased text.
+    voted = staged(seen.select("doc_id", "__text", *BINNED, *[v.alias(k) for k, v in votes.items()]), "votes").withColumn("__words", words())
     counts = voted.groupBy(*[f"__vote_{k}" for k in [*names, *abuse]]).count().collect()  # at most 3 ** labellers rows
 
     def estimated(first: int, last: int, names: list[str]) -> Votes:

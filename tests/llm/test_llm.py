@@ -616,6 +616,12 @@ def test_weak_labels(spark):
     assert weak.classify(empty(spark)).count() == 0
 
 
+def test_texts_are_looked_through_once(spark):
+    """The statistics behind the votes are kept for the scorer; the result does not search the texts again."""
+    plan = weak.classify(spark.createDataFrame([(i, f"some words of text {i}") for i in range(9)], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "__insults" not in plan and "regexp_extract_all" not in plan
+
+
 def test_estimate_finds_the_accurate_labeller():
     rng = random.Random(4)
     seen = {}
