@@ -50,11 +50,10 @@ FEATURES = ("length", "digits", "upper", "lower", "dots", "dashes", "blanks", "a
 
 @dataclass(frozen=True)
 class Settings:
-    documents: int = 4_000  # expected documents to learn from, drawn by a hash over all of them
-    sample: int = 20_000  # most labelled proposals of theirs to learn from, the smallest hashes
     trees: int = 8
     depth: int = 3
-    held_out: float = 0.3  # share of the sample that only calibrates
+    bins: int = 512  # places of a feature at which a tree may split
+    held_out: float = 0.3  # share of the proposals that only calibrates
     precision: float = 0.98  # the threshold is the lowest that keeps it on the held-out share
     seed: int = 7
 
@@ -255,28 +254,22 @@ def _nested(node):
 
 
 def train(docs: DataFrame, s: Settings = Settings()) -> Trees | None:
-    """Fit and calibrate on a bounded sample of the proposals with evidence; None if it is all of one kind.
+    """Fit and calibrate on every proposal with evidence, of all ``docs`` (with texts); None if it is all of one kind.
 
-    ``docs`` has texts. Documents are drawn by a hash over all of them, then of their proposals the smallest hashes.
+    Proposals with the same features and evidence are one row that weighs as many as they are.
     """
-    h = F.pmod(F.xxhash64("text", F.lit(s.seed)), F.lit(1 << 30))
-    share = min(1.0, s.documents / max(1, docs.count()))
-    drawn = docs.select("text").where(h < int(share * (1 << 30)))
-    rows = proposals(fixed_spans(drawn)).select(F.xxhash64("text").alias("t"), F.inline("__more")).where("evidence is not null")
-    rows = rows.select(F.xxhash64("t", "start", "end", "kind").alias("h"), F.col("evidence").cast("double").alias("label"), *FEATURES)
-    sample = stable(rows.orderBy("h", *FEATURES).limit(s.sample))
-    classes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    if len(classes) < 2:
+    rows = proposals(fixed_spans(docs.select("text"))).select(F.xxhash64("text").alias("t"), F.inline("__more")).where("evidence is not null")
+    held = F.pmod(F.hash(F.xxhash64("t", "start", "end", "kind")), F.lit(1000)) < int(1000 * s.held_out)
+    rows = rows.select(held.alias("held"), F.col("evidence").cast("double").alias("label"), *FEATURES)
+    told = stable(rows.groupBy("held", "label", *FEATURES).agg(F.count(F.lit(1)).cast("double").alias("n")))
+    if told.where("not held").select("label").distinct().count() < 2:
         return None
-    held = F.pmod(F.hash("h"), F.lit(1000)) < int(1000 * s.held_out)
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample.where(~held))
-    if vectors.select("label").distinct().count() < 2:
-        return None
-    model = GBTClassifier(maxIter=s.trees, maxDepth=s.depth, seed=s.seed, labelCol="label").fit(vectors)
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(told.where("not held"))
+    model = GBTClassifier(maxIter=s.trees, maxDepth=s.depth, maxBins=s.bins, seed=s.seed, labelCol="label", weightCol="n").fit(vectors)
     trees = Trees([_nested(t._java_obj.rootNode() if hasattr(t, "_java_obj") else t._call_java("rootNode")) for t in model.trees], list(model.treeWeights), 0.5)
     # Calibrate: the lowest threshold whose held-out precision is high enough.
-    scored = sample.where(held).withColumn("s", F.struct(*FEATURES)).select("label", F.floor(trees.score(F.col("s")) * 100).alias("bin"))
-    bins = {r["bin"]: (r["n"], r["hits"]) for r in scored.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("hits")).collect()}
+    scored = told.where("held").withColumn("s", F.struct(*FEATURES)).select("label", "n", F.floor(trees.score(F.col("s")) * 100).alias("bin"))
+    bins = {r["bin"]: (r["n"], r["hits"]) for r in scored.groupBy("bin").agg(F.sum("n").alias("n"), F.sum(F.col("label") * F.col("n")).alias("hits")).collect()}
     best, n, hits = 0.99, 0, 0.0
     for b in range(100, -1, -1):
         n, hits = n + bins.get(b, (0, 0))[0], hits + bins.get(b, (0, 0.0))[1]

@@ -557,6 +557,16 @@ def test_planted_data_of_no_fixed_format(spark):
     assert not any("@" in r.text or "jo\u00e3o" in r.text for r in got if r.kind in (3, 4))
 
 
+def test_trees_learn_from_every_text(spark):
+    """All evidence for personal data stands in texts that a draw of 4,000 by their hashes would leave out."""
+    plain = spark.range(7_900).select(F.concat(F.lit("in the year "), F.col("id").cast("string"), F.lit(" a man of 4.5 percent")).alias("text"))
+    told = spark.range(400).select(F.concat(F.lit("password=abcd"), F.col("id") + 1000, F.lit("xYzW99 was said")).alias("text"))
+    told = told.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) >= 3 * (1 << 28)).limit(90)
+    assert told.count() > 50
+    trees = pii.train(plain.unionAll(told))
+    assert trees is not None and trees.roots
+
+
 def test_cut_points_equal_a_walk_byte_by_byte():
     """The gear hash shifted and added one byte at a time, the stricter mask up to the normal size."""
     rng, c = random.Random(12), fingerprint.Chunking()
