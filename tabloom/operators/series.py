@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,30 +73,36 @@ def forecast_series(
 ) -> DataFrame:
     """Forecast the next business days of every series with a 95% interval.
 
-    Daily means come first, so a series handed to Python has one row per
-    business day, however many raw rows its key holds.
+    Daily means come first, so a series handed to Python is one row with a value
+    per business day, however many raw rows its key holds. A batch of series is
+    forecast by one call, and its results are built as whole columns.
     """
     daily = df.groupBy(*keys, F.to_date(ts).alias("day")).agg(F.avg(y).cast("double").alias("y"))
     daily = daily.where(F.weekday("day") < 5)
     types = dict(daily.dtypes)
     schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "day date", "forecast double", "low double", "high double"])
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("day")
-        values = pdf["y"].to_numpy(float)
-        coef, sd = fit_seasonal_ar(values, season)
-        path = list(values)
-        for _ in range(steps):
-            back = [path[-k] if len(path) >= k else path[-1] for k in (1, season, season + 1)]
-            path.append(float(coef[0] + np.dot(coef[1:], back)))
-        days = pd.bdate_range(pd.Timestamp(pdf["day"].iloc[-1]) + pd.Timedelta(days=1), periods=steps)
-        mid = np.array(path[-steps:])
-        width = 1.96 * sd * np.sqrt(np.arange(1, steps + 1))
-        out = pd.DataFrame({"day": days.date, "forecast": mid, "low": mid - width, "high": mid + width})
-        for i, k in enumerate(keys):
-            out.insert(i, k, pdf[k].iloc[0])
-        return out
-
     # An explicit partition count: the fits are heavier than their few bytes suggest.
     parts = daily.sparkSession.sparkContext.defaultParallelism * 4
-    return daily.repartition(parts, *keys).groupBy(*keys).applyInPandas(one, schema)
+    by_day = F.sort_array(F.collect_list(F.struct("day", "y")))
+    series = daily.repartition(parts, *keys).groupBy(*keys).agg(by_day.alias("__s"))
+    series = series.select(*keys, F.get("__s", F.size("__s") - 1)["day"].alias("__last"), F.col("__s")["y"].alias("__y"))
+
+    def forecast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ahead = np.arange(1, steps + 1)
+        for b in batches:
+            mid, width = np.empty((b.num_rows, steps)), np.empty((b.num_rows, steps))
+            for i, value in enumerate(b.column("__y")):
+                values = value.values.to_numpy(zero_copy_only=False).astype(float)
+                coef, sd = fit_seasonal_ar(values, season)
+                path = list(values)
+                for _ in range(steps):
+                    back = [path[-k] if len(path) >= k else path[-1] for k in (1, season, season + 1)]
+                    path.append(float(coef[0] + np.dot(coef[1:], back)))
+                mid[i], width[i] = path[-steps:], 1.96 * sd * np.sqrt(ahead)
+            last = b.column("__last").to_numpy(zero_copy_only=False).astype("datetime64[D]")
+            days = np.busday_offset(last[:, None], ahead[None, :], roll="backward")
+            row = pa.array(np.repeat(np.arange(b.num_rows), steps))
+            made = [pa.array(x.ravel()) for x in (days, mid, mid - width, mid + width)]
+            yield pa.RecordBatch.from_arrays([*[b.column(i).take(row) for i in range(len(keys))], *made], names=[*keys, "day", "forecast", "low", "high"])
+
+    return series.mapInArrow(forecast, schema)

@@ -3,6 +3,7 @@
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,3 +214,33 @@ def test_lift_and_threshold_edges(spark):
     sweep = {r.threshold: r for r in E.threshold_sweep(df, "y", "score", [0.1, 0.95]).collect()}
     assert sweep[0.95].precision == 1.0 and sweep[0.95].recall == pytest.approx(1 / 3)
     assert E.roc_auc(df, "y", "score").first()[0] == 1.0
+
+
+def test_search_reads_stored_rows(spark, monkeypatch):
+    """Every fit of a search reads its rows again: a join behind them runs once."""
+    seen, real = [], M.CrossValidator.fit
+    monkeypatch.setattr(M.CrossValidator, "fit", lambda self, df: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(self, df))
+    left = spark.range(80).selectExpr("id", "cast(id % 7 as double) as a")
+    rows = left.join(spark.range(80).selectExpr("id", "cast(id % 7 > 3 as int) as y"), "id")
+    assert M.cross_validate(rows, ["a"], "y", M.classifier("logistic", "y", maxIter=2), M.auc_evaluator("y"), 2).count() == 1
+    assert len(seen) == 1 and "Join" not in seen[0]
+
+
+def test_series_are_forecast_by_the_batch(spark):
+    """Series of any length, with null keys and values, equal each series fitted alone; no call of Python per series."""
+    days = pd.bdate_range("2024-01-01", periods=40)
+    rows = [(None if k == 3 else k, "ab"[k % 2], d.date(), float((i * 7 + k * 3) % 11) + 0.25 * k) for k in range(12) for i, d in enumerate(days[: 1 + 3 * k])]
+    df = spark.createDataFrame(rows, "k long, kind string, d date, y double")
+    out = S.forecast_series(df, ["k", "kind"], "d", "y", 4)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.k, r.kind, r.day): (r.forecast, r.low, r.high) for r in out.collect()}
+    assert len(got) == 48
+    for k in range(12):
+        mine = [(d, y) for a, _, d, y in rows if a == (None if k == 3 else k)]
+        path = [y for _, y in mine]
+        coef, sd = S.fit_seasonal_ar(np.array(path), 5)
+        for step, day in enumerate(pd.bdate_range(pd.Timestamp(mine[-1][0]) + pd.Timedelta(days=1), periods=4), 1):
+            back = [path[-n] if len(path) >= n else path[-1] for n in (1, 5, 6)]
+            path.append(coef[0] + np.dot(coef[1:], back))
+            width = 1.96 * sd * step**0.5
+            assert got[(None if k == 3 else k, "ab"[k % 2], day.date())] == pytest.approx((path[-1], path[-1] - width, path[-1] + width))
