@@ -432,7 +432,7 @@ def search(
     pipe = Pipeline(stages=[VectorAssembler(inputCols=list(cols), outputCol="features"), estimator])
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps or ParamGridBuilder().build(), evaluator=evaluator,
                         numFolds=folds, seed=seed, parallelism=parallelism)
-    model = cv.fit(df)
+    model = cv.fit(stable(df))  # every fit and every score reads the rows again
     return model.bestModel, list(zip(combos, model.avgMetrics, model.stdMetrics))
 
 
