@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tabloom.catalog import query
 from tabloom.operators import aggregates as A
 from tabloom.plans import claims as C
+from tabloom.session import stable
 
 KEYS = ["claim_nr", "line_nr", "adj_nr"]
 ORDER = ["ship_date", "part_nr", "supp_nr", "charged", "units"]
@@ -158,7 +159,8 @@ def _cancel(t):
 @query("claims_ffill", f"""with {FILLED_SQL}
 select claim_nr, line_nr, adj_nr, ship_date, part_nr, supp_nr, denial_code, billing_name, post_date from filled""")
 def _ffill(t):
-    return C.claims_ffill(scoped(t), KEYS, ORDER, FILL).select(*KEYS, *ORDER[:3], *FILL)
+    rows = stable(scoped(t).select(*KEYS, *ORDER, *FILL))  # read by the draw, the totals and the result
+    return C.claims_ffill(rows, KEYS, ORDER, FILL).select(*KEYS, *ORDER[:3], *FILL)
 
 
 SET_SQL = CANCEL_SQL + FILLED_SQL[len(SCOPE_SQL):] + """,

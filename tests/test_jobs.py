@@ -198,3 +198,11 @@ def test_register_once_with_null_parts(spark):
     once = L.job_register(ledger, requests)
     assert sorted((r.job_id, r.description, r.job_start) for r in once.collect()) == [(1, "a", 3), (2, "b", 5)]
     assert L.job_register(once, requests).count() == 2
+
+
+def test_fill_reads_the_scope_once(spark):
+    """The scope is stored before the ordered fill, which reads its rows three times."""
+    from __spark_entry__ import QUERIES
+
+    plan = QUERIES["claims_ffill"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan
